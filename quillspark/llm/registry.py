@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import hilbert, mixing, token_files, topk
+from . import hilbert, mixing, rule_ensemble, token_files, topk, weak_rules
 
 QUERIES = {
     "op1_hilbert_shards": hilbert.query,
+    "op2_rule_ensemble": rule_ensemble.query,
     "op5_entropy_mix": mixing.query,
+    "op7_weak_rules": weak_rules.query,
     "op9_token_parquet": token_files.query,
     "op10_norm_topk": topk.query,
 }
