@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import hilbert, mixing, rule_ensemble, token_files, topk, weak_rules
+from . import hilbert, mixing, nbest_pieces, rule_ensemble, token_files, topk, warc_audit, weak_rules
 
 QUERIES = {
     "op1_hilbert_shards": hilbert.query,
     "op2_rule_ensemble": rule_ensemble.query,
+    "op4_nbest_pieces": nbest_pieces.query,
     "op5_entropy_mix": mixing.query,
     "op7_weak_rules": weak_rules.query,
+    "op8_warc_audit": warc_audit.query,
     "op9_token_parquet": token_files.query,
     "op10_norm_topk": topk.query,
 }
 
 ORACLES = {
+    "op8_warc_audit": warc_audit.ORACLE,
     "op10_norm_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
