@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import hilbert, mixing, nbest_pieces, rule_ensemble, shingle_join, token_files, topk, warc_audit, weak_rules
+from . import hilbert, mixing, nbest_pieces, rule_ensemble, shingle_join, suffix_dedup, token_files, topk, warc_audit, weak_rules
 
 QUERIES = {
     "op1_hilbert_shards": hilbert.query,
     "op2_rule_ensemble": rule_ensemble.query,
+    "op3_suffix_dedup": suffix_dedup.query,
     "op4_nbest_pieces": nbest_pieces.query,
     "op5_entropy_mix": mixing.query,
     "op6_shingle_join": shingle_join.query,
