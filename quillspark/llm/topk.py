@@ -140,7 +140,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # k rows a block
     none = F.lit(None).cast("binary")
-    first = run(data.filter(F.col("block") == F.lit(names[0] if names else 0)).join(asks.withColumn("block", F.lit(names[0] if names else 0)), "block").withColumn("floor", none))
+    at = lambda blocks: F.explode(F.array(*[F.lit(x) for x in blocks]).cast("array<int>"))
+    first = run(data.join(asks.withColumn("block", at(names[:1])), "block").withColumn("floor", none))
     kth = first.groupBy("ask", "query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).filter(F.col("n") >= k)
 
     def floors(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -150,8 +151,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     seeded = asks.groupBy("ask").cogroup(kth.groupBy("ask")).applyInArrow(floors, "ask int, ask_ids binary, ask_matrix binary, floor binary") if len(names) > 1 else asks.withColumn("floor", none)
     # Each packed block of queries meets each packed block of vectors once.
-    every = F.explode(F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<int>"))
-    found = run(data.join(seeded.withColumn("block", every), "block").repartition(max(1, len(names) * asked), "block", "ask"))
+    found = run(data.join(seeded.withColumn("block", at(names)), "block").repartition(max(1, len(names) * asked), "block", "ask"))
     return found.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
