@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .text_stats import SYMBOLS, count, dup_lines, word_chars, words
+from .text_stats import SYMBOLS, count, dup_lines, let, word_chars, words
 
 #: Most labelled documents that a fit reads.
 SAMPLE = 20_000
@@ -46,10 +46,8 @@ def features(s: Column) -> dict[str, Column]:
     }
 
 
-def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """keep columns and `_stat`, a struct of counts over the whole text."""
-    text, w = F.col("_text"), F.col("_words")
-    rows = docs.select(*keep, F.col("text").alias("_text"), words(F.col("text")).alias("_words"))
+def counts(text: Column, w: Column) -> Column:
+    """A struct of counts over a whole text and its words."""
     parts = {
         "n_words": F.size(w).cast("long"),
         "n_distinct": F.size(F.array_distinct(w)).cast("long"),
@@ -64,7 +62,13 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
         "n_lines": count(text, r"\n") + 1,
         "n_dup_lines": dup_lines(text),
     }
-    return rows.select(*keep, F.struct(*[c.alias(k) for k, c in parts.items()]).alias("_stat"))
+    return F.struct(*[c.alias(k) for k, c in parts.items()])
+
+
+def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """keep columns and `_stat`, the counts over the whole text."""
+    rows = docs.select(*keep, F.col("text").alias("_text"), words(F.col("text")).alias("_words"))
+    return rows.select(*keep, counts(F.col("_text"), F.col("_words")).alias("_stat"))
 
 
 # ---- fitting, on a bounded sample
@@ -198,12 +202,16 @@ def scored(docs: DataFrame, model: tuple[float, list, list[str]], keep: list[str
     return rows.select(*keep, compiled(b, rules, names, F.col("_values")).alias("score"))
 
 
+def score(text: Column, model: tuple[float, list, list[str]]) -> Column:
+    """The score as one expression that computes each part once wherever the optimiser puts it."""
+    b, rules, names = model
+    of = lambda stat: let(F.array(*features(stat).values()), lambda f: compiled(b, rules, names, f))
+    return let(words(text), lambda w: let(counts(text, w), of))
+
+
 def accepted(docs: DataFrame, labels: DataFrame, decide: float = DECIDE) -> DataFrame:
     """The documents that the classifier does not reject, with their own columns."""
-    names = [c for c in docs.columns]
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text"))
-    rows = scored(inner, train(docs, labels), ["_row"]).filter(F.col("score") >= decide)
-    return rows.select("_row.*")
+    return docs.filter(score(F.col("text"), train(docs, labels)) >= decide)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
