@@ -138,8 +138,9 @@ def _settle(rows: DataFrame, cap: float) -> DataFrame:
 
 def mixture(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP) -> DataFrame:
     """The documents as the mix takes them: each row as often as its copies say."""
-    plan = copies(docs, weights, cap, tuple(docs.columns))
-    return plan.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "source", "text")
+    plan = copies(nested, weights, cap, ("_row",)).filter("copies > 0")
+    return plan.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
