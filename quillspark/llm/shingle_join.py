@@ -2,11 +2,12 @@
 
 A document's set are its distinct word n-grams (64-bit hashes; texts of fewer words have their whole sequence as one).
 Documents of equal sets form one class. Classes of small sets enumerate the subsets of fixed sizes that a partner must share
-with them; classes of large sets are found in inverted lists, scanned for the least hashes of each set (as many as a partner
-cannot all miss). The boundary between small and large is where the estimated cost is least. Lists that are long
+with them; classes of large sets are found in inverted lists, scanned for the rarest n-grams of each set (as many as a
+partner cannot all miss). The boundary between small and large is where the estimated cost is least. Lists that are long
 are dealt into pairs of blocks. Members of a list are first compared with one head of it, drawn anew for each list, and what
 these links join is not compared again; the rest is compared in pairs by size and by a parity bitmap (which bounds the
-difference of two sets from below). All pairs that pass are verified on their whole sets.
+difference of two sets from below), short ones in the list, then ones as wide as the sets. All pairs that pass are verified
+on their whole sets.
 
 Null and empty texts have no set and link with nothing. Rows without doc_id take part; their component is that of their
 text. Equal rows fall into one class. An empty table gives no rows. Other columns play no part.
@@ -33,6 +34,10 @@ BITS = 512
 #: Members of a block of a long list.
 BLOCK = 2048
 SLICE = 2 << 20
+#: Most rows (of four numbers) that are broadcast.
+SMALL = 200_000
+#: Occurrences in some four million n-grams from which a task reports an n-gram.
+SEEN = 4
 
 U = np.uint64
 _MIX = (U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15))
@@ -136,9 +141,57 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype("int32")), pa.array(flat.view("int64")))
 
 
-def sketches(docs: DataFrame, width: int, t: Threshold) -> DataFrame:
+def parity(s: np.ndarray) -> np.ndarray:
+    """Bit i: whether an odd number of members hash to i; as many bits as members, at least BITS, a power of two."""
+    size = max(BITS, 1 << (max(len(s), 1) - 1).bit_length())
+    return np.packbits(np.bincount((s & U(size - 1)).astype("int64"), minlength=size) & 1)
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The same bitmap with fewer bits."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0) if len(bits) > size else bits
+
+
+def common_grams(docs: DataFrame, width: int) -> np.ndarray:
+    """Hashes of n-grams that make up a millionth or more of all documents' sets (so a million at most), sorted.
+
+    They stand last in the order of every set, which keeps inverted lists short. The order is free: links do not depend on it. Each
+    task reports what it sees `SEEN` times in some MB of text; their sums are compared with all documents' sizes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def report() -> pa.RecordBatch:
+            grams, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, "uint64"), np.empty(0, "int64"))
+            often = counts >= SEEN
+            return pa.RecordBatch.from_arrays([pa.array(np.r_[grams[often].view("int64"), 0]), pa.array(np.r_[counts[often], 0]), pa.array(np.r_[np.zeros(often.sum(), "int64"), counts.sum()])], names=["gram", "n", "all"])
+
+        for whole in batches:
+            for b in _slices(whole):
+                held += shingle_sets(b.column("text").to_pylist(), width)
+                if sum(map(len, held)) > 4_000_000:
+                    yield report()
+                    held.clear()
+        yield report()
+
+    seen = cut(docs.select("text").mapInArrow(run, "gram long, n long, all long"))
+    total = seen.agg(F.sum("all").alias("t")).first()["t"] or 0
+    often = seen.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(2 * SEEN, total // 1_000_000))
+    found = np.sort(np.array([r["gram"] for r in often.select("gram").collect()], "int64").view("uint64"))
+    drop(seen)
+    return found
+
+
+def sketches(docs: DataFrame, width: int, t: Threshold, common: np.ndarray) -> DataFrame:
     """doc_id, set size n, 128-bit signature of the set, leading hashes (all of a light set) and parity bitmap."""
 
+    def ranked(s: np.ndarray) -> np.ndarray:
+        if not len(common) or not len(s):
+            return s
+        often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+        return np.concatenate([s[~often], s[often]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in _slices(whole):
@@ -146,11 +199,12 @@ def sketches(docs: DataFrame, width: int, t: Threshold) -> DataFrame:
                 n = np.array([len(s) for s in sets], "int64")
                 one = np.array([s.sum(dtype="uint64") for s in sets], "uint64")
                 two = np.array([mix(s).sum(dtype="uint64") for s in sets], "uint64")
-                lead = [s if len(s) <= LIGHT else s[: t.prefix(len(s))] for s in sets]
-                bits = [np.packbits(np.bincount((s & U(BITS - 1)).astype("int64"), minlength=BITS) & 1).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(one.view("int64")), pa.array(two.view("int64")), _lists(lead), pa.array(bits, "binary")], names=["doc_id", "n", "s1", "s2", "lead", "bits"])
+                lead = [ranked(s)[: len(s) if len(s) <= LIGHT else t.prefix(len(s))] for s in sets]
+                wide = [parity(s) for s in sets]
+                bits = [_folded(w, BITS // 8).tobytes() for w in wide]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(one.view("int64")), pa.array(two.view("int64")), _lists(lead), pa.array(bits, "binary"), pa.array([w.tobytes() for w in wide], "binary")], names=["doc_id", "n", "s1", "s2", "lead", "bits", "wide"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, lead array<long>, bits binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, lead array<long>, bits binary, wide binary")
 
 
 def boundary(sizes: dict[int, int], t: Threshold, list_length: float) -> int:
@@ -253,6 +307,24 @@ def _compare(members: DataFrame, t: Threshold, heads: bool) -> DataFrame:
     return members.mapInArrow(run, "a long, b long").distinct()
 
 
+def _close(pairs: DataFrame, reps: DataFrame, t: Threshold) -> DataFrame:
+    """The pairs whose full bitmaps, which grow with the sets, do not rule a link out."""
+    left = pairs.join(reps.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("wide").alias("x")), "a")
+    both = left.join(reps.select(F.col("node").alias("b"), "n", F.col("wide").alias("y")), "b").select("a", "b", "m", "n", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for m, n, x, y in zip(*(batch.column(c).to_pylist() for c in ("m", "n", "x", "y")), strict=True):
+                p, q = np.frombuffer(x, "uint8"), np.frombuffer(y, "uint8")
+                size = min(len(p), len(q))
+                differ = np.bitwise_count(_folded(p, size) ^ _folded(q, size)).sum(dtype="int64")
+                keep.append(bool(differ <= m + n - 2 * t.overlap(m, n)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, "bool"))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     """The pairs whose whole sets link."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
@@ -272,7 +344,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
 def link_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id: the least doc_id that links of similarity num / den or more reach."""
     t, spark = Threshold(num, den), docs.sparkSession
-    rows = cut(sketches(docs, width, t).withColumn("row", F.monotonically_increasing_id()))
+    rows = cut(sketches(docs, width, t, common_grams(docs, width)).withColumn("row", F.monotonically_increasing_id()))
     classes = cut(rows.filter("n > 0").groupBy("s1", "s2").agg(F.min("row").alias("node")))
     reps = cut(rows.join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"))
 
@@ -287,9 +359,6 @@ def link_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     posts = lists.unionByName(_subset_keys(reps.filter(F.col("n") <= light), t))
     shared = posts.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     live = cut(posts.join(shared, "key"))
-    nodes = live.select("node").distinct()
-
-    members = cut(_set_rows(docs, rows, nodes, width))
     bits = live.join(reps.select("node", "bits"), "node")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
@@ -302,25 +371,32 @@ def link_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     whole = bits.select("key", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("side"), "node", "n", "bits", F.lit(0).cast("long").alias("root"))
     parts = partitions(spark)
     stars = _compare(whole.repartition(parts, "key", "i").sortWithinPartitions("key", "i", draw), t, heads=True)
-    links = cut(_verified(stars, members, t))
+    tried = cut(stars)
+    near = cut(_close(tried, reps, t))
+    links = cut(_verified(near, _set_rows(docs, rows, near, width), t))
     joined = components(links)
 
     rest = dealt.join(joined.withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
     others = _compare(rest.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "node"), t, heads=False)
-    more = cut(_verified(others, members, t))
+    untried = cut(others.join(tried, ["a", "b"], "left_anti"))
+    others = cut(_close(untried, reps, t))
+    more = cut(_verified(others, _set_rows(docs, rows, others, width), t))
     roots = components(links.unionByName(more))
 
     placed = rows.join(classes, ["s1", "s2"], "left").join(roots, "node", "left").select("doc_id", "n", "row", F.coalesce("root", "node", -1 - F.col("row")).alias("root"))
     placed = cut(placed)
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    drop(live, members, links, more, reps)
+    drop(live, tried, untried, near, others, links, more, reps)
     return out
 
 
-def _set_rows(docs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node and its whole set as bytes, for the nodes that share a list with another."""
-    wanted = rows.select("doc_id", "row", "s1", "s2").join(nodes.withColumnRenamed("node", "row"), "row", "left_semi")
+def _set_rows(docs: DataFrame, rows: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """node and its whole set as bytes, for the nodes of some pairs."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    wanted = rows.select("doc_id", "row", "s1", "s2").join(nodes, "row", "left_semi")
+    if nodes.count() <= SMALL:
+        wanted = F.broadcast(wanted)  # its size has just been checked; beyond it texts are shuffled
     texts = docs.select("doc_id", "text").alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("text", "row", "s1", "s2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
