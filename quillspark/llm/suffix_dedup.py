@@ -23,20 +23,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, drop, table
 from .loser_tree import decoded, front_coded, merge
 from .shingle_join import _BASE, U, _tables, mix
 
 WINDOW, SEED = 50, 20
 SPAN = WINDOW - SEED + 1
 SLICE = 1 << 20
-#: Text bytes in one sorted run, and in one range of the exchange.
-RUN, RANGE = 16 << 20, 24 << 20
-#: Most ids that are broadcast to spare texts a shuffle.
-SMALL = 500_000
+#: Text bytes in one run of fingerprints, in one sorted run of suffixes, and in one range of the exchange.
+RUN, SORTED, RANGE = 8 << 20, 4 << 20, 16 << 20
+#: Most ids, and most bytes of spans, that are broadcast to spare texts a shuffle.
+SMALL, SMALL_BYTES = 500_000, 48 << 20
 LARGE = (1 << 63) - 1
 _VALUE = mix(np.arange(256, dtype="uint64") * U(0x1000193) + U(77))
 
@@ -133,7 +134,7 @@ def _fingerprint_runs(ranges: int):
                 parts.append(hash(i) % ranges)
                 own.append(True)
                 docs.append(np.array([i], "<i8").tobytes())
-                blobs.append(np.stack([theirs[s:e], np.zeros(e - s, "uint64")]).tobytes())
+                blobs.append(theirs[s:e].tobytes() + bytes(e - s))
             value, who = prints[head], np.where(count > 1, np.uint32(0xFFFFFFFF), doc[head].astype("uint32"))
             part = (value * U(ranges)) >> U(48)
             edge = np.searchsorted(part, np.arange(ranges + 1, dtype="uint64"))
@@ -193,12 +194,12 @@ def _shared(ranges: int):
         hidden = np.add.reduceat(none, head) > 0
         docs = np.repeat(np.where(hidden, 0, count), count)
         keep = np.repeat(count > 1, count) & ~none
-        value, owner, docs = value[keep], owner[keep], docs[keep]
+        value, owner, docs = value[keep], owner[keep], np.where(docs[keep] > 255, 0, docs[keep]).astype("uint8")
         order = np.argsort(owner, kind="stable")
         value, owner, docs = value[order], owner[order], docs[order]
         edge = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True]) if len(owner) else []
         ids = [int(owner[s]) for s in edge[:-1]]
-        blobs = [np.stack([value[s:e], docs[s:e].astype("uint64")]).tobytes() for s, e in zip(edge[:-1], edge[1:], strict=True)]
+        blobs = [value[s:e].tobytes() + docs[s:e].tobytes() for s, e in zip(edge[:-1], edge[1:], strict=True)]
         for i in range(0, len(ids), 10000):
             yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 10000], "int64"), pa.array(blobs[i : i + 10000], "binary")], names=["id", "prints"])
 
@@ -242,7 +243,7 @@ def _intervals(rows: np.ndarray, starts: np.ndarray) -> list[tuple[int, bytes]]:
     last = np.r_[first[1:], len(rows)] - 1
     r, a, b = rows[first], starts[first], starts[last] + WINDOW
     edge = np.flatnonzero(np.r_[True, r[1:] != r[:-1], True])
-    return [(int(r[s]), np.stack([a[s:e], b[s:e]], axis=1).astype("<i8").tobytes()) for s, e in zip(edge[:-1], edge[1:], strict=True)]
+    return [(int(r[s]), np.stack([a[s:e], b[s:e]], axis=1).astype("<u4").tobytes()) for s, e in zip(edge[:-1], edge[1:], strict=True)]
 
 
 _OUT = ["part", "id", "tag", "blob", "tail"]
@@ -259,31 +260,54 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _sorted_runs(ranges: int):
     """Rows with part -1: settled intervals of a document; others: a front-coded run of suffixes for a range, and its tails."""
 
+    def known_prints(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        value = np.concatenate([np.frombuffer(b, "<u8", len(b) // 9) for b in blobs])
+        count = np.concatenate([np.frombuffer(b, "u1", len(b) // 9, len(b) // 9 * 8) for b in blobs])
+        by = np.argsort(value, kind="stable")
+        return value[by], count[by]
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        """(id, tag, text, blobs) of some MB of text. The rows of an id's fingerprints come before those of its texts."""
+        notes, whose, held, size = [], None, [], 0
+        for b in batches:
+            for i, tag, text, blob in zip(*(b.column(c).to_pylist() for c in ("id", "tag", "raw", "prints")), strict=True):
+                if i != whose:
+                    notes, whose = [], i
+                if blob is not None:
+                    notes.append(blob)
+                    continue
+                held.append((i, tag, text or b"", notes))
+                size += len(held[-1][2])
+                if size >= SORTED:
+                    yield held
+                    held, size = [], 0
+        if held:
+            yield held
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _gathered(batches, RUN):
-            ids, tags = t.column("id").to_numpy(), t.column("tag").to_numpy()
-            data, ends = _joined(_raw(t.column("text")))
+        for rows in gathered(batches):
+            ids, tags = (np.array([r[k] for r in rows], "int64") for k in (0, 1))
+            data, ends = _joined([r[2] for r in rows])
             place, prints, first, last = anchors(data, ends)
             doc = np.searchsorted(ends, place, side="right")
             docs = np.zeros(len(place), "int64")
             keep = np.zeros(len(place), bool)
             edge = np.searchsorted(doc, np.arange(len(ids) + 1))
-            for i, blobs in enumerate(t.column("prints").to_pylist()):
-                known = np.concatenate([np.frombuffer(b, "<u8").reshape(2, -1) for b in blobs], axis=1)
-                by = np.argsort(known[0], kind="stable")
+            for i, (_, _, _, blobs) in enumerate(rows):
+                value, count = known_prints(blobs)
                 s, e = edge[i], edge[i + 1]
-                at = np.minimum(np.searchsorted(known[0][by], prints[s:e]), len(by) - 1)
-                keep[s:e] = known[0][by][at] == prints[s:e]
-                docs[s:e] = known[1][by][at]
+                at = np.minimum(np.searchsorted(value, prints[s:e]), len(value) - 1)
+                keep[s:e] = value[at] == prints[s:e]
+                docs[s:e] = count[at]
+            del rows
             place, prints, first, last, doc, docs = (x[keep] for x in (place, prints, first, last, doc, docs))
             if not len(place):
                 continue
             begin = np.r_[0, ends[:-1]][doc]
-            column = np.arange(WINDOW)
-            at = place[:, None] + column
-            right = np.where(at < ends[doc][:, None], data[np.minimum(at, len(data) - 1)], 0).astype("uint8")
-            at = place[:, None] - 1 - column[: SPAN - 1]
-            left = np.where(at >= begin[:, None], data[np.maximum(at, 0)], 0).astype("uint8")
+            after, before = (ends[doc] - place)[:, None], (place - begin)[:, None]
+            padded = np.concatenate([np.zeros(SPAN - 1, "uint8"), data, np.zeros(WINDOW, "uint8")])
+            right = np.where(np.arange(WINDOW) < after, sliding_window_view(padded, WINDOW)[place + SPAN - 1], np.uint8(0))
+            left = np.where(np.arange(SPAN - 1) < before, sliding_window_view(padded, SPAN - 1)[place][:, ::-1], np.uint8(0))
             words = np.zeros((len(place), 56), "uint8")
             words[:, :WINDOW] = right
             keys = np.ascontiguousarray(words).view(">u8").astype("uint64")
@@ -353,18 +377,20 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(id, tag, spans): for documents with bytes to remove, lists of pairs of 64-bit offsets. docs: id, tag, text."""
+    """(id, tag, spans): for documents with bytes to remove, lists of pairs of 32-bit offsets. docs: id, tag, text."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     ranges = max(1, -(-size // RANGE))
     runs = docs.select("id", "text").mapInArrow(_fingerprint_runs(ranges), "part int, own boolean, docs binary, blob binary")
     shared = runs.repartitionById(ranges, F.col("part")).mapInArrow(_shared(ranges), "id long, prints binary")
     held = cut(shared)
-    known = held.groupBy("id").agg(F.collect_list("prints").alias("prints"), F.min(_first_print("prints")).alias("least"))
-    some = docs
-    if held.select("id").distinct().count() <= SMALL:
-        some = docs.join(F.broadcast(held.select("id").distinct()), "id", "left_semi")  # its size has just been checked
-    both = some.join(known, "id").repartitionByRange(max(1, ranges), "least", "id").sortWithinPartitions("least", "id")
-    settled = cut(both.select("id", "tag", "text", "prints").mapInArrow(_sorted_runs(ranges), OUT))
+    least = held.groupBy("id").agg(F.min(_first_print("prints")).alias("least"))
+    place = cut(least.repartitionByRange(ranges, "least", "id").withColumn("bucket", F.spark_partition_id()))
+    at = F.broadcast(place) if place.count() <= SMALL else place  # its size has just been checked; beyond it both sides are shuffled
+    texts = docs.join(at, "id").select("bucket", "least", "id", "tag", F.encode("text", "UTF-8").alias("raw"), F.lit(None).cast("binary").alias("prints"))
+    notes = held.join(at, "id").select("bucket", "least", "id", F.lit(None).cast("long").alias("tag"), F.lit(None).cast("binary").alias("raw"), "prints")
+    both = texts.unionByName(notes).repartitionById(ranges, F.col("bucket")).sortWithinPartitions("least", "id", F.col("prints").isNull())
+    settled = cut(both.select("id", "tag", "raw", "prints").mapInArrow(_sorted_runs(ranges), OUT))
+    drop(held, place)
     more = settled.filter(F.col("part") >= 0).repartitionById(ranges, F.col("part")).mapInArrow(_merged, OUT)
     return settled.filter(F.col("part") < 0).unionByName(more).groupBy("id", "tag").agg(F.collect_list("blob").alias("spans"))
 
@@ -379,13 +405,10 @@ def cleaned(docs: DataFrame, keep: list[str]) -> DataFrame:
     named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LARGE))).withColumn("_tag", F.xxhash64("text"))
     spans = cut(repeats(named.select(F.col("_id").alias("id"), F.col("_tag").alias("tag"), "text")))
     some = spans.select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), "spans")
-    touched = some.count()
-    if touched <= SMALL:
-        ids = F.broadcast(some.select("_id").distinct())  # its size has just been checked
-        hit, rest = named.join(ids, "_id", "left_semi"), named.join(ids, "_id", "left_anti").withColumn("spans", F.lit(None).cast("array<binary>"))
-        joined = hit.join(some, ["_id", "_tag"], "left")
-    else:
-        joined, rest = named.join(some, ["_id", "_tag"], "left"), None
+    size = spans.agg(F.sum(F.aggregate("spans", F.lit(64), lambda a, x: a + F.octet_length(x))).alias("b")).first()["b"] or 0
+    joined = named.join(F.broadcast(some) if size <= SMALL_BYTES else some, ["_id", "_tag"], "left")  # broadcast only after this check
+    rest = joined.filter(F.col("spans").isNull())
+    joined = joined.filter(F.col("spans").isNotNull())
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,7 +419,7 @@ def cleaned(docs: DataFrame, keep: list[str]) -> DataFrame:
                 for raw, blobs in zip(_raw(b.column("text")), b.column("spans").to_pylist(), strict=True):
                     removed = n = 0
                     if blobs:
-                        spans = sorted(tuple(x) for blob in blobs for x in np.frombuffer(blob, "<i8").reshape(-1, 2).tolist())
+                        spans = sorted(tuple(x) for blob in blobs for x in np.frombuffer(blob, "<u4").reshape(-1, 2).tolist())
                         pieces, end = [], 0
                         for a, z in spans:
                             if a > end or not n:
@@ -413,8 +436,6 @@ def cleaned(docs: DataFrame, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "kept", "n_bytes", "n_removed", "n_spans"])
 
     out = joined.select(*dict.fromkeys([*keep, "text"]), "spans").mapInArrow(run, f"{schema}, kept binary, n_bytes long, n_removed long, n_spans long")
-    if rest is None:
-        return out
     whole = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
     same = rest.select(*keep, whole.alias("kept"), F.octet_length(whole).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
     return out.unionByName(same)
