@@ -12,25 +12,30 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, scratch_dir, table
+from .common import cut, scratch_dir, table
 
 END = 2
 #: Text bytes in one file.
 RUN_BYTES = 32 << 20
-#: Words whose ids a worker remembers.
-REMEMBERED = 300_000
-FORMAT = {"parquet.enable.dictionary": "true", "parquet.block.size": str(16 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000", "compression": "zstd"}
-
-_words = re.compile(f"[^{SPACES}]+")
+#: Pieces of text whose ids a worker remembers.
+REMEMBERED = 350_000
+FORMAT = {"parquet.enable.dictionary": "true", "parquet.block.size": str(16 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000", "compression": "snappy"}
+
+#: Texts of these characters alone (ASCII and the Latin letters after it) are their own composed form, and lower case and the
+#: tokenizer's splitting act on them as below; others go to the tokenizer whole.
+_plain = re.compile("[\\t-\\r\\x20-\\x7eÀ-ÖØ-öø-ÿ]*")
+_pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 _loaded: dict = {}
 
 
@@ -41,34 +46,50 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def _encoder(path: str):
-    """(words of a text -> bytes of 32-bit ids). Its tokens never span white space, so ids of words are remembered."""
+    """texts, end id -> (ids of all texts, count of each). Tokens never span pieces, so ids of pieces are remembered."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        _loaded[path] = _encoder_of(path)
+    return _loaded[path]
+
+
+def _encoder_of(path: str):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    special = [str(t) for t in tok.get_added_tokens_decoder().values()]
+
+    def ids_of(text: str) -> bytes:
+        ids = tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return struct.pack(f"<{len(ids)}i", *ids)
+
+    class Known(dict):
+        def __missing__(self, piece: str) -> bytes:
+            ids = ids_of(piece)
+            if len(self) < REMEMBERED:
+                self[piece] = ids
+            return ids
 
-        _loaded[path] = (Tokenizer.from_file(path), {})
-    tok, known = _loaded[path]
+    get = Known().__getitem__
 
     def encode(texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
-        split = [_words.findall(t) if t else [] for t in texts]
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list(set().union(*split).difference(known))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<i4").tobytes()
-        last = np.array([end], "<i4").tobytes()
-        rows = [b"".join(map(known.__getitem__, ws)) + last for ws in split]
+        last, rows = struct.pack("<i", end), []
+        for t in texts:
+            if not t:
+                rows.append(last)
+            elif _plain.fullmatch(t) and not any(x in t for x in special):
+                rows.append(b"".join([*map(get, _pieces.findall(t.lower())), last]))
+            else:
+                rows.append(ids_of(t) + last)
         counts = np.fromiter(map(len, rows), "int64", len(rows)) // 4
         return np.frombuffer(b"".join(rows), "<i4"), counts
 
     return encode
 
 
-def _slices(batch: pa.RecordBatch, column: str, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch with some MB of text each; a longer text comes alone."""
-    ends = np.cumsum([len(x) if x is not None else 0 for x in batch.column(column).to_pylist()])
+def _slices(batch: pa.RecordBatch, column: str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch with about 2 MB of text each; a longer text comes alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
@@ -79,8 +100,8 @@ def _slices(batch: pa.RecordBatch, column: str, size: int = 8 << 20) -> Iterator
 def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """doc_id, run, pos (row number in the run) and ids of each document; runs are partitions in ascending doc_id order."""
     text = docs.select("doc_id", "text")
-    size = text.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    runs = max(1, -(-int(size["bytes"] or 0) // RUN_BYTES))
+    # The planner knows the files' size; texts are some twice that when unpacked.
+    runs = max(1, -(-2 * int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // RUN_BYTES))
     cuts = text.agg(F.percentile_approx("doc_id", [i / runs for i in range(1, runs)], 10000).alias("c")).first()["c"] if runs > 1 else []
     run: Column = F.lit(0)
     if cuts:
