@@ -97,11 +97,18 @@ def _slices(batch: pa.RecordBatch, column: str, size: int = 2 << 20) -> Iterator
         at = to
 
 
+def _text_bytes(docs: DataFrame) -> int:
+    """About how many bytes of text: of a plain table of files twice the files' size, else as counted."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    if plan.getClass().getSimpleName() == "LogicalRelation":
+        return 2 * int(plan.stats().sizeInBytes())
+    return docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+
+
 def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """doc_id, run, pos (row number in the run) and ids of each document; runs are partitions in ascending doc_id order."""
     text = docs.select("doc_id", "text")
-    # The planner knows the files' size; texts are some twice that when unpacked.
-    runs = max(1, -(-2 * int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // RUN_BYTES))
+    runs = max(1, -(-_text_bytes(docs) // RUN_BYTES))
     cuts = text.agg(F.percentile_approx("doc_id", [i / runs for i in range(1, runs)], 10000).alias("c")).first()["c"] if runs > 1 else []
     run: Column = F.lit(0)
     if cuts:
