@@ -159,16 +159,15 @@ def _fingerprint_runs(ranges: int):
 
 
 def _shared(ranges: int):
-    """Rows (id, prints): shared fingerprints of a document, and the count of documents that hold each (0: not known)."""
+    """Rows (slot, blob): packed (document, shared fingerprint, count of documents that hold it, 0: not known), dealt by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, owners = [], []
+        values, owners, known = [], [], []
         for b in batches:
-            ids, blobs = [], []
             for part, own, docs, blob in zip(*(b.column(c).to_pylist() for c in ("part", "own", "docs", "blob")), strict=True):
                 if own:
-                    ids.append(int.from_bytes(docs, "little", signed=True))
-                    blobs.append(blob)
+                    n = len(blob) // 9
+                    known.append((np.full(n, int.from_bytes(docs, "little", signed=True)), np.frombuffer(blob, "<u8", n), np.zeros(n, "uint8")))
                     continue
                 wide = blob[0]
                 n = (len(blob) - 1) // (12 if wide else 6)
@@ -179,33 +178,50 @@ def _shared(ranges: int):
                 gaps[0] += U((part << 48) // ranges)
                 values.append(np.cumsum(gaps, dtype="uint64"))
                 owners.append((names[np.where(local == none, len(names) - 1, local)], local == none))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, "int64"), pa.array(blobs, "binary")], names=["id", "prints"])
-        if not values:
+        if values:
+            value = np.concatenate(values)
+            owner, none = np.concatenate([o[0] for o in owners]), np.concatenate([o[1] for o in owners])
+            del values, owners
+            order = np.argsort(value, kind="stable")
+            value, owner, none = value[order], owner[order], none[order]
+            head = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+            count = np.diff(np.r_[head, len(value)])
+            # A run that shares it among several of its documents makes the count unknown.
+            hidden = np.add.reduceat(none, head) > 0
+            docs = np.repeat(np.where(hidden | (count > 255), 0, count), count).astype("uint8")
+            keep = np.repeat(count > 1, count) & ~none
+            known.append((owner[keep], value[keep], docs[keep]))
+        if not known:
             return
-        value = np.concatenate(values)
-        owner, none = np.concatenate([o[0] for o in owners]), np.concatenate([o[1] for o in owners])
-        del values, owners
-        order = np.argsort(value, kind="stable")
-        value, owner, none = value[order], owner[order], none[order]
-        head = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-        count = np.diff(np.r_[head, len(value)])
-        # A run that shares it among several of its documents makes the count unknown.
-        hidden = np.add.reduceat(none, head) > 0
-        docs = np.repeat(np.where(hidden, 0, count), count)
-        keep = np.repeat(count > 1, count) & ~none
-        value, owner, docs = value[keep], owner[keep], np.where(docs[keep] > 255, 0, docs[keep]).astype("uint8")
-        order = np.argsort(owner, kind="stable")
-        value, owner, docs = value[order], owner[order], docs[order]
-        edge = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True]) if len(owner) else []
-        ids = [int(owner[s]) for s in edge[:-1]]
-        blobs = [value[s:e].tobytes() + docs[s:e].tobytes() for s, e in zip(edge[:-1], edge[1:], strict=True)]
-        for i in range(0, len(ids), 10000):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 10000], "int64"), pa.array(blobs[i : i + 10000], "binary")], names=["id", "prints"])
+        owner, value, docs = (np.concatenate(x) for x in zip(*known, strict=True))
+        slot = (mix(owner.view("uint64")) % U(ranges)).astype("int32")
+        order = np.lexsort((owner, slot))
+        owner, value, docs, slot = owner[order], value[order], docs[order], slot[order]
+        edge = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1], True]) if len(slot) else []
+        blobs = [owner[s:e].tobytes() + value[s:e].tobytes() + docs[s:e].tobytes() for s, e in zip(edge[:-1], edge[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(slot[edge[:-1]] if len(slot) else [], "int32"), pa.array(blobs, "binary")], names=["slot", "blob"])
 
     return run
 
 
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, least, prints): a document's shared fingerprints in order, eight bytes each, then their counts."""
+    held = []
+    for b in batches:
+        for blob in b.column("blob").to_pylist():
+            n = len(blob) // 17
+            held.append((np.frombuffer(blob, "<i8", n), np.frombuffer(blob, "<u8", n, 8 * n), np.frombuffer(blob, "u1", n, 16 * n)))
+    if not held:
+        return
+    owner, value, docs = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((value, owner))
+    owner, value, docs = owner[order], value[order], docs[order]
+    edge = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True])
+    for at in range(0, len(edge) - 1, 5000):
+        part = list(zip(edge[:-1][at : at + 5000], edge[1:][at : at + 5000], strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([int(owner[s]) for s, _ in part], "int64"), pa.array([int(value[s]) for s, _ in part], "int64"), pa.array([value[s:e].tobytes() + docs[s:e].tobytes() for s, e in part], "binary")], names=["id", "least", "prints"])
+
+
 # ---- 2. and 3. sorted suffixes
 
 
@@ -260,23 +276,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _sorted_runs(ranges: int):
     """Rows with part -1: settled intervals of a document; others: a front-coded run of suffixes for a range, and its tails."""
 
-    def known_prints(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        value = np.concatenate([np.frombuffer(b, "<u8", len(b) // 9) for b in blobs])
-        count = np.concatenate([np.frombuffer(b, "u1", len(b) // 9, len(b) // 9 * 8) for b in blobs])
-        by = np.argsort(value, kind="stable")
-        return value[by], count[by]
-
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        """(id, tag, text, blobs) of some MB of text. The rows of an id's fingerprints come before those of its texts."""
-        notes, whose, held, size = [], None, [], 0
+        """(id, tag, text, fingerprints) of some MB of text. The row of an id's fingerprints comes before those of its texts."""
+        note, held, size = b"", [], 0
         for b in batches:
             for i, tag, text, blob in zip(*(b.column(c).to_pylist() for c in ("id", "tag", "raw", "prints")), strict=True):
-                if i != whose:
-                    notes, whose = [], i
                 if blob is not None:
-                    notes.append(blob)
+                    note = blob
                     continue
-                held.append((i, tag, text or b"", notes))
+                held.append((i, tag, text or b"", note))
                 size += len(held[-1][2])
                 if size >= SORTED:
                     yield held
@@ -293,8 +301,9 @@ def _sorted_runs(ranges: int):
             docs = np.zeros(len(place), "int64")
             keep = np.zeros(len(place), bool)
             edge = np.searchsorted(doc, np.arange(len(ids) + 1))
-            for i, (_, _, _, blobs) in enumerate(rows):
-                value, count = known_prints(blobs)
+            for i, (_, _, _, note) in enumerate(rows):
+                n = len(note) // 9
+                value, count = np.frombuffer(note, "<u8", n), np.frombuffer(note, "u1", n, 8 * n)
                 s, e = edge[i], edge[i + 1]
                 at = np.minimum(np.searchsorted(value, prints[s:e]), len(value) - 1)
                 keep[s:e] = value[at] == prints[s:e]
@@ -381,13 +390,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     ranges = max(1, -(-size // RANGE))
     runs = docs.select("id", "text").mapInArrow(_fingerprint_runs(ranges), "part int, own boolean, docs binary, blob binary")
-    shared = runs.repartitionById(ranges, F.col("part")).mapInArrow(_shared(ranges), "id long, prints binary")
-    held = cut(shared)
-    least = held.groupBy("id").agg(F.min(_first_print("prints")).alias("least"))
-    place = cut(least.repartitionByRange(ranges, "least", "id").withColumn("bucket", F.spark_partition_id()))
+    shared = runs.repartitionById(ranges, F.col("part")).mapInArrow(_shared(ranges), "slot int, blob binary")
+    held = cut(shared.repartitionById(ranges, F.col("slot")).mapInArrow(_by_document, "id long, least long, prints binary"))
+    place = cut(held.select("id", "least").repartitionByRange(ranges, "least", "id").withColumn("bucket", F.spark_partition_id()))
     at = F.broadcast(place) if place.count() <= SMALL else place  # its size has just been checked; beyond it both sides are shuffled
     texts = docs.join(at, "id").select("bucket", "least", "id", "tag", F.encode("text", "UTF-8").alias("raw"), F.lit(None).cast("binary").alias("prints"))
-    notes = held.join(at, "id").select("bucket", "least", "id", F.lit(None).cast("long").alias("tag"), F.lit(None).cast("binary").alias("raw"), "prints")
+    notes = held.drop("least").join(at, "id").select("bucket", "least", "id", F.lit(None).cast("long").alias("tag"), F.lit(None).cast("binary").alias("raw"), "prints")
     both = texts.unionByName(notes).repartitionById(ranges, F.col("bucket")).sortWithinPartitions("least", "id", F.col("prints").isNull())
     settled = cut(both.select("id", "tag", "raw", "prints").mapInArrow(_sorted_runs(ranges), OUT))
     drop(held, place)
@@ -395,11 +403,6 @@ def repeats(docs: DataFrame) -> DataFrame:
     return settled.filter(F.col("part") < 0).unionByName(more).groupBy("id", "tag").agg(F.collect_list("blob").alias("spans"))
 
 
-def _first_print(column: str):
-    """The least fingerprint in a row: they are sorted, little-endian, six bytes."""
-    return F.conv(F.hex(F.concat(*[F.substring(column, i, 1) for i in range(6, 0, -1)])), 16, 10).cast("long")
-
-
 def cleaned(docs: DataFrame, keep: list[str]) -> DataFrame:
     """keep columns, `kept` (the bytes left), n_bytes, n_removed and n_spans of each document. docs: doc_id and text."""
     named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LARGE))).withColumn("_tag", F.xxhash64("text"))
