@@ -168,4 +168,18 @@ ORACLES = {
         b AS (SELECT DISTINCT id, nb FROM (SELECT caller AS id, callee AS nb FROM u UNION ALL SELECT callee, caller FROM u) x), sp AS (SELECT DISTINCT s_nationkey FROM supplier WHERE s_suppkey IN (1, 5)),
         r AS (SELECT b.id, b.nb AS neighbour, CAST(row_number() OVER (PARTITION BY b.id ORDER BY CASE WHEN s.s_nationkey IN (SELECT s_nationkey FROM sp) THEN 0 ELSE 1 END, degree DESC, s_name) AS INTEGER) AS rank FROM b JOIN supplier s ON s.s_suppkey = b.nb LEFT JOIN dg ON dg.id = b.nb) SELECT * FROM r WHERE rank <= 4""",
     "edge_lines": f"WITH {_EDGES} SELECT caller, callee, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS lines FROM (SELECT DISTINCT * FROM e) x GROUP BY caller, callee",
+    "auth_sessions": "SELECT o_orderkey AS token_id, c_custkey AS user_id, c_name AS username FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate > TIMESTAMP '1996-01-01' AND c_acctbal > 0",
+    "expired_sessions": "SELECT o_orderkey AS token_id FROM orders WHERE o_orderdate <= TIMESTAMP '1996-01-01'",
+    "demotable": "SELECT c_custkey AS user_id, c_custkey <> 1 AND (NOT (c_mktsegment = 'BUILDING' AND c_acctbal > 0) OR (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0) > 1) AS may_demote FROM customer",
+    "repository_counts": "SELECT n_nationkey, n_name, count(s_suppkey) AS n_files FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY n_nationkey, n_name",
+    "hydrate": "SELECT p_partkey AS id, ord, p_name, s_name FROM (SELECT l_partkey, min(l_orderkey) AS ord, min(l_suppkey) AS f FROM lineitem GROUP BY l_partkey) x JOIN part ON l_partkey = p_partkey JOIN supplier ON f = s_suppkey",
+    "metadata_filtered": "SELECT doc_id, lang, source FROM documents WHERE lang = 'en' AND source IN ('src1', 'src2')",
+    "archive_consistency": f"WITH {_EX} SELECT session_id, count(*) AS n_messages, count(DISTINCT event_id) AS n_events, count(*) = count(DISTINCT seq) AND max(seq) - min(seq) + 1 = count(DISTINCT seq) AS whole FROM x GROUP BY session_id",
+    "throughput": "SELECT event_type, count(*) AS n, round(coalesce(count(*) / nullif(epoch(max(ts)) - epoch(min(ts)), 0), 0.0), 6) AS qps FROM events GROUP BY event_type",
+    "graph_elements": f"WITH {_EDGES} SELECT 'node' AS \"group\", CAST(s_suppkey AS VARCHAR) AS id, s_name AS label, NULL AS source, NULL AS target FROM supplier UNION ALL SELECT DISTINCT 'edge', CAST(caller AS VARCHAR) || '->' || CAST(callee AS VARCHAR), NULL, CAST(caller AS VARCHAR), CAST(callee AS VARCHAR) FROM e",
+    "usernames": "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN lower(replace(c_name, '#', '_')) WHEN contains(c_name, '#') THEN NULL ELSE lower(c_name) END AS username FROM customer",
+    "context_lines": f"WITH {_BM25}, t AS ({_TOP.format('(SELECT * FROM sc WHERE score > 0) y')}) SELECT item_id, rank, printf('[%d] source=doc-%d score=%.4f', rank, doc_id, floor(score * 100) / 100 + 0.001) AS line FROM t",
+    "version_names": "SELECT doc_id, regexp_replace(source || '/x.md', '[^a-zA-Z0-9_]+', '_', 'g') || '__v' || CAST(n_chars AS VARCHAR) || '_' || substr(sha256(text), 1, 12) AS version FROM documents",
+    "config_changes": f"WITH {_SNAP} SELECT n.doc_id, NOT (n.source = b.source AND n.digest = b.digest) AS changed FROM n JOIN b ON n.doc_id = b.doc_id",
+    "event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY strftime(ts, '%Y-%m-%d'), event_type",
 }

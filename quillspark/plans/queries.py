@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import misc as M
 from ..functions import text as T
-from ..operators import chunking, code, dml, evaluation, fusion, graph, lexical, routing, sessions, vectors, versions
+from ..operators import accounts, chunking, code, dml, evaluation, fusion, graph, lexical, routing, sessions, vectors, versions
 from ..sources.files import table
+from ..streaming.archive import windowed_counts
 
 ASKED = 10
 
@@ -406,3 +408,86 @@ def edge_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def public_sources(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.public_source(F.regexp_replace("url", "^https?:", "")).alias("source"))
+
+
+def auth_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as sign-ins of customers."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("token_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("expires_at"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("username"), (F.col("c_acctbal") > 0).alias("is_active"))
+    return accounts.signed_in(o, c, F.lit("1996-01-01").cast("timestamp_ntz")).select("token_id", "user_id", "username")
+
+
+def expired_sessions(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("token_id"), F.col("o_orderdate").alias("expires_at"))
+    return accounts.expired(o, F.lit("1996-01-01").cast("timestamp_ntz")).select("token_id")
+
+
+def demotable(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    users = c.select(F.col("c_custkey").alias("user_id"), (F.col("c_mktsegment") == "BUILDING").alias("is_admin"), (F.col("c_acctbal") > 0).alias("is_active"), (F.col("c_custkey") == 1).alias("is_superuser"))
+    return accounts.may_demote(users).select("user_id", "may_demote")
+
+
+def repository_counts(spark: SparkSession, d: str) -> DataFrame:
+    return accounts.counted(table(spark, d, "nation").select("n_nationkey", "n_name"), table(spark, d, "supplier"), "n_nationkey", "s_nationkey", "n_files")
+
+
+def hydrate(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as hits of functions (parts) of files (suppliers)."""
+    hits = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.min("l_orderkey").alias("ord"), F.min("l_suppkey").alias("file_id"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name")
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("file_id"), "s_name")
+    return accounts.hydrated(hits, p, s).select("id", "ord", "p_name", "s_name")
+
+
+def metadata_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return accounts.metadata_filter(table(spark, d, "documents"), {"lang": "en", "source": ["src1", "src2"], "h1": ""}).select("doc_id", "lang", "source")
+
+
+def archive_consistency(spark: SparkSession, d: str) -> DataFrame:
+    return accounts.consistency(_exchange(spark, d))
+
+
+def throughput(spark: SparkSession, d: str) -> DataFrame:
+    e = _events(spark, d).withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return accounts.throughput(e, "event_type", "s")
+
+
+def request_batches(spark: SparkSession, d: str) -> DataFrame:
+    e = _events(spark, d).select("event_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    b = accounts.request_batches(e, ["event_type"], 16, 3600.0)
+    return b.groupBy("event_type", "batch").agg(F.count("*").alias("n")).groupBy("event_type").agg(F.count("*").alias("batches"), F.max("n").alias("largest"), F.sum("n").alias("requests"))
+
+
+def graph_elements(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"))
+    return accounts.elements(nodes, _edges(spark, d).select("caller", "callee").distinct())
+
+
+def usernames(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select("c_custkey", M.username(F.concat(F.lit(" "), F.replace("c_name", F.lit("#"), F.when(F.col("c_acctbal") > 0, F.lit("_")).otherwise(F.lit("#"))), F.lit(" "))).alias("username"))
+
+
+def context_lines(spark: SparkSession, d: str) -> DataFrame:
+    return bm25_topk(spark, d).select("item_id", "rank", M.context_line(F.col("rank"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")), F.floor(F.col("score") * 100) / 100 + 0.001).alias("line"))
+
+
+def version_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", M.version_name(F.concat("source", F.lit("/x.md")), F.col("n_chars"), F.sha2("text", 256)).alias("version"))
+
+
+def health_status(spark: SparkSession, d: str) -> DataFrame:
+    rows = health_hysteresis(spark, d)
+    last = rows.groupBy("user_id").agg(F.max_by("degraded", "event_id").alias("degraded"), F.count("*").alias("checked"))
+    return last.select("user_id", M.health_status(F.col("degraded"), F.col("checked")).alias("status"))
+
+
+def config_changes(spark: SparkSession, d: str) -> DataFrame:
+    before, now = _snapshots(spark, d)
+    b = before.select("doc_id", F.col("source").alias("bs"), F.col("digest").alias("bd"))
+    return now.join(b, "doc_id").select("doc_id", M.changed([F.col("bs"), F.col("bd")], [F.col("source"), F.col("digest")]).alias("changed"))
+
+
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    w = windowed_counts(_events(spark, d), width="1 day")
+    return w.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
