@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -114,24 +115,49 @@ def copies(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, keep: tu
     return _settle(cut(rounded), cap).drop("_part", "_pos")
 
 
+def _moves(left: float, places: list[tuple], cap: int) -> dict[tuple, int]:
+    """Copies more or less of single documents (part, place, size, copies) that bring left near 0: the best one or two changes, again and again."""
+    open_ = [(x[2], x[:2], 1) for x in places if x[3] < cap] + [(-x[2], x[:2], -1) for x in places if x[3] > 0]
+    out: dict[tuple, int] = {}
+    for _ in range(16):
+        open_ = sorted(o for o in open_ if o[1] not in out)
+        if abs(left) < 0.5 or not open_:
+            break
+        size = np.array([0.0, *[o[0] for o in open_]])  # 0: no second change
+        order = np.argsort(size, kind="stable")
+        at = np.searchsorted(size[order], left - size[1:])
+        best = (abs(left), None)
+        for shift in (-1, 0):
+            second = order[np.clip(at + shift, 0, len(size) - 1)]
+            off = np.abs(left - size[1:] - size[second])
+            i = int(off.argmin())
+            if off[i] < best[0] - 1e-9 and (second[i] == 0 or open_[second[i] - 1][1] != open_[i][1]):
+                best = (off[i], (i, second[i]))
+        if best[1] is None:
+            break
+        for k in (best[1][0], best[1][1] - 1):
+            if k >= 0:
+                out[open_[k][1]] = open_[k][2]
+                left -= open_[k][0]
+    return out
+
+
 def _settle(rows: DataFrame, cap: float) -> DataFrame:
-    """Moves each source's words closer to its target by one copy more or less of single documents of falling size."""
-    spark, left = rows.sparkSession, F.col("target") - F.col("words")
-    sums = rows.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("words"), F.max("target").alias("target")).select("source", left.alias("left"))
-    more = F.col("left") > 0
-    free = (F.col("size") > 0) & (F.col("target") > 0) & F.when(more, F.col("copies") < int(cap)).otherwise(F.col("copies") > 0)
+    """Moves each source's words closer to its target by one copy more or less of single documents, two of each step of sizes."""
+    spark = rows.sparkSession
     step = F.floor(F.log2(F.col("size").cast("double")) * 4).cast("int")
-    one = F.struct("_part", "_pos", "size")
-    picked = rows.alias("d").join(sums.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "left").filter(free)
-    picked = picked.groupBy("source", step.alias("step"), "left").agg(F.min(one).alias("a"), F.max(one).alias("z")).collect()  # no more rows than sources times some seventy size steps
+    one = F.struct("_part", "_pos", "size", "copies")
+    words = F.sum(F.col("copies") * F.col("size"))
+    some = rows.filter((F.col("size") > 0) & (F.col("target") > 0))
+    found = some.groupBy("source", step.alias("step")).agg(F.min(one).alias("a"), F.max(one).alias("z"), words.alias("words"), F.max("target").alias("target")).collect()  # some seventy steps a source
+    by: dict[str | None, list] = {}
+    for r in found:
+        by.setdefault(r["source"], []).append(r)
     moves: dict[tuple, int] = {}
-    rest = {r["source"]: r["left"] for r in picked}
-    for r in sorted(picked, key=lambda r: -r["step"]):
-        for x in dict.fromkeys((tuple(r["a"]), tuple(r["z"]))):
-            sign = 1 if r["left"] > 0 else -1
-            if x[2] <= sign * rest[r["source"]]:
-                rest[r["source"]] -= sign * x[2]
-                moves[x[:2]] = sign
+    for source in sorted(by, key=lambda s: (s is None, s or "")):
+        group = by[source]
+        places = sorted({tuple(r[k]) for r in group for k in ("a", "z")})
+        moves |= _moves(group[0]["target"] - sum(r["words"] for r in group), places, int(cap))
     fixes = spark.createDataFrame([(p, q, m) for (p, q), m in moves.items()], "_part int, _pos long, _move long")
     return rows.join(fixes, ["_part", "_pos"], "left").withColumn("copies", F.col("copies") + F.coalesce(F.col("_move"), F.lit(0))).drop("_move")
 
