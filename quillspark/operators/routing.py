@@ -21,7 +21,7 @@ DIRECT_TASKS = [
     r"^\s*(你好|您好|谢谢|感谢)[！!。.\s]*$",
 ]
 TECH_TERMS = ["postgresql", "postgres", "mysql", "sqlite", "duckdb", "clickhouse", "python", "fastapi", "javascript", "typescript", "redis", "kafka", "flink", "spark", "sql", "api", "database", "db"]
-FOLLOW_UPS = ["what about that", "what about it", "how about that", "and then", "what happened next", "continue", "go on", "elaborate", "tell me more", "why is that", "what does that mean", "这个呢", "那个呢", "它呢", "他们呢", "后续呢", "然后呢", "继续", "继续讲", "继续说", "展开", "展开讲", "详细说说", "再展开", "接着说", "刚才那个呢", "上面那个呢", "前面那个呢", "这个为什么", "为什么会这样", "这是什么意思", "这怎么来的", "这个怎么来的", "这有什么风险", "这个有什么风险", "这个问题呢", "这个计划呢", "这个事件呢"]
+FOLLOW_UPS = ["这个呢", "那个呢", "它呢", "他们呢", "后续呢", "然后呢", "继续", "继续讲", "继续说", "展开", "展开讲", "详细说说", "再展开", "接着说", "刚才那个呢", "上面那个呢", "前面那个呢", "这个为什么", "为什么会这样", "这是什么意思", "这怎么来的", "这个怎么来的", "这有什么风险", "这个有什么风险", "这个问题呢", "这个计划呢", "这个事件呢", "what about that", "what about it", "how about that", "and then", "what happened next", "continue", "go on", "elaborate", "tell me more", "why is that", "what does that mean"]
 FOLLOW_UP_PATTERNS = [
     r"^(那|那么|所以)?(这个|那个|它|他们|上述|上面|前面|刚才).{0,12}(呢|吗|为什么|怎么|如何|啥意思|什么意思|后续|风险|问题)[？?。!！\s]*$",
     r"^(继续|接着|展开|详细).{0,8}(讲|说|解释|分析)?[。！？?\s]*$",
