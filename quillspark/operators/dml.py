@@ -45,3 +45,18 @@ def violations(df: DataFrame, unique: list[list[str]], checks: dict[str, Column]
         one = df.filter(~F.coalesce(ok, F.lit(False))).agg(F.lit(f"check {name}").alias("rule"), F.count("*").alias("n"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def delete_matching(table: DataFrame, rows: DataFrame, keys: list[list[str]]) -> DataFrame:
+    """The table without rows that agree with one of `rows` on any of several keys."""
+    for k in keys:
+        table = table.join(rows.select(*k).distinct(), k, "left_anti")
+    return table
+
+
+def replace_files(files: DataFrame, functions: DataFrame, edges: DataFrame, new_files: DataFrame, new_functions: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A code index with some files indexed anew: their old rows go by id or by repository and path, with functions and edges."""
+    kept = delete_matching(files, new_files, [["file_id"], ["repository_id", "path"]])
+    held = functions.join(kept.select("file_id"), "file_id", "left_semi")
+    called = edges.join(held.select(F.col("id").alias("function_id")), "function_id", "left_semi")
+    return kept.unionByName(new_files.select(*files.columns)), held.select(*functions.columns).unionByName(new_functions.select(*functions.columns)), called.select(*edges.columns).unionByName(new_edges.select(*edges.columns))

@@ -96,3 +96,22 @@ def _all(parts: list[Column]) -> Column:
     for p in parts[1:]:
         out = out & p
     return out
+
+
+def appended(exchanges: DataFrame, last: DataFrame, floor: int = 0) -> DataFrame:
+    """Two messages for each exchange with the next sequence numbers of its session.
+
+    exchanges: session_id, place, event_id, question, answer; last: session_id, last_seq. floor: least first number of a new run.
+    """
+    start = F.greatest(F.coalesce("last_seq", F.lit(0)), F.lit(floor - 1).cast("long"))
+    k = F.row_number().over(Window.partitionBy("session_id").orderBy("place"))
+    rows = exchanges.join(last, "session_id", "left").withColumn("_s", start + 2 * (k - 1))
+    one = lambda n, role, c: F.struct((F.col("_s") + n).cast("long").alias("seq"), F.lit(role).alias("role"), F.col(c).alias("content"))
+    pair = F.explode(F.array(one(1, "user", "question"), one(2, "assistant", "answer")))
+    return rows.select("session_id", "event_id", pair.alias("m")).select("session_id", "event_id", "m.*")
+
+
+def titled(sessions: DataFrame, first: DataFrame, title: Column) -> DataFrame:
+    """Sessions whose title is still the default take that of their first question. first: session_id and what title reads."""
+    rows = sessions.join(first, "session_id", "left").withColumn("_t", title)
+    return rows.withColumn("title", F.when((F.col("title") == "New chat") & F.col("_t").isNotNull(), F.col("_t")).otherwise(F.col("title"))).select(*sessions.columns)

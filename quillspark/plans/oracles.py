@@ -182,4 +182,12 @@ ORACLES = {
     "version_names": "SELECT doc_id, regexp_replace(source || '/x.md', '[^a-zA-Z0-9_]+', '_', 'g') || '__v' || CAST(n_chars AS VARCHAR) || '_' || substr(sha256(text), 1, 12) AS version FROM documents",
     "config_changes": f"WITH {_SNAP} SELECT n.doc_id, NOT (n.source = b.source AND n.digest = b.digest) AS changed FROM n JOIN b ON n.doc_id = b.doc_id",
     "event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY strftime(ts, '%Y-%m-%d'), event_type",
+    "exchange_append": """WITH m AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nr, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nt FROM conversations),
+        p AS (SELECT conv_id, turn, text, nt, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM m WHERE role = 'user' AND nr = 'assistant'),
+        l AS (SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'system' GROUP BY conv_id),
+        s AS (SELECT p.*, CAST(coalesce(l.n, 0) + 2 * (k - 1) AS BIGINT) AS s FROM p LEFT JOIN l ON p.conv_id = l.conv_id)
+        SELECT conv_id AS session_id, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS event_id, s + 1 AS seq, 'user' AS role, sha256(text) AS content FROM s
+        UNION ALL SELECT conv_id, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR), s + 2, 'assistant', sha256(nt) FROM s""",
+    "session_titles": r"WITH q AS (SELECT conv_id, text FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE role = 'user') x WHERE r = 1), t AS (SELECT conv_id, " + _STRIP.format(r"regexp_replace(text, '\s+', ' ', 'g')") + r" AS t FROM q), s AS (SELECT conv_id, max(turn) > 4 AS fresh FROM conversations GROUP BY conv_id) SELECT s.conv_id AS session_id, CASE WHEN NOT fresh THEN 'Kept' WHEN t IS NULL OR t = '' THEN 'New chat' ELSE regexp_replace(left(t, 24), '\s+$', '') END AS title FROM s LEFT JOIN t ON s.conv_id = t.conv_id",
+    "requested_missing": "WITH a AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), f AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) SELECT a.l_orderkey, coalesce(string_agg(CASE WHEN f.l_suppkey IS NULL THEN CAST(a.l_partkey AS VARCHAR) END, ',' ORDER BY a.l_partkey), '') AS missing, CAST(count(f.l_suppkey) AS INTEGER) AS shared FROM a LEFT JOIN f ON a.l_orderkey = f.l_orderkey AND a.l_partkey = f.l_suppkey GROUP BY a.l_orderkey",
 }

@@ -491,3 +491,26 @@ def config_changes(spark: SparkSession, d: str) -> DataFrame:
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     w = windowed_counts(_events(spark, d), width="1 day")
     return w.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def exchange_append(spark: SparkSession, d: str) -> DataFrame:
+    """Each question and the answer after it as an exchange, appended to what the session's system messages left."""
+    m = table(spark, d, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    pairs = m.withColumn("next_role", F.lead("role").over(w)).withColumn("answer", F.lead("text").over(w)).filter("role = 'user' and next_role = 'assistant'")
+    e = pairs.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("place"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("event_id"), F.col("text").alias("question"), "answer")
+    last = m.filter("role = 'system'").groupBy(F.col("conv_id").alias("session_id")).agg(F.count("*").alias("last_seq"))
+    return sessions.appended(e, last).withColumn("content", F.sha2("content", 256))
+
+
+def session_titles(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "conversations")
+    s = m.groupBy(F.col("conv_id").alias("session_id")).agg(F.when(F.max("turn") > 4, "New chat").otherwise("Kept").alias("title"))
+    first = m.filter("role = 'user'").groupBy(F.col("conv_id").alias("session_id")).agg(F.min_by("text", "turn").alias("question"))
+    return sessions.titled(s, first, F.when(F.col("question").isNotNull(), T.clean_title(F.col("question"), 24)))
+
+
+def requested_missing(spark: SparkSession, d: str) -> DataFrame:
+    """Part keys of each order that are none of its supplier keys, and how many are."""
+    l = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("asked"), F.array_sort(F.collect_set("l_suppkey")).alias("found"))  # noqa: E741
+    return l.select("l_orderkey", F.array_join(F.array_except("asked", "found"), ",").alias("missing"), F.size(F.array_intersect("asked", "found")).alias("shared"))

@@ -11,7 +11,7 @@ route_confusion route_by_category route_ab recall_mrr latency_percentiles latenc
 index_changed version_retention collection_retention content_fingerprint signature point_ids user_counts seq_backfill max_seq session_list message_list prompt_history history_recent last_user_two
 previous_route token_estimate compaction trim_text clean_titles archive_idempotent archive_sessions pending_overlay role_merge upsert_nothing upsert_update cascade_delete constraint_checks
 sentence_split clause_split chunk_docs chunk_overlap code_text_score file_text_score code_rank call_chain callers neighbours edge_lines public_sources
-auth_sessions expired_sessions demotable repository_counts hydrate metadata_filtered archive_consistency throughput request_batches graph_elements usernames context_lines version_names health_status config_changes event_windows
+auth_sessions expired_sessions demotable repository_counts hydrate metadata_filtered archive_consistency throughput request_batches graph_elements usernames context_lines version_names health_status config_changes event_windows exchange_append session_titles requested_missing
 """.split()
 
 QUERIES = {n: getattr(queries, n) for n in _NAMES}

@@ -176,3 +176,13 @@ def test_stream_archives_once(spark, tmp_path):
 def test_windowed_counts(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
     assert archive.windowed_counts(e).agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_code_index_is_replaced_by_file(spark):
+    files_ = spark.createDataFrame([("f1", "r", "a.py"), ("f2", "r", "b.py")], "file_id string, repository_id string, path string")
+    functions = spark.createDataFrame([("x", "f1"), ("y", "f2")], "id string, file_id string")
+    edges = spark.createDataFrame([("x", "y"), ("y", "x")], "function_id string, callee string")
+    new = (spark.createDataFrame([("f9", "r", "a.py")], files_.schema), spark.createDataFrame([("z", "f9")], functions.schema), spark.createDataFrame([("z", "y")], edges.schema))
+    a, b, c = dml.replace_files(files_, functions, edges, *new)
+    assert sorted(r["file_id"] for r in a.collect()) == ["f2", "f9"] and sorted(r["id"] for r in b.collect()) == ["y", "z"]
+    assert sorted(r["function_id"] for r in c.collect()) == ["y", "z"]
