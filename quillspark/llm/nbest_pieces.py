@@ -14,6 +14,7 @@ independent; an empty table gives no rows; other columns play no part.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import math
 import re
@@ -27,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 MARK = "▁"
 N = 4
 UNKNOWN = 10.0
-#: Entries that a worker remembers of each kind.
-WORDS, PARTS, LONG = 250_000, 300_000, 64
+#: Words and parts that a worker remembers, some 70 MB of them, and the longest such text. More words cost memory and spare time.
+REMEMBER, LONG = (60_000, 120_000), 64
 _loaded: dict = {}
 
 
@@ -43,8 +44,9 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
-#: The segmentations of a part: ids of the best, its score, (score behind the best, ids) of each next one, the first such distance.
-Entry = tuple[bytes, float, tuple[tuple[float, bytes], ...], float]
+#: The segmentations of a part: ids of the best, its score, the next ones packed (distance from the best, count of ids, ids),
+#: the first such distance.
+Entry = tuple[bytes, float, bytes, float]
 
 
 class Pieces:
@@ -58,9 +60,16 @@ class Pieces:
         plain = [i for i in every if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.texts = [sp.id_to_piece(i) for i in every]
         self.known = {self.texts[i]: (i, sp.get_score(i)) for i in plain}
+        # Characters to nodes; under "" the id and score of the piece that ends there.
+        self.trie: dict = {}
+        for text, found in self.known.items():
+            node = self.trie
+            for c in text:
+                node = node.setdefault(c, {})
+            node[""] = found
         self.bytes = {int(self.texts[i][3:5], 16): i for i in every if sp.is_byte(i)}
         turned = {v: bytes([k]) for k, v in self.bytes.items()}
-        self.raw = [turned.get(i, t.encode()) for i, t in enumerate(self.texts)]
+        self.raw = np.array([turned.get(i, t.encode()) for i, t in enumerate(self.texts)], dtype=object)
         self.unk, self.longest = sp.unk_id(), max(map(len, self.known), default=1)
         self.unknown = min((s for _, s in self.known.values() if s > -1e8), default=0.0) - UNKNOWN
         self.pairs = {p[i : i + 2] for p in self.known for i in range(len(p) - 1)}
@@ -68,53 +77,68 @@ class Pieces:
         marked = any(a[1] == MARK != a[0] for a in self.pairs)
         lines = any("\n" in a for a in self.pairs)
         self.split = re.compile("(?s).+" if marked else f"{MARK}+[^{MARK}]*|[^{MARK}]+" if lines else f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
+        self.most = REMEMBER
         self.words: dict[str, tuple[Entry, ...]] = {}
         self.parts: dict[str, Entry] = {}
 
     def search(self, part: str, n: int) -> list[tuple[float, list[int]]]:
         """Up to n segmentations of a text, best first."""
-        size, known = len(part), self.known
+        size, root = len(part), self.trie
         into: list[list] = [[] for _ in range(size + 1)]
+        best = [-math.inf] * (size + 1)
+        best[0] = 0.0
         for i in range(size):
-            single = False
-            for e in range(i + 1, min(i + self.longest, size) + 1):
-                found = known.get(part[i:e])
+            here, single, node, e = best[i], False, root, i
+            for c in part[i : i + self.longest]:
+                node = node.get(c)
+                if node is None:
+                    break
+                e += 1
+                found = node.get("")
                 if found:
-                    into[e].append((i, found[0], found[1]))
+                    piece, s = found
                     single = single or e == i + 1
+                    into[e].append((i, piece, s))
+                    if here + s > best[e]:
+                        best[e] = here + s
             if not single:
                 into[i + 1].append((i, -1, self.unknown))
-        best = [0.0] * (size + 1)
-        for e in range(1, size + 1):
-            best[e] = max([best[i] + s for i, _, s in into[e]])
+                best[i + 1] = max(best[i + 1], here + self.unknown)
         out: list[tuple[float, list[int]]] = []
-        queue: list[tuple] = [(-best[size], 0, size, 0.0, None)]
-        count = 0
-        while queue and len(out) < n:
-            _, _, at, done, path = heapq.heappop(queue)
-            if not at:
-                ids, i = [], 0
-                while path:
-                    if path[0] >= 0:
-                        ids.append(path[0])
+        # (distance from the best, order of coming, place, path from here to the end)
+        queue: list[tuple] = [(0.0, 0, size, None)]
+        count, push, pop = 0, heapq.heappush, heapq.heappop
+        while queue:
+            gap, _, at, path = pop(queue)
+            while at:  # the best way on from here costs nothing more: follow it, and queue the others
+                score, on = best[at], None
+                for i, piece, s in into[at]:
+                    if on is None and best[i] + s == score:
+                        on = (i, piece)
                     else:
-                        raw = part[path[2]].encode("utf-8", "surrogatepass")
-                        ids += [self.bytes.get(b, self.unk) for b in raw] if self.bytes else [self.unk]
-                    path = path[1]
-                out.append((done, ids))
-                continue
-            for i, piece, s in into[at]:
-                count += 1
-                heapq.heappush(queue, (-(best[i] + done + s), count, i, done + s, (piece, path, i)))
+                        count += 1
+                        push(queue, (gap + (score - best[i] - s), count, i, (piece, path, i)))
+                path, at = (on[1], path, on[0]), on[0]
+            ids = []
+            while path:
+                piece, rest, i = path
+                if piece >= 0:
+                    ids.append(piece)
+                else:
+                    ids += [self.bytes.get(b, self.unk) for b in part[i].encode("utf-8", "surrogatepass")] if self.bytes else [self.unk]
+                path = rest
+            out.append((best[size] - gap, ids))
+            if len(out) == n:
+                break
         return out
 
     def part(self, text: str, n: int) -> Entry:
         found = self.parts.get(text)
         if found is None:
             paths = self.search(text, n)
-            others = tuple((paths[0][0] - s, _packed(ids)) for s, ids in paths[1:])
-            found = (_packed(paths[0][1]), paths[0][0], others, others[0][0] if others else math.inf)
-            if len(self.parts) < PARTS and len(text) <= LONG:
+            others = b"".join([struct.pack(f"<dI{len(ids)}i", paths[0][0] - s, len(ids), *ids) for s, ids in paths[1:]])
+            found = (_packed(paths[0][1]), paths[0][0], others, paths[0][0] - paths[1][0] if len(paths) > 1 else math.inf)
+            if len(self.parts) < self.most[1] and len(text) <= LONG:
                 self.parts[text] = found
         return found
 
@@ -122,7 +146,7 @@ class Pieces:
         """The parts of a word."""
         cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.pairs]
         found = tuple([self.part(text[a:b], n) for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)])
-        if len(self.words) < WORDS and len(text) <= LONG:
+        if len(self.words) < self.most[0] and len(text) <= LONG:
             self.words[text] = found
         return found
 
@@ -135,8 +159,13 @@ class Pieces:
             parts += known(w) or self.word(w, n)
         return merged(parts, n)
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass").replace(MARK, " ")
+    def restores(self, ids: np.ndarray, text: str) -> bool:
+        """Whether decode(ids) is text, told from bytes."""
+        marked = (MARK + text.replace(" ", MARK)).encode("utf-8", "surrogatepass") if text else b""
+        return MARK not in text and b"".join(self.raw[ids].tolist()) == marked
+
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        text = b"".join(self.raw[np.asarray(ids, "int64")].tolist()).decode("utf-8", "surrogatepass").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 
 
@@ -144,6 +173,15 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}i", *ids)
 
 
+def _unpacked(others: bytes) -> list[tuple[float, bytes]]:
+    out, at = [], 0
+    while at < len(others):
+        gap, n = struct.unpack_from("<dI", others, at)
+        out.append((gap, others[at + 12 : at + 12 + 4 * n]))
+        at += 12 + 4 * n
+    return out
+
+
 def merged(parts: list[Entry], n: int) -> tuple[bytes, float, list[tuple[float, bytes]]]:
     """The n best combinations of one segmentation of each part.
 
@@ -154,7 +192,8 @@ def merged(parts: list[Entry], n: int) -> tuple[bytes, float, list[tuple[float,
     some = np.asarray(gaps)
     order = np.argpartition(some, n - 2)[: n - 1] if 1 < n <= len(gaps) else np.arange(len(gaps) * (n > 1))
     order = sorted((i for i in order.tolist() if choices[i]), key=lambda i: (gaps[i], i))
-    options = [(0.0, *[g for g, _ in choices[i]]) for i in order]
+    opened = {i: _unpacked(choices[i]) for i in order}
+    options = [(0.0, *[g for g, _ in opened[i]]) for i in order]
     queue, seen, chosen = [(0.0, (0,) * len(order))], {(0,) * len(order)}, []
     while queue and len(chosen) < n:
         gap, pick = heapq.heappop(queue)
@@ -170,7 +209,7 @@ def merged(parts: list[Entry], n: int) -> tuple[bytes, float, list[tuple[float,
     for gap, pick in chosen[1:]:
         changed, since = [], 0
         for i, k in sorted((i, k) for i, k in zip(order, pick, strict=True) if k):
-            changed += [best[since : at[i]], choices[i][k - 1][1]]
+            changed += [best[since : at[i]], opened[i][k - 1][1]]
             since = at[i + 1]
         others.append((gap, b"".join([*changed, best[since:]])))
     return best, score, others
@@ -185,11 +224,25 @@ def pieces(path: str) -> Pieces:
 SEGMENTS = "n_tokens long, ids_crc32 long, score double, segmentations array<struct<score: double, n_tokens: long, ids_crc32: long>>, round_trip boolean"
 
 
-def segmented(docs: DataFrame, path: str, n: int = N, ids: bool = False) -> DataFrame:
-    """doc_id, token count, checksum and score of the best segmentation, the n best, and with ids=True the best's ids."""
+def segmented(docs: DataFrame, path: str, n: int = N, ids: bool = False, remember: tuple[int, int] = REMEMBER, keep: bool = False) -> DataFrame:
+    """doc_id, token count, checksum and score of the best segmentation, the n best, and with ids=True the best's ids.
+
+    remember: words and parts that a task remembers; with keep=True its worker's next tasks go on with them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
+        model.most = remember
+        gc.disable()  # nothing here is cyclic, and passes over the remembered entries are long
+        try:
+            yield from encode(model, batches)
+        finally:
+            gc.enable()
+            if not keep:
+                model.words.clear()
+                model.parts.clear()
+
+    def encode(model: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.list_(pa.struct([("score", pa.float64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]))
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
@@ -199,7 +252,7 @@ def segmented(docs: DataFrame, path: str, n: int = N, ids: bool = False) -> Data
                 best = [(s, len(i) // 4, zlib.crc32(i)) for i, s, _ in rows]
                 all_ = [[x, *[(x[0] - g, len(j) // 4, zlib.crc32(j)) for g, j in others]] for x, (_, _, others) in zip(best, rows, strict=True)]
                 lists = [[dict(zip(("score", "n_tokens", "ids_crc32"), y, strict=True)) for y in x] for x in all_]
-                columns = [b.column("doc_id"), pa.array([x[1] for x in best], "int64"), pa.array([x[2] for x in best], "int64"), pa.array([x[0] for x in best], "float64"), pa.array(lists, kinds), pa.array([model.decode(np.frombuffer(r[0], "<i4").tolist()) == (t or "") for r, t in zip(rows, texts, strict=True)])]
+                columns = [b.column("doc_id"), pa.array([x[1] for x in best], "int64"), pa.array([x[2] for x in best], "int64"), pa.array([x[0] for x in best], "float64"), pa.array(lists, kinds), pa.array([model.restores(np.frombuffer(r[0], "<i4"), t or "") for r, t in zip(rows, texts, strict=True)])]
                 names = ["doc_id", "n_tokens", "ids_crc32", "score", "segmentations", "round_trip"]
                 if ids:
                     flat = np.frombuffer(b"".join(r[0] for r in rows), "<i4")
@@ -208,8 +261,8 @@ def segmented(docs: DataFrame, path: str, n: int = N, ids: bool = False) -> Data
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {SEGMENTS}" + ", ids array<int>" * ids)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, {SEGMENTS}" + ", ids array<int>" * ids)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segmented(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model_path())
+    return segmented(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model_path(), remember=(400_000, 500_000), keep=True)

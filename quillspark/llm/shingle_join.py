@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop, partitions, table
+from .common import cut, drop, partitions, table, tidy
 from .components import components
 
 #: The largest boundary between light and heavy sets that is considered.
@@ -33,7 +33,7 @@ LIGHT = 24
 BITS = 512
 #: Members of a block of a long list.
 BLOCK = 2048
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Most rows (of four numbers) that are broadcast.
 SMALL = 200_000
 #: Occurrences in some four million n-grams from which a task reports an n-gram.
@@ -175,7 +175,7 @@ def common_grams(docs: DataFrame, width: int) -> np.ndarray:
                     held.clear()
         yield report()
 
-    seen = cut(docs.select("text").mapInArrow(run, "gram long, n long, all long"))
+    seen = cut(docs.select("text").mapInArrow(tidy(run), "gram long, n long, all long"))
     total = seen.agg(F.sum("all").alias("t")).first()["t"] or 0
     often = seen.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(2 * SEEN, total // 1_000_000))
     found = np.sort(np.array([r["gram"] for r in often.select("gram").collect()], "int64").view("uint64"))
@@ -204,7 +204,7 @@ def sketches(docs: DataFrame, width: int, t: Threshold, common: np.ndarray) -> D
                 bits = [_folded(w, BITS // 8).tobytes() for w in wide]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(one.view("int64")), pa.array(two.view("int64")), _lists(lead), pa.array(bits, "binary"), pa.array([w.tobytes() for w in wide], "binary")], names=["doc_id", "n", "s1", "s2", "lead", "bits", "wide"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, lead array<long>, bits binary, wide binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, s1 long, s2 long, lead array<long>, bits binary, wide binary")
 
 
 def boundary(sizes: dict[int, int], t: Threshold, list_length: float) -> int:
@@ -236,7 +236,7 @@ def _subset_keys(rows: DataFrame, t: Threshold) -> DataFrame:
             flat = np.unique(np.stack([np.concatenate(keys).view("int64"), np.concatenate(nodes), np.concatenate(sizes)]), axis=1) if keys else np.empty((3, 0), "int64")
             yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1]), pa.array(flat[2])], names=["key", "node", "n"])
 
-    return rows.select("node", "lead").mapInArrow(run, "key long, node long, n long")
+    return rows.select("node", "lead").mapInArrow(tidy(run), "key long, node long, n long")
 
 
 def _compare(members: DataFrame, t: Threshold, heads: bool) -> DataFrame:
@@ -304,7 +304,7 @@ def _compare(members: DataFrame, t: Threshold, heads: bool) -> DataFrame:
             held.append(batch.slice(start))
         yield close()
 
-    return members.mapInArrow(run, "a long, b long").distinct()
+    return members.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _close(pairs: DataFrame, reps: DataFrame, t: Threshold) -> DataFrame:
@@ -322,7 +322,7 @@ def _close(pairs: DataFrame, reps: DataFrame, t: Threshold) -> DataFrame:
                 keep.append(bool(differ <= m + n - 2 * t.overlap(m, n)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, "bool"))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
@@ -338,7 +338,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
                 keep.append(len(np.intersect1d(p, q, assume_unique=True)) >= t.overlap(len(p), len(q)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, "bool"))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
 def link_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -408,7 +408,7 @@ def _set_rows(docs: DataFrame, rows: DataFrame, pairs: DataFrame, width: int) ->
                 out = pa.RecordBatch.from_arrays([b.column("row"), pa.array([s.tobytes() for s in sets], "binary")], names=["node", "members"])
                 yield out.filter(pa.array(same))
 
-    return texts.mapInArrow(run, "node long, members binary").dropDuplicates(["node"])
+    return texts.mapInArrow(tidy(run), "node long, members binary").dropDuplicates(["node"])
 
 
 def distinct_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -27,7 +27,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop, table
+from .common import cut, drop, table, tidy
 from .loser_tree import decoded, front_coded, merge
 from .shingle_join import _BASE, U, _tables, mix
 
@@ -389,17 +389,17 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(id, tag, spans): for documents with bytes to remove, lists of pairs of 32-bit offsets. docs: id, tag, text."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     ranges = max(1, -(-size // RANGE))
-    runs = docs.select("id", "text").mapInArrow(_fingerprint_runs(ranges), "part int, own boolean, docs binary, blob binary")
-    shared = runs.repartitionById(ranges, F.col("part")).mapInArrow(_shared(ranges), "slot int, blob binary")
-    held = cut(shared.repartitionById(ranges, F.col("slot")).mapInArrow(_by_document, "id long, least long, prints binary"))
+    runs = docs.select("id", "text").mapInArrow(tidy(_fingerprint_runs(ranges)), "part int, own boolean, docs binary, blob binary")
+    shared = runs.repartitionById(ranges, F.col("part")).mapInArrow(tidy(_shared(ranges)), "slot int, blob binary")
+    held = cut(shared.repartitionById(ranges, F.col("slot")).mapInArrow(tidy(_by_document), "id long, least long, prints binary"))
     place = cut(held.select("id", "least").repartitionByRange(ranges, "least", "id").withColumn("bucket", F.spark_partition_id()))
     at = F.broadcast(place) if place.count() <= SMALL else place  # its size has just been checked; beyond it both sides are shuffled
     texts = docs.join(at, "id").select("bucket", "least", "id", "tag", F.encode("text", "UTF-8").alias("raw"), F.lit(None).cast("binary").alias("prints"))
     notes = held.drop("least").join(at, "id").select("bucket", "least", "id", F.lit(None).cast("long").alias("tag"), F.lit(None).cast("binary").alias("raw"), "prints")
     both = texts.unionByName(notes).repartitionById(ranges, F.col("bucket")).sortWithinPartitions("least", "id", F.col("prints").isNull())
-    settled = cut(both.select("id", "tag", "raw", "prints").mapInArrow(_sorted_runs(ranges), OUT))
+    settled = cut(both.select("id", "tag", "raw", "prints").mapInArrow(tidy(_sorted_runs(ranges)), OUT))
     drop(held, place)
-    more = settled.filter(F.col("part") >= 0).repartitionById(ranges, F.col("part")).mapInArrow(_merged, OUT)
+    more = settled.filter(F.col("part") >= 0).repartitionById(ranges, F.col("part")).mapInArrow(tidy(_merged), OUT)
     return settled.filter(F.col("part") < 0).unionByName(more).groupBy("id", "tag").agg(F.collect_list("blob").alias("spans"))
 
 
@@ -438,7 +438,7 @@ def cleaned(docs: DataFrame, keep: list[str]) -> DataFrame:
                 columns = [b.column(c) for c in keep] + [pa.array(kept, "binary")] + [pa.array([c[i] for c in counts], "int64") for i in range(3)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    out = joined.select(*dict.fromkeys([*keep, "text"]), "spans").mapInArrow(run, f"{schema}, kept binary, n_bytes long, n_removed long, n_spans long")
+    out = joined.select(*dict.fromkeys([*keep, "text"]), "spans").mapInArrow(tidy(run), f"{schema}, kept binary, n_bytes long, n_removed long, n_spans long")
     whole = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
     same = rest.select(*keep, whole.alias("kept"), F.octet_length(whole).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
     return out.unionByName(same)

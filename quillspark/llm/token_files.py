@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, scratch_dir, table
+from .common import cut, scratch_dir, table, tidy
 
 END = 2
 #: Text bytes in one file.
@@ -126,7 +126,7 @@ def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("run"), pa.array(np.arange(pos, pos + b.num_rows)), lists], names=["doc_id", "run", "pos", "ids"])
                 pos += b.num_rows
 
-    return rows.mapInArrow(encode, "doc_id long, run int, pos long, ids array<int>")
+    return rows.mapInArrow(tidy(encode), "doc_id long, run int, pos long, ids array<int>")
 
 
 def write_ids(docs: DataFrame, tokenizer: str, out: str, end: int = END) -> None:
@@ -151,7 +151,7 @@ def digests(files: DataFrame) -> DataFrame:
             crc = [zlib.crc32(values[4 * s : 4 * e]) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("run"), b.column("pos"), pa.array(np.diff(bounds).astype("int64")), pa.array(crc, "int64")], names=["doc_id", "run", "pos", "n_tokens", "ids_crc32"])
 
-    narrow = cut(files.mapInArrow(digest, "doc_id long, run int, pos long, n_tokens long, ids_crc32 long"))
+    narrow = cut(files.mapInArrow(tidy(digest), "doc_id long, run int, pos long, n_tokens long, ids_crc32 long"))
     total, rows = 0, []
     for r in narrow.groupBy("run").agg(F.sum("n_tokens").alias("t")).orderBy("run").collect():  # a row for each file
         rows.append((r["run"], total))
