@@ -164,9 +164,12 @@ def _settle(rows: DataFrame, cap: float) -> DataFrame:
 
 def mixture(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP) -> DataFrame:
     """The documents as the mix takes them: each row as often as its copies say."""
-    nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "source", "text")
-    plan = copies(nested, weights, cap, ("_row",)).filter("copies > 0")
-    return plan.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
+    keys, every = ["_k1", "_k2"], [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumns({"_k1": F.xxhash64(*every), "_k2": F.hash(*every)})
+    plan = copies(keyed.select(*keys, "source", "text"), weights, cap, tuple(keys)).groupBy(*keys).agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
+    # Equal rows are interchangeable: one of them stands for the copies of all.
+    rows = keyed.join(plan, keys).dropDuplicates(keys)
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*every)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
