@@ -238,9 +238,8 @@ def segmented(docs: DataFrame, path: str, n: int = N, ids: bool = False, remembe
             yield from encode(model, batches)
         finally:
             gc.enable()
-            if not keep:
-                model.words.clear()
-                model.parts.clear()
+            if not keep:  # the worker's next tasks may be others, which need the memory
+                _loaded.pop(path, None)
 
     def encode(model: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.list_(pa.struct([("score", pa.float64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]))

@@ -36,8 +36,8 @@ BLOCK = 2048
 SLICE = 1 << 20
 #: Most rows (of four numbers) that are broadcast.
 SMALL = 200_000
-#: Occurrences in some four million n-grams from which a task reports an n-gram.
-SEEN = 4
+#: Occurrences in so many n-grams from which a task reports an n-gram.
+SEEN, TOGETHER = 3, 1_500_000
 
 U = np.uint64
 _MIX = (U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15))
@@ -161,6 +161,7 @@ def common_grams(docs: DataFrame, width: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        size = 0
 
         def report() -> pa.RecordBatch:
             grams, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, "uint64"), np.empty(0, "int64"))
@@ -170,9 +171,11 @@ def common_grams(docs: DataFrame, width: int) -> np.ndarray:
         for whole in batches:
             for b in _slices(whole):
                 held += shingle_sets(b.column("text").to_pylist(), width)
-                if sum(map(len, held)) > 4_000_000:
+                size += sum(map(len, held[-b.num_rows :]))
+                if size > TOGETHER:
                     yield report()
                     held.clear()
+                    size = 0
         yield report()
 
     seen = cut(docs.select("text").mapInArrow(tidy(run), "gram long, n long, all long"))
