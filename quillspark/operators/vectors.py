@@ -45,7 +45,7 @@ def rescored(pairs: DataFrame, vectors: DataFrame, question: DataFrame) -> DataF
 
 
 def anchor_route(rows: DataFrame, rag: DataFrame, direct: DataFrame, rag_least: float = 0.38, direct_least: float = 0.40, margin: float = 0.06) -> DataFrame:
-    """The route that the nearer of two small anchor sets suggests. rows: vec_id, v; anchors: anchor_id, v."""
+    """The route that the nearer of two anchor sets suggests. rows: vec_id, v; anchors: anchor_id, v."""
     most = lambda anchors, name: nearest(rows, anchors.select(F.col("anchor_id").alias("query_id"), "v")).groupBy("vec_id").agg(F.max("score").alias(name))
     both = most(rag, "rag_score").join(most(direct, "direct_score"), "vec_id")
     gap = F.round(F.col("rag_score") - F.col("direct_score"), 6)

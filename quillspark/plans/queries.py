@@ -105,7 +105,7 @@ def rerank_batched(spark: SparkSession, d: str) -> DataFrame:
 
 def anchor_route(spark: SparkSession, d: str) -> DataFrame:
     rows = _vectors(spark, d)
-    anchors = lambda label: rows.filter(F.col("label") == label).orderBy("vec_id").limit(8).select(F.col("vec_id").alias("anchor_id"), "v")
+    anchors = lambda label: rows.filter(F.col("label") == label).select(F.col("vec_id").alias("anchor_id"), "v")
     return vectors.anchor_route(rows.select("vec_id", "v"), anchors(0), anchors(1), 0.2, 0.2, 0.02)
 
 

@@ -1,6 +1,7 @@
 """Queries over the whole of their inputs, against brute force on small tables."""
 
 import collections
+import math
 
 import pytest
 
@@ -61,3 +62,19 @@ def test_neighbours_take_all_edges(spark, calls):
     rank = lambda s: (s % 4 != 1, -degree[s], f"S{s:03}")
     want = {(x, y, k) for x, ys in near.items() for k, y in enumerate(sorted(ys, key=rank)[:4], 1)}
     assert {tuple(r) for r in registry.QUERIES["neighbours"](spark, calls).select("id", "neighbour", "rank").collect()} == want
+
+
+def test_anchor_route_takes_whole_labels(spark, tmp_path):
+    """The best anchors of both labels are their last rows."""
+    turn = lambda i: [math.cos(i / 10), math.sin(i / 10)]
+    given = [(i, turn(i), 0 if i < 12 else 1) for i in range(24)] + [(24 + i, turn(i), 2) for i in range(24)]
+    spark.createDataFrame(given, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    score = lambda v, label: max(round(sum(x * y for x, y in zip(v, a, strict=True)), 6) for _, a, l in given if l == label)  # noqa: E731, E741
+    want = {}
+    for i, v, _ in given:
+        rag, direct = score(v, 0), score(v, 1)
+        gap = round(rag - direct, 6)
+        want[i] = (rag, direct, "rag" if rag >= 0.2 and gap >= 0.02 else "direct" if direct >= 0.2 and gap <= -0.02 else "none")
+    got = {r["vec_id"]: (r["rag_score"], r["direct_score"], r["route"]) for r in registry.QUERIES["anchor_route"](spark, str(tmp_path)).collect()}
+    assert {k: v[2] for k, v in got.items()} == {k: v[2] for k, v in want.items()}
+    assert all(got[k][:2] == pytest.approx(want[k][:2], abs=2e-6) for k in want)
