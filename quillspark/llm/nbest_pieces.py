@@ -20,6 +20,7 @@ import math
 import re
 import struct
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -33,7 +34,7 @@ from .common import table, tidy
 MARK = "▁"
 N = 4
 UNKNOWN = 10.0
-#: Words and parts that a worker remembers, some 70 MB of them, and the longest such text. More words cost memory and spare time.
+#: Words and parts that a worker remembers for one n, some 70 MB of them, and the longest such text. More words cost memory and spare time.
 REMEMBER, LONG = (60_000, 120_000), 64
 _loaded: dict = {}
 
@@ -78,8 +79,9 @@ class Pieces:
         lines = any("\n" in a for a in self.pairs)
         self.split = re.compile("(?s).+" if marked else f"{MARK}+[^{MARK}]*|[^{MARK}]+" if lines else f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
         self.most = REMEMBER
-        self.words: dict[str, tuple[Entry, ...]] = {}
-        self.parts: dict[str, Entry] = {}
+        # For each n, as entries hold no more than n segmentations.
+        self.words: dict[int, dict[str, tuple[Entry, ...]]] = defaultdict(dict)
+        self.parts: dict[int, dict[str, Entry]] = defaultdict(dict)
 
     def search(self, part: str, n: int) -> list[tuple[float, list[int]]]:
         """Up to n segmentations of a text, best first."""
@@ -133,28 +135,30 @@ class Pieces:
         return out
 
     def part(self, text: str, n: int) -> Entry:
-        found = self.parts.get(text)
+        known = self.parts[n]
+        found = known.get(text)
         if found is None:
             paths = self.search(text, n)
             others = b"".join([struct.pack(f"<dI{len(ids)}i", paths[0][0] - s, len(ids), *ids) for s, ids in paths[1:]])
             found = (_packed(paths[0][1]), paths[0][0], others, paths[0][0] - paths[1][0] if len(paths) > 1 else math.inf)
-            if len(self.parts) < self.most[1] and len(text) <= LONG:
-                self.parts[text] = found
+            if len(known) < self.most[1] and len(text) <= LONG:
+                known[text] = found
         return found
 
     def word(self, text: str, n: int) -> tuple[Entry, ...]:
         """The parts of a word."""
         cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.pairs]
         found = tuple([self.part(text[a:b], n) for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)])
-        if len(self.words) < self.most[0] and len(text) <= LONG:
-            self.words[text] = found
+        known = self.words[n]
+        if len(known) < self.most[0] and len(text) <= LONG:
+            known[text] = found
         return found
 
     def encode(self, text: str | None, n: int = N) -> tuple[bytes, float, list[tuple[float, bytes]]]:
         """The n best segmentations of a whole text: ids and score of the best, (score behind it, ids) of the others."""
         if not text:
             return b"", 0.0, []
-        words, known, parts = self.split.findall(MARK + text.replace(" ", MARK)), self.words.get, []
+        words, known, parts = self.split.findall(MARK + text.replace(" ", MARK)), self.words[n].get, []
         for w in words:
             parts += known(w) or self.word(w, n)
         return merged(parts, n)

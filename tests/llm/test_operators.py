@@ -283,6 +283,13 @@ def test_nbest_rows(odd, empty):
     assert nbest_pieces.segmented(empty, nbest_pieces.model_path()).count() == 0
 
 
+def test_nbest_after_a_smaller_n():
+    model, fresh = (nbest_pieces.Pieces(nbest_pieces.model_path()) for _ in range(2))
+    text = "some words of a text"
+    assert model.encode(text, 1)[2] == [] and len(fresh.encode(text, 4)[2]) == 3
+    assert model.encode(text, 4) == fresh.encode(text, 4)
+
+
 def test_targets():
     t = mixing.targets([("b", 100), ("a", 10), (None, 50), ("c", 0)])
     assert t["a"] == 30 and t["c"] == 0 and abs(sum(t.values()) - 160) < 1e-9 and t["b"] / t[None] == pytest.approx(2 / 5)
