@@ -187,7 +187,7 @@ def common_grams(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int, t: Threshold, common: np.ndarray) -> DataFrame:
-    """doc_id, set size n, 128-bit signature of the set, leading hashes (all of a light set) and parity bitmap."""
+    """doc_id, row, set size n, 128-bit signature of the set, leading hashes (all of a light set) and parity bitmap. docs: doc_id, text, row."""
 
     def ranked(s: np.ndarray) -> np.ndarray:
         if not len(common) or not len(s):
@@ -205,9 +205,9 @@ def sketches(docs: DataFrame, width: int, t: Threshold, common: np.ndarray) -> D
                 lead = [ranked(s)[: len(s) if len(s) <= LIGHT else t.prefix(len(s))] for s in sets]
                 wide = [parity(s) for s in sets]
                 bits = [_folded(w, BITS // 8).tobytes() for w in wide]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(one.view("int64")), pa.array(two.view("int64")), _lists(lead), pa.array(bits, "binary"), pa.array([w.tobytes() for w in wide], "binary")], names=["doc_id", "n", "s1", "s2", "lead", "bits", "wide"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(n), pa.array(one.view("int64")), pa.array(two.view("int64")), _lists(lead), pa.array(bits, "binary"), pa.array([w.tobytes() for w in wide], "binary")], names=["doc_id", "row", "n", "s1", "s2", "lead", "bits", "wide"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, s1 long, s2 long, lead array<long>, bits binary, wide binary")
+    return docs.select("doc_id", "text", "row").mapInArrow(tidy(run), "doc_id long, row long, n long, s1 long, s2 long, lead array<long>, bits binary, wide binary")
 
 
 def boundary(sizes: dict[int, int], t: Threshold, list_length: float) -> int:
@@ -346,8 +346,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
 
 def link_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id: the least doc_id that links of similarity num / den or more reach."""
+    placed = _placed(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), width, num, den)
+    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return placed.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _placed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """doc_id, set size n, row and root of each row; rows of one component, and no others, have the same root. docs: doc_id, text, row."""
     t, spark = Threshold(num, den), docs.sparkSession
-    rows = cut(sketches(docs, width, t, common_grams(docs, width)).withColumn("row", F.monotonically_increasing_id()))
+    rows = cut(sketches(docs, width, t, common_grams(docs, width)))
     classes = cut(rows.filter("n > 0").groupBy("s1", "s2").agg(F.min("row").alias("node")))
     reps = cut(rows.join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"))
 
@@ -388,10 +395,8 @@ def link_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     placed = rows.join(classes, ["s1", "s2"], "left").join(roots, "node", "left").select("doc_id", "n", "row", F.coalesce("root", "node", -1 - F.col("row")).alias("root"))
     placed = cut(placed)
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = placed.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     drop(live, tried, untried, near, others, links, more, reps)
-    return out
+    return placed
 
 
 def _set_rows(docs: DataFrame, rows: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
@@ -415,10 +420,14 @@ def _set_rows(docs: DataFrame, rows: DataFrame, pairs: DataFrame, width: int) ->
 
 
 def distinct_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row of docs for each component, that of the least doc_id; rows without doc_id stay."""
-    kept = link_components(docs, width, num, den).select("component_id").distinct()
-    known = docs.join(kept.withColumnRenamed("component_id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    """One row of docs for each component, whatever its doc_id: that of the least doc_id, rows without one last, and of these the first.
+
+    Rows are numbered in a scratch table, so that equal or missing doc_ids are told apart. Null and empty texts link with nothing and stay.
+    """
+    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    placed = _placed(numbered.select("doc_id", "text", F.col("_row").alias("row")), width, num, den)
+    kept = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("_row"))
+    return numbered.join(kept.select("_row"), "_row", "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,6 +104,16 @@ def test_long_lists_are_dealt_into_blocks(spark, monkeypatch):
     assert got == brute_components(rows, 2, 85, 100)
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Ids that unlike texts share, and rows without id that are near copies of one another or of a row with one."""
+    a, b, c, d = (words(60, s) for s in range(40, 44))
+    rows = [(1, a), (1, b), (2, a + " x"), (None, c), (None, c + " x"), (None, d), (3, d + " x"), (4, None), (4, None), (None, ""), (1, b)]
+    got = shingle_join.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = collections.Counter([(1, a), (1, b), (3, d + " x"), (4, None), (4, None), (None, "")])
+    found = collections.Counter(tuple(r) for r in got)
+    assert found - want in (collections.Counter([(None, c)]), collections.Counter([(None, c + " x")])) and not want - found
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 101), (102, 101), (5, 5)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
