@@ -6,8 +6,12 @@ with them; classes of large sets are found in inverted lists, scanned for the ra
 partner cannot all miss). The boundary between small and large is where the estimated cost is least. Lists that are long
 are dealt into pairs of blocks. Members of a list are first compared with one head of it, drawn anew for each list, and what
 these links join is not compared again; the rest is compared in pairs by size and by a parity bitmap (which bounds the
-difference of two sets from below), short ones in the list, then ones as wide as the sets. All pairs that pass are verified
-on their whole sets.
+difference of two sets from below). Sets too large for one bitmap are cut into slices by hash. The similarity of two sets is
+no greater than that of their most similar slice, so such sets are listed slice by slice, with the rarest n-grams, the size
+and the bitmap of each slice, and a pair need pass in one slice only. All bitmaps together, then the whole sets verify a pair.
+
+N-grams are 64-bit hashes throughout: of sets with s n-grams in all, some two different ones agree with a probability of
+about s * s / 2**65, and that would shift a similarity by one n-gram.
 
 Null and empty texts have no set and link with nothing. Rows without doc_id take part; their component is that of their
 text. Equal rows fall into one class. An empty table gives no rows. Other columns play no part.
@@ -25,19 +29,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop, partitions, table, tidy
+from .common import cut, drop, fresh, partitions, table, tidy
 from .components import components
 
 #: The largest boundary between light and heavy sets that is considered.
 LIGHT = 24
-BITS = 512
+#: Bits of the bitmap of a slice, and the set size from which a set has more slices than one: four times as many for each four times as large.
+BITS = 1024
+SLICED = 1024
 #: Members of a block of a long list.
 BLOCK = 2048
 SLICE = 1 << 20
 #: Most rows (of four numbers) that are broadcast.
 SMALL = 200_000
 #: Occurrences in so many n-grams from which a task reports an n-gram.
-SEEN, TOGETHER = 3, 1_500_000
+SEEN, COUNTED = 3, 1_500_000
+#: Pairs that a task gathers before it passes them on.
+TOGETHER = 1 << 18
 
 U = np.uint64
 _MIX = (U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15))
@@ -116,12 +124,20 @@ class Threshold:
         """Least size of a partner."""
         return -(-self.num * n // self.den)
 
+    def most(self, n):
+        """Greatest size of a partner."""
+        return self.den * n // self.num
+
+    def differ(self, n, m):
+        """In how many members sets of n and m that link differ at most."""
+        return n + m - 2 * self.overlap(n, m)
+
     def prefix(self, n):
         return n - self.least(n) + 1
 
     def sizes(self, n: int) -> list[int]:
         """The sizes of subsets that a light set of n enumerates: all overlaps with any partner."""
-        return sorted({self.overlap(n, m) for m in range(self.least(n), self.den * n // self.num + 1)})
+        return sorted({self.overlap(n, m) for m in range(self.least(n), self.most(n) + 1)})
 
     def subsets(self, n: int) -> int:
         return sum(math.comb(n, c) for c in self.sizes(n) if c <= n)
@@ -141,15 +157,23 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype("int32")), pa.array(flat.view("int64")))
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """Bit i: whether an odd number of members hash to i; as many bits as members, at least BITS, a power of two."""
-    size = max(BITS, 1 << (max(len(s), 1) - 1).bit_length())
-    return np.packbits(np.bincount((s & U(size - 1)).astype("int64"), minlength=size) & 1)
+def slices(n: int) -> int:
+    """How many slices a set of n members has: some 256 to 1024 members each."""
+    r = 1
+    while n >= SLICED * r:
+        r *= 4
+    return r
+
 
+def parity(s: np.ndarray, r: int) -> np.ndarray:
+    """Bitmaps of the r slices, one after the other. Bit i of a slice: whether an odd number of its members hash to i."""
+    at = ((s >> U(40)) & U(r - 1)) * U(BITS) + (s & U(BITS - 1))
+    return np.packbits(np.bincount(at.astype("int64"), minlength=BITS * r) & 1)
 
-def _folded(bits: np.ndarray, size: int) -> np.ndarray:
-    """The same bitmap with fewer bits."""
-    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0) if len(bits) > size else bits
+
+def _folded(bits: np.ndarray, r: int) -> np.ndarray:
+    """The bitmaps of r slices from those of r or more; a slice of fewer is made up of whole slices of more."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, r * BITS // 8), axis=0)
 
 
 def common_grams(docs: DataFrame, width: int) -> np.ndarray:
@@ -172,7 +196,7 @@ def common_grams(docs: DataFrame, width: int) -> np.ndarray:
             for b in _slices(whole):
                 held += shingle_sets(b.column("text").to_pylist(), width)
                 size += sum(map(len, held[-b.num_rows :]))
-                if size > TOGETHER:
+                if size > COUNTED:
                     yield report()
                     held.clear()
                     size = 0
@@ -187,7 +211,11 @@ def common_grams(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int, t: Threshold, common: np.ndarray) -> DataFrame:
-    """doc_id, row, set size n, 128-bit signature of the set, leading hashes (all of a light set) and parity bitmap. docs: doc_id, text, row."""
+    """doc_id, hash of the text, row, set size n, 128-bit signature of the set, its members if light, postings and bitmaps. docs: doc_id, text, row.
+
+    keys and slots are the list entries by which the set is scanned: key of the list, place of the slice in bits and sizes, which
+    hold the bitmaps and sizes of the set's own slices and then, where smaller partners have fewer, of fewer slices.
+    """
 
     def ranked(s: np.ndarray) -> np.ndarray:
         if not len(common) or not len(s):
@@ -195,6 +223,32 @@ def sketches(docs: DataFrame, width: int, t: Threshold, common: np.ndarray) -> D
         often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
         return np.concatenate([s[~often], s[often]])
 
+    def entries(s: np.ndarray, r: int, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys and slots of each slice's first n-grams in the order of rank, and the sizes of the slices."""
+        if r == 1:
+            first = ranked(s)[: t.prefix(len(s))]
+            return first, np.full(len(first), at), np.array([len(s)])
+        own = ((s >> U(40)) & U(r - 1)).astype("int64")
+        order = np.argsort(own, kind="stable")
+        keys, slots = [], []
+        for part in np.split(s[order], np.flatnonzero(np.diff(own[order])) + 1):
+            keys.append(mix(ranked(part)[: t.prefix(len(part))] + U(r)))
+            slots.append(np.full(len(keys[-1]), at + int((part[0] >> U(40)) & U(r - 1))))
+        return np.concatenate(keys), np.concatenate(slots), np.bincount(own, minlength=r)
+
+    def sketch(s: np.ndarray) -> tuple[list[np.ndarray], bytes]:
+        if not len(s):
+            return [s, np.empty(0, "int64"), np.empty(0, "int64")], b""
+        r, low = slices(len(s)), slices(t.least(len(s)))
+        bits = [parity(s, r)]
+        found, at = [entries(s, r, 0)], r
+        while low < r:  # smaller partners have fewer slices
+            r //= 4
+            bits.append(_folded(bits[0], r))
+            found.append(entries(s, r, at))
+            at += r
+        return [np.concatenate(x) for x in zip(*found, strict=True)], np.concatenate(bits).tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in _slices(whole):
@@ -202,12 +256,12 @@ def sketches(docs: DataFrame, width: int, t: Threshold, common: np.ndarray) -> D
                 n = np.array([len(s) for s in sets], "int64")
                 one = np.array([s.sum(dtype="uint64") for s in sets], "uint64")
                 two = np.array([mix(s).sum(dtype="uint64") for s in sets], "uint64")
-                lead = [ranked(s)[: len(s) if len(s) <= LIGHT else t.prefix(len(s))] for s in sets]
-                wide = [parity(s) for s in sets]
-                bits = [_folded(w, BITS // 8).tobytes() for w in wide]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(n), pa.array(one.view("int64")), pa.array(two.view("int64")), _lists(lead), pa.array(bits, "binary"), pa.array([w.tobytes() for w in wide], "binary")], names=["doc_id", "row", "n", "s1", "s2", "lead", "bits", "wide"])
+                rows = [sketch(s) for s in sets]
+                small = [s if len(s) <= LIGHT else s[:0] for s in sets]
+                columns = [b.column("doc_id"), b.column("hash"), b.column("row"), pa.array(n), pa.array(one.view("int64")), pa.array(two.view("int64")), _lists(small), *[_lists([r[0][k] for r in rows]) for k in range(3)], pa.array([r[1] for r in rows], "binary")]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "row", "n", "s1", "s2", "small", "keys", "slots", "sizes", "bits"])
 
-    return docs.select("doc_id", "text", "row").mapInArrow(tidy(run), "doc_id long, row long, n long, s1 long, s2 long, lead array<long>, bits binary, wide binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text", "row").mapInArrow(tidy(run), "doc_id long, hash long, row long, n long, s1 long, s2 long, small array<long>, keys array<long>, slots array<long>, sizes array<long>, bits binary")
 
 
 def boundary(sizes: dict[int, int], t: Threshold, list_length: float) -> int:
@@ -221,108 +275,109 @@ def boundary(sizes: dict[int, int], t: Threshold, list_length: float) -> int:
 
 
 def _subset_keys(rows: DataFrame, t: Threshold) -> DataFrame:
-    """(key, node, n) for each subset of the fixed sizes of each light set."""
+    """(key, node) for each subset of the fixed sizes of each light set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, nodes, sizes = [], [], []
-            for node, lead in zip(b.column("node").to_pylist(), b.column("lead").to_pylist(), strict=True):
-                s = mix(np.array(lead, "int64").view("uint64"))
+            keys, nodes = [np.empty(0, "uint64")], [np.empty(0, "int64")]
+            for node, members in zip(b.column("node").to_pylist(), b.column("small").to_pylist(), strict=True):
+                s = mix(np.array(members, "int64").view("uint64"))
                 n, total = len(s), s.sum(dtype="uint64")
                 for c in t.sizes(n):
                     if c <= n:
                         gone = list(combinations(range(n), n - c))
                         less = s[np.array(gone)].sum(axis=1, dtype="uint64") if n > c else np.zeros(1, "uint64")
-                        keys.append(mix(total - less + U(c)))
-                        nodes.append(np.full(len(gone), node))
-                        sizes.append(np.full(len(gone), n))
-            flat = np.unique(np.stack([np.concatenate(keys).view("int64"), np.concatenate(nodes), np.concatenate(sizes)]), axis=1) if keys else np.empty((3, 0), "int64")
-            yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1]), pa.array(flat[2])], names=["key", "node", "n"])
+                        keys.append(np.unique(mix(total - less + U(c))))
+                        nodes.append(np.full(len(keys[-1]), node))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view("int64")), pa.array(np.concatenate(nodes))], names=["key", "node"])
 
-    return rows.select("node", "lead").mapInArrow(tidy(run), "key long, node long, n long")
+    return rows.select("node", "small").mapInArrow(tidy(run), "key long, node long")
 
 
 def _compare(members: DataFrame, t: Threshold, heads: bool) -> DataFrame:
     """Pairs (a, b) of members (key, i, j, node, n, bits, root) of one list block pair that may link. heads: only pairs with the list's head."""
 
-    def pairs(node, n, bits, side, root) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(node, n, bits, side, root) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         rows = np.zeros(1, "int64") if heads else np.arange(len(node))
-        found = []
         for at in range(0, len(rows), 256):
             r = rows[at : at + 256]
-            allowed = n[r][:, None] + n - 2 * t.overlap(n[r][:, None], n)
             fits = (np.minimum(n[r][:, None], n) >= t.least(np.maximum(n[r][:, None], n))) & (r[:, None] < np.arange(len(node)))
             if not heads:
                 fits &= (root[r][:, None] != root) & ((side[r][:, None] != side) | (side[r][:, None] == -1))
             x, y = np.nonzero(fits)
-            for c in range(0, len(x), 1 << 18):
-                p, q = x[c : c + (1 << 18)], y[c : c + (1 << 18)]
-                ok = np.bitwise_count(bits[r[p]] ^ bits[q]).sum(axis=1, dtype="int64") <= allowed[p, q]
-                found.append(np.stack([r[p[ok]], q[ok]]))
-        both = np.concatenate(found, axis=1) if found else np.empty((2, 0), "int64")
-        return node[both[0]], node[both[1]]
+            for c in range(0, len(x), 1 << 16):
+                p, q = r[x[c : c + (1 << 16)]], y[c : c + (1 << 16)]
+                ok = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype="int64") <= t.differ(n[p], n[q])
+                yield node[p[ok]], node[q[ok]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def close() -> pa.RecordBatch:
-            a, b = [], []
-            if held:
-                g = pa.Table.from_batches(held).combine_chunks()
-                key = [g.column(c).to_numpy() for c in ("key", "i", "j")]
-                node, n, side, root = (g.column(c).to_numpy() for c in ("node", "n", "side", "root"))
-                bits = np.frombuffer(b"".join(g.column("bits").to_pylist()), "uint64").reshape(len(node), -1)
-                cuts = np.flatnonzero(np.r_[True, (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1]), True])
-                sizes = np.diff(cuts)
-                two = cuts[:-1][sizes == 2]  # most lists: all at once
-                if len(two):
-                    x, y = two, two + 1
-                    ok = (np.minimum(n[x], n[y]) >= t.least(np.maximum(n[x], n[y]))) & (np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype="int64") <= n[x] + n[y] - 2 * t.overlap(n[x], n[y]))
-                    if not heads:
-                        ok &= (root[x] != root[y]) & ((side[x] != side[y]) | (side[x] == -1))
-                    a.append(node[x[ok]])
-                    b.append(node[y[ok]])
-                for s, e in zip(cuts[:-1][sizes > 2].tolist(), cuts[1:][sizes > 2].tolist(), strict=True):
-                    p, q = pairs(node[s:e], n[s:e], bits[s:e], side[s:e], root[s:e])
+        def batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+            x, y = np.concatenate(a), np.concatenate(b)
+            x, y = np.minimum(x, y), np.maximum(x, y)
+            order = np.lexsort((y, x))
+            x, y = x[order], y[order]
+            new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])][: len(x)]
+            return pa.RecordBatch.from_arrays([pa.array(x[new]), pa.array(y[new])], names=["a", "b"])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            g = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            key = [g.column(c).to_numpy() for c in ("key", "i", "j")]
+            node, n, side, root = (g.column(c).to_numpy() for c in ("node", "n", "side", "root"))
+            bits = np.frombuffer(b"".join(g.column("bits").to_pylist()), "uint64").reshape(len(node), -1)
+            cuts = np.flatnonzero(np.r_[True, (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1]), True])
+            sizes = np.diff(cuts)
+            x = cuts[:-1][sizes == 2]  # most lists: all at once
+            y = x + 1
+            ok = (np.minimum(n[x], n[y]) >= t.least(np.maximum(n[x], n[y]))) & (np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype="int64") <= t.differ(n[x], n[y]))
+            if not heads:
+                ok &= (root[x] != root[y]) & ((side[x] != side[y]) | (side[x] == -1))
+            a, b = [node[x[ok]]], [node[y[ok]]]
+            size = int(ok.sum())
+            for s, e in zip(cuts[:-1][sizes > 2].tolist(), cuts[1:][sizes > 2].tolist(), strict=True):
+                for p, q in pairs(node[s:e], n[s:e], bits[s:e], side[s:e], root[s:e]):
                     a.append(p)
                     b.append(q)
-            a, b = (np.concatenate(z) if z else np.empty(0, "int64") for z in (a, b))
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
-
-        for batch in batches:  # whole lists only: what the last key of a batch has waits for the next
-            if not batch.num_rows:
+                    size += len(p)
+                    if size >= TOGETHER:
+                        yield batch(a, b)
+                        a, b, size = [], [], 0
+            if a:
+                yield batch(a, b)
+
+        for new in batches:  # whole lists only: what the last key of a batch has waits for the next
+            if not new.num_rows:
                 continue
-            key = [batch.column(c).to_numpy() for c in ("key", "i", "j")]
+            key = [new.column(c).to_numpy() for c in ("key", "i", "j")]
             last = len(key[0]) - 1
             other = np.flatnonzero((key[0] != key[0][last]) | (key[1] != key[1][last]) | (key[2] != key[2][last]))
             start = int(other[-1]) + 1 if len(other) else 0
             if start:
-                held.append(batch.slice(0, start))
-                yield close()
-                held.clear()
+                held.append(new.slice(0, start))
+                yield from close()
             elif held and any(held[-1].column(c)[-1].as_py() != k[0] for c, k in zip(("key", "i", "j"), key, strict=True)):
-                yield close()
-                held.clear()
-            held.append(batch.slice(start))
-        yield close()
+                yield from close()
+            held.append(new.slice(start))
+        if held:
+            yield from close()
 
     return members.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
-def _close(pairs: DataFrame, reps: DataFrame, t: Threshold) -> DataFrame:
-    """The pairs whose full bitmaps, which grow with the sets, do not rule a link out."""
-    left = pairs.join(reps.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("wide").alias("x")), "a")
-    both = left.join(reps.select(F.col("node").alias("b"), "n", F.col("wide").alias("y")), "b").select("a", "b", "m", "n", "x", "y")
+def _close(pairs: DataFrame, rows: DataFrame, t: Threshold) -> DataFrame:
+    """The pairs whose bitmaps of all slices, which grow with the sets, do not rule a link out."""
+    left = pairs.join(rows.select(F.col("row").alias("a"), F.col("n").alias("m"), F.col("bits").alias("x")), "a")
+    both = left.join(rows.select(F.col("row").alias("b"), "n", F.col("bits").alias("y")), "b").select("a", "b", "m", "n", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for m, n, x, y in zip(*(batch.column(c).to_pylist() for c in ("m", "n", "x", "y")), strict=True):
-                p, q = np.frombuffer(x, "uint8"), np.frombuffer(y, "uint8")
-                size = min(len(p), len(q))
-                differ = np.bitwise_count(_folded(p, size) ^ _folded(q, size)).sum(dtype="int64")
-                keep.append(bool(differ <= m + n - 2 * t.overlap(m, n)))
+            for m, n, x, y in zip(batch.column("m").to_pylist(), batch.column("n").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+                r = min(slices(m), slices(n))
+                p, q = (_folded(np.frombuffer(z.as_buffer(), "uint8", slices(k) * BITS // 8), r) for z, k in ((x, m), (y, n)))
+                keep.append(min(m, n) >= t.least(max(m, n)) and int(np.bitwise_count(p ^ q).sum(dtype="int64")) <= t.differ(m, n))
             yield batch.select(["a", "b"]).filter(pa.array(keep, "bool"))
 
     return both.mapInArrow(tidy(run), "a long, b long")
@@ -347,7 +402,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
 def link_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id: the least doc_id that links of similarity num / den or more reach."""
     placed = _placed(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), width, num, den)
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = cut(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")))  # a table of its own, so that a large component's rows can be split in the join
     return placed.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
@@ -356,62 +411,68 @@ def _placed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     t, spark = Threshold(num, den), docs.sparkSession
     rows = cut(sketches(docs, width, t, common_grams(docs, width)))
     classes = cut(rows.filter("n > 0").groupBy("s1", "s2").agg(F.min("row").alias("node")))
-    reps = cut(rows.join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"))
+    nodes = classes.select(F.col("node").alias("row"))
+    nodes = F.broadcast(nodes) if classes.count() <= 2 * SMALL else nodes  # a number for each class: some MB at most
+    reps = rows.join(nodes, "row", "left_semi").withColumnRenamed("row", "node")
 
-    sizes = {r["n"]: r["count"] for r in reps.filter(F.col("n") <= LIGHT).groupBy("n").count().collect()}  # at most LIGHT rows
-    posted = reps.select(F.explode("lead").alias("key")).agg(F.count("*").alias("n"), F.approx_count_distinct("key").alias("d")).first()
-    light = boundary(sizes, t, posted["n"] / max(posted["d"], 1))
+    some = rows.filter(F.col("n") <= LIGHT).groupBy("n").count().collect()  # at most LIGHT rows
+    posted = rows.select(F.explode("keys").alias("key")).agg(F.count("*").alias("n"), F.approx_count_distinct("key").alias("d")).first()
+    light = boundary({r["n"]: r["count"] for r in some}, t, posted["n"] / max(posted["d"], 1))
 
-    scanned = F.col("n") >= t.least(light + 1)
-    first = F.slice("lead", 1, F.when(F.col("n") <= LIGHT, F.col("n") - F.ceil(F.col("n") * num / den) + 1).otherwise(F.size("lead")).cast("int"))
-    prefix = F.filter(first, lambda x: x.isNotNull())
-    lists = reps.filter(scanned).select(F.explode(prefix).alias("key"), "node", "n")
-    posts = lists.unionByName(_subset_keys(reps.filter(F.col("n") <= light), t))
+    scanned = reps.filter(F.col("n") >= t.least(light + 1)).select("node", F.explode(F.arrays_zip("keys", "slots")).alias("e"))
+    lists = scanned.select(F.col("e.keys").alias("key"), "node", F.col("e.slots").cast("int").alias("slot"))
+    posts = lists.unionByName(_subset_keys(reps.filter(F.col("n") <= light), t).withColumn("slot", F.lit(0)))
     shared = posts.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     live = cut(posts.join(shared, "key"))
-    bits = live.join(reps.select("node", "bits"), "node")
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    size, blocks = BITS // 8, F.ceil(F.col("c") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    dealt = bits.withColumn("k", blocks).withColumn("m", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    side = F.when(F.col("o") == F.col("m"), F.lit(-1)).otherwise(F.col("m"))
-    dealt = dealt.select("key", F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j"), side.alias("side"), "node", "n", "bits")
 
-    # Within one block all pairs count (side -1), between two blocks only those across.
-    draw = F.xxhash64("key", "node")
-    whole = bits.select("key", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("side"), "node", "n", "bits", F.lit(0).cast("long").alias("root"))
+    def drawn(entries: DataFrame) -> DataFrame:
+        """List entries with the size and the bitmap of their slice, the number of blocks and their own."""
+        whole = entries.join(rows.select(F.col("row").alias("node"), "sizes", "bits"), "node")
+        slot = whole.withColumn("n", F.element_at("sizes", F.col("slot") + 1)).withColumn("bits", F.substring("bits", F.col("slot") * size + 1, F.lit(size)))
+        return slot.withColumn("k", blocks).withColumn("m", mine)
+
     parts = partitions(spark)
-    stars = _compare(whole.repartition(parts, "key", "i").sortWithinPartitions("key", "i", draw), t, heads=True)
-    tried = cut(stars)
-    near = cut(_close(tried, reps, t))
+    draw = F.xxhash64("key", "node")
+    whole = drawn(live).select("key", F.col("m").alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("side"), "node", "n", "bits", F.lit(0).cast("long").alias("root"))
+    tried = cut(_compare(whole.repartition(parts, "key", "i").sortWithinPartitions("key", "i", draw), t, heads=True))
+    near = cut(_close(tried, rows, t))
     links = cut(_verified(near, _set_rows(docs, rows, near, width), t))
     joined = components(links)
 
-    rest = dealt.join(joined.withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
+    # What the links have joined is not compared again. Within one block all pairs count (side -1), between two blocks only those across.
+    rooted = live.join(joined.withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
+    mixed = cut(rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key"))
+    dealt = drawn(rooted.join(mixed, "key")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    side = F.when(F.col("o") == F.col("m"), F.lit(-1)).otherwise(F.col("m"))
+    rest = dealt.select("key", F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j"), side.alias("side"), "node", "n", "bits", "root")
     others = _compare(rest.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "node"), t, heads=False)
     untried = cut(others.join(tried, ["a", "b"], "left_anti"))
-    others = cut(_close(untried, reps, t))
+    others = cut(_close(untried, rows, t))
     more = cut(_verified(others, _set_rows(docs, rows, others, width), t))
     roots = components(links.unionByName(more))
 
-    placed = rows.join(classes, ["s1", "s2"], "left").join(roots, "node", "left").select("doc_id", "n", "row", F.coalesce("root", "node", -1 - F.col("row")).alias("root"))
+    placed = rows.select("doc_id", "n", "row", "s1", "s2").join(classes, ["s1", "s2"], "left").join(roots, "node", "left").select("doc_id", "n", "row", F.coalesce("root", "node", -1 - F.col("row")).alias("root"))
     placed = cut(placed)
-    drop(live, tried, untried, near, others, links, more, reps)
+    drop(live, mixed, tried, untried, near, others, links, more, rows, classes, joined, roots)
     return placed
 
 
 def _set_rows(docs: DataFrame, rows: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     """node and its whole set as bytes, for the nodes of some pairs."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    wanted = rows.select("doc_id", "row", "s1", "s2").join(nodes, "row", "left_semi")
+    wanted = rows.select("doc_id", "hash", "row", "s1", "s2").join(nodes, "row", "left_semi")
     if nodes.count() <= SMALL:
         wanted = F.broadcast(wanted)  # its size has just been checked; beyond it texts are shuffled
-    texts = docs.select("doc_id", "text").alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("text", "row", "s1", "s2")
+    same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.xxhash64("d.text") == F.col("w.hash"))
+    texts = docs.select("doc_id", "text").alias("d").join(wanted.alias("w"), same).select("text", "row", "s1", "s2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in _slices(whole):
                 sets = shingle_sets(b.column("text").to_pylist(), width)
-                # A doc_id may stand for several texts: only the one of this row's signature is meant.
+                # Texts of one hash may differ: only the one of this row's signature is meant.
                 same = [int(s.sum(dtype="uint64").view("int64")) == x and int(mix(s).sum(dtype="uint64").view("int64")) == y for s, x, y in zip(sets, b.column("s1").to_pylist(), b.column("s2").to_pylist(), strict=True)]
                 out = pa.RecordBatch.from_arrays([b.column("row"), pa.array([s.tobytes() for s in sets], "binary")], names=["node", "members"])
                 yield out.filter(pa.array(same))
@@ -424,10 +485,11 @@ def distinct_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int
 
     Rows are numbered in a scratch table, so that equal or missing doc_ids are told apart. Null and empty texts link with nothing and stay.
     """
-    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    placed = _placed(numbered.select("doc_id", "text", F.col("_row").alias("row")), width, num, den)
-    kept = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("_row"))
-    return numbered.join(kept.select("_row"), "_row", "left_semi").select(*docs.columns)
+    name = fresh(docs, "row")
+    numbered = cut(docs.withColumn(name, F.monotonically_increasing_id()))
+    placed = _placed(numbered.select("doc_id", "text", F.col(name).alias("row")), width, num, den)
+    kept = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias(name))
+    return numbered.join(kept.select(name), name, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
