@@ -334,7 +334,8 @@ def test_token_files(spark, odd, docs, empty, tmp_path):
         out = str(tmp_path / str(k))
         token_files.write_ids(df, path, out)
         got = token_files.digests(token_files.read_ids(spark, out)).orderBy("start").collect()
-        rows = sorted((tuple(r) for r in df.select("doc_id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or ""))
+        hashes = dict(tuple(r) for r in df.select("text", F.xxhash64("text")).collect())
+        rows = sorted((tuple(r) for r in df.select("doc_id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0, hashes[r[1]], r[1] is not None, r[1] or ""))
         at = 0
         for g, (d, t) in zip(got, rows, strict=True):
             ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
@@ -345,16 +346,36 @@ def test_token_files(spark, odd, docs, empty, tmp_path):
     assert token_files.digests(token_files.read_ids(spark, str(tmp_path / "e"))).count() == 0
 
 
-def test_token_pieces_as_the_tokenizer_has_them():
+TOKENIZER_FILES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
+
+
+@pytest.mark.parametrize("name", TOKENIZER_FILES)
+def test_token_units_as_the_tokenizer_has_them(name, docs):
     from tokenizers import Tokenizer
 
-    tok, encode = Tokenizer.from_file(token_files.tokenizer_path()), token_files._encoder(token_files.tokenizer_path())
-    texts = ["it's 'S they'll I'd 12a3 a_b", "Straße ÜBER é\x1fx\xa0y", "x<|endoftext|>y", "''s ...'t'", "é Σας ẞ", "ab\x0bcd\x0c\r\n"]
-    flat, counts = encode(texts, 2)
-    at = 0
-    for t, n in zip(texts, counts, strict=True):
-        assert flat[at : at + n].tolist() == [*tok.encode(t, add_special_tokens=False).ids, 2], t
-        at += n
+    path = token_files.tokenizer_path(name)
+    tok, model = Tokenizer.from_file(path), token_files.Encoder(path)
+    assert model.apart
+    texts = ["it's 'S they'll I'd 12a3 a_b", "Straße ÜBER é\x1fx\xa0y", "x<|endoftext|>y <|endoftext|> z", "''s ...'t'", "é Σας ẞ  \u0301a e\u0301 \u0301", "ab\x0bcd\x0c\r\n", None, "", "  two  \xa0 spaces \u2003x\u3000 y", "a" * 300 + " b", "猫 犬  鳥", " ", "\n\n x"]
+    r = random.Random(5)
+    texts += ["".join(r.choice(" \n\tab'sé\xa0\u3000猫1.") for _ in range(40)) for _ in range(300)]
+    texts += [x["text"] for x in docs.select("text").collect()]
+    for _ in range(2):  # with ids remembered, too
+        flat, counts = model.encode(texts, 2)
+        at = 0
+        for t, n in zip(texts, counts, strict=True):
+            assert flat[at : at + n].tolist() == [*tok.encode(t or "", add_special_tokens=False).ids, 2], t
+            at += n
+        assert at == len(flat)
+
+
+def test_texts_stay_whole_where_steps_may_reach_across_spaces():
+    import json
+
+    made = json.load(open(token_files.tokenizer_path()))
+    assert token_files.cuts_at_spaces(made)
+    for key, value in [("pre_tokenizer", None), ("normalizer", {"type": "Strip", "strip_left": True, "strip_right": True}), ("added_tokens", [{"content": "a b"}]), ("pre_tokenizer", {"type": "Split", "pattern": {"Regex": "[^,]+"}, "behavior": "Removed", "invert": True}), ("pre_tokenizer", {"type": "Split", "pattern": {"Regex": "\\w+ ?"}, "behavior": "Removed", "invert": True}), ("pre_tokenizer", {"type": "Metaspace"})]:
+        assert not token_files.cuts_at_spaces(made | {key: value}), value
 
 
 def test_topk(spark, sf, monkeypatch):
