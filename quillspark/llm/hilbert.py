@@ -4,20 +4,20 @@ Each column is quantised by its own quantiles (order-preserving), the codes give
 in curve order, and the order is cut into runs of equal row counts. Rows near each other in all columns then share
 files, so that minimum and maximum of any of the columns prune shards.
 
-Nulls take the lowest code; strings are coded by the six bytes after the prefix that all values share; equal rows are
-adjacent; an empty table gives no rows; other columns of the input play no part.
+Numbers are quantised by one sketch of all rows, strings by exact quantiles of all rows in the order of their bytes. Nulls take
+the lowest code; equal rows are adjacent; an empty table gives no rows; other columns of the input play no part in the order.
 """
 
 from __future__ import annotations
 
-import os
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, offsets, ordered, partitions, table
+from .common import cut, drop, fresh, offsets, ordered, partitions, table
 
 BITS = 6
 
@@ -50,39 +50,40 @@ def curve_index(axes: np.ndarray, bits: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _numbers(df: DataFrame, dims: list[str]) -> list[Column]:
-    """Each dimension as a double that keeps its order, null as -infinity."""
-    texts = [c for c in dims if dict(df.dtypes)[c] == "string"]
-    prefix = dict.fromkeys(texts, 0)
-    if texts:
-        ends = df.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(texts) for n, f in (("a", F.min), ("z", F.max))]).first()
-        for i, c in enumerate(texts):
-            if ends[f"a{i}"] is not None:
-                prefix[c] = len(os.path.commonprefix([ends[f"a{i}"].encode(), ends[f"z{i}"].encode()]))
-    out = []
-    for c in dims:
-        if c in prefix:
-            six = F.rpad(F.substring(F.hex(F.encode(F.col(c), "UTF-8")), 2 * prefix[c] + 1, 12), 12, "0")
-            number = F.conv(six, 16, 10).cast("double")
-        else:
-            number = F.col(c).cast("double")
-        out.append(F.coalesce(number, F.lit(float("-inf"))))
-    return out
+def _string_cuts(df: DataFrame, c: str, steps: int) -> list[str]:
+    """Up to steps - 1 values that cut the rows, by this column without nulls, into runs of equal counts."""
+    counted = df.select(F.col(f"`{c}`").alias("value")).filter("value is not null").groupBy("value").agg(F.count("*").alias("n"))
+    rows = ordered(counted, [F.col("value")], partitions(df.sparkSession))
+    before, total = offsets(rows, F.sum("n"))
+    inside = Window.partitionBy("_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.col("_before") + F.sum("n").over(inside)
+    at = rows.join(F.broadcast(before), "_part").select("value", upto.alias("upto"), F.col("n"))  # a row for each partition
+    step = lambda x: F.floor(x * steps / max(total, 1))
+    found = [r["value"] for r in at.filter(step(F.col("upto")) > step(F.col("upto") - F.col("n"))).orderBy("value").limit(steps).collect()]
+    drop(rows)
+    return found[: steps - 1]
 
 
 def with_curve_index(df: DataFrame, dims: list[str], extra: list[Column], bits: int = BITS) -> DataFrame:
-    """extra columns and `curve_index`. The quantiles come from all rows (one sketch, merged from all tasks)."""
-    numbers = _numbers(df, dims)
-    steps = [i / 2**bits for i in range(1, 2**bits)]
-    found = df.agg(*[F.percentile_approx(x, steps, 10000).alias(f"q{i}") for i, x in enumerate(numbers)]).first()
-    cuts = [np.array(found[f"q{i}"] or [], dtype="float64") for i in range(len(dims))]
+    """extra columns and `curve_index`."""
+    kinds, quantiles = dict(df.dtypes), [i / 2**bits for i in range(1, 2**bits)]
+    columns = [F.col(f"`{c}`") if kinds[c] == "string" else F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("-inf"))) for c in dims]
+    numbers = [i for i, c in enumerate(dims) if kinds[c] != "string"]
+    found = df.agg(F.lit(0), *[F.percentile_approx(columns[i], quantiles, 10000).alias(f"q{i}") for i in numbers]).first()
+    cuts: list = [np.array(found[f"q{i}"] or [], dtype="float64") if i in numbers else [x.encode("utf-8", "surrogatepass") for x in _string_cuts(df, c, 2**bits)] for i, c in enumerate(dims)]
+
+    def code(cut: np.ndarray | list[bytes], values: pd.Series) -> np.ndarray:
+        if isinstance(cut, np.ndarray):
+            return np.searchsorted(cut, values.to_numpy("float64"), side="left")
+        names, which = np.unique(values.fillna("").to_numpy(dtype=object), return_inverse=True)
+        codes = np.array([bisect_left(cut, x.encode("utf-8", "surrogatepass")) for x in names], "int64")
+        return np.where(values.isna(), 0, codes[which])
 
     @F.pandas_udf("long")
-    def index(*columns: pd.Series) -> pd.Series:
-        codes = [np.searchsorted(c, v.to_numpy("float64"), side="left") for c, v in zip(cuts, columns, strict=True)]
-        return pd.Series(curve_index(np.stack(codes, axis=1), bits))
+    def index(*values: pd.Series) -> pd.Series:
+        return pd.Series(curve_index(np.stack([code(c, v) for c, v in zip(cuts, values, strict=True)], axis=1), bits))
 
-    return df.select(*extra, index(*numbers).alias("curve_index"))
+    return df.select(*extra, index(*columns).alias("curve_index"))
 
 
 def hilbert_shards(df: DataFrame, dims: list[str], shards: int, keep: list[Column], tie: list[str]) -> DataFrame:
@@ -99,10 +100,16 @@ def hilbert_shards(df: DataFrame, dims: list[str], shards: int, keep: list[Colum
     return placed.withColumn("shard", shard).withColumn("slot", F.col("_rank") - first).withColumn("shard", F.col("shard").cast("int")).drop("_part", "_pos", "_before", "_rank")
 
 
-def write_shards(df: DataFrame, placed: DataFrame, key: str, path: str) -> None:
-    """The rows of df in their shards' files, in slot order."""
-    full = df.join(placed.select(key, "shard", "slot"), key)
-    full.repartitionByRange(F.col("shard")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, dims: list[str], shards: int, path: str) -> None:
+    """All rows of df, each once, in folders by shard, and in these in files by slot; names that df has are not taken again.
+
+    A null or repeated key makes no difference, as rows are carried along, not joined. A shard is as many files as it takes tasks.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    placed = hilbert_shards(df, dims, shards, [row, F.monotonically_increasing_id().alias("tie")], ["tie"])
+    shard, slot = fresh(df, "shard"), fresh(df, "slot")
+    out = placed.select("row.*", F.col("shard").alias(shard), F.col("slot").alias(slot))
+    out.repartitionByRange(F.col(shard), F.col(slot)).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
 
 
 def zone_map(placed: DataFrame, dims: list[str]) -> DataFrame:
