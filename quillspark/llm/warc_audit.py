@@ -1,24 +1,36 @@
-"""WARC records and the audit of replicas by Merkle trees.
+"""WARC files, and the audit of replicas by Merkle trees.
 
-Records are laid into files of bounded size in page order. A tree stands over each file: a leaf hashes a record and its byte
-range, an inner node its range and up to `FAN` children in order. Two replicas are compared at the roots, and only
-children of nodes that differ are compared below, down to the damaged records.
+Pages are written as WARC files of bounded size in page order, each replica a set of files. An index is made from the files
+themselves: each replica's records with their own byte ranges, found by their lengths, and after a damaged head or a wrong length
+by the next record's beginning. A tree stands over the records of each file in the order of offsets: a leaf hashes a
+record's bytes, a node its children. Nodes end at records whose id hashes to a multiple of the fan (of its square on the second
+level, and so on), so that a lost, longer or shorter record changes the nodes above it, but not the cuts elsewhere. Replicas are
+compared at the roots, then only children of nodes that differ, down to the records.
 
-A null html is an empty body, a null url an empty address. Pages of one id are ordered by url and html. Records that one
-replica lacks differ in their leaves, and so does each later record of the file, whose range has moved. An empty table
+A null html is an empty body, a null url an empty address. Pages of one id are ordered by their record's hash, and told apart by their
+place among equal ids of a file. A record whose id cannot be read counts as extra, and the one it was as lost. An empty table
 gives no rows. Other columns play no part.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, offsets, ordered, partitions, table
+from .common import cut, discard, drop, offsets, ordered, partitions, scratch_dir, table, tidy
 
 FILE_BYTES = 16 << 20
 FAN = 16
+#: Files that differ, up to which their names go into the filter of the levels' scans.
+FEW = 1000
 DATE = "2024-01-01T00:00:00Z"
+BEGIN, END = b"WARC/1.0\r\n", b"\r\n\r\n"
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
@@ -44,12 +56,10 @@ def parse(data: bytes) -> list[tuple[dict[str, str], bytes]]:
     return out
 
 
-def hashed(pages: DataFrame, damage: Column | None = None) -> DataFrame:
-    """page_id, length and sha256 of each page's record, and a key that orders pages of one id. damage: the bytes that a replica holds instead."""
-    raw = record(F.col("page_id"), F.col("url"), F.col("html"))
-    rows = pages.select("page_id", "url", "html", raw.alias("_raw"))
-    held = F.col("_raw") if damage is None else damage
-    return rows.select("page_id", F.octet_length("_raw").cast("long").alias("length"), F.sha2("_raw", 256).alias("_key"), F.sha2(held, 256).alias("sha256"))
+def hashed(pages: DataFrame) -> DataFrame:
+    """page_id, url, record, its length and sha256, and a key that orders pages of one id."""
+    rows = pages.select("page_id", "url", record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+    return rows.select("page_id", "url", "record", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("sha256")).withColumn("_key", F.col("sha256"))
 
 
 def laid_out(rows: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -63,47 +73,113 @@ def laid_out(rows: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
     return at.withColumn("seq", F.row_number().over(inside.orderBy("_at")) - 1).withColumn("offset", F.col("_at") - F.min("_at").over(inside)).drop("_part", "_pos", "_before", "_at")
 
 
-def tree(leaves: DataFrame, fan: int = FAN) -> list[DataFrame]:
-    """Levels from the leaves to the roots: replica, file, node, first, last (byte range) and hash. Leaves: replica, file, seq, offset, length, sha256."""
-    end = F.col("offset") + F.col("length")
-    mine = F.sha2(F.concat_ws(":", F.lit("leaf"), "offset", end, "sha256"), 256)
-    level = cut(leaves.select("replica", "file", F.col("seq").cast("long").alias("node"), F.col("offset").alias("first"), end.alias("last"), mine.alias("hash")))
-    levels, most = [level], level.agg(F.max("node").alias("m")).first()["m"] or 0
-    while most > 0:
-        kids = F.sort_array(F.collect_list(F.struct("node", "first", "last", "hash")))  # no more than fan of them
-        up = level.groupBy("replica", "file", F.floor(F.col("node") / fan).alias("node")).agg(kids.alias("kids"))
-        first, last = F.get("kids", F.lit(0))["first"], F.element_at("kids", -1)["last"]
-        mine = F.sha2(F.concat_ws(":", F.lit("node"), first, last, F.array_join(F.transform("kids", lambda k: k["hash"]), ":")), 256)
-        level = cut(up.select("replica", "file", "node", first.alias("first"), last.alias("last"), mine.alias("hash")))
-        levels.append(level)
-        most //= fan
-    return levels
+def write_warc(placed: DataFrame, path: str) -> None:
+    """One WARC file for each `file` of placed, its records (column record, null: lost) in the order of seq. Spark's text writer puts the blank lines behind each."""
+    files = (placed.agg(F.max("file").alias("m")).first()["m"] or 0) + 1
+    rows = placed.filter("record is not null").repartitionById(files, F.col("file").cast("int")).sortWithinPartitions("file", "seq")
+    body = F.substring("record", F.lit(1), F.octet_length("record") - len(END)).cast("string")
+    rows.select(body.alias("value")).write.option("lineSep", END.decode()).text(path)
+
+
+def split(data: bytes) -> list[tuple[int, int]]:
+    """(offset, length) of each record of a file: by its length if a record or the end follows there, else up to the next beginning."""
+    out, at = [], 0
+    while at < len(data):
+        head = data.find(END, at)
+        length = re.search(rb"\r\nContent-Length: (\d+)(?:\r\n|$)", data[at:head]) if head >= 0 and data.startswith(BEGIN, at) else None
+        to = head + len(END) + int(length[1]) + len(END) if length else -1
+        if not length or to > len(data) or data[to - len(END) : to] != END or (to < len(data) and not data.startswith(BEGIN, to)):
+            after = data.find(END + BEGIN, at)
+            to = after + len(END) if after >= 0 else len(data)
+        out.append((at, to - at))
+        at = to
+    return out
 
 
-def audit(levels: list[DataFrame], fan: int = FAN) -> DataFrame:
-    """file and node (place) of the leaves in which replicas 0 and 1 differ, found from the roots down."""
+def index(spark: SparkSession, path: str, replica: int) -> DataFrame:
+    """replica, file, seq, offset, length, id, nth (place among equal ids of the file) and sha256 of each record of a replica's files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, data in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                data, seen, rows = data.as_buffer().to_pybytes(), {}, []
+                file = int(re.search(r"part-(\d+)", name)[1])
+                for seq, (at, size) in enumerate(split(data)):
+                    one = data[at : at + size]
+                    head = re.search(rb"\r\nWARC-Record-ID: <([^>\r\n]*)>\r\n", one.split(END, 1)[0] + b"\r\n")
+                    id_ = head[1].decode("utf-8", "replace") if head else f"unreadable:{hashlib.sha256(one).hexdigest()}"
+                    rows.append((replica, file, seq, at, size, id_, seen.get(id_, 0), hashlib.sha256(one).hexdigest()))
+                    seen[id_] = seen.get(id_, 0) + 1
+                for at in range(0, len(rows), 5000):
+                    kinds = ["int32", "int64", "int64", "int64", "int64", "string", "int64", "string"]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[at : at + 5000]], kind) for k, kind in enumerate(kinds)], names=INDEX)
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(tidy(run), "replica int, file long, seq long, offset long, length long, id string, nth long, sha256 string")
+
+
+INDEX = ["replica", "file", "seq", "offset", "length", "id", "nth", "sha256"]
+
+
+def tree(leaves: DataFrame, fan: int = FAN) -> list[DataFrame]:
+    """Levels from the records to the roots: replica, file, node (a name), up (the node above), first, last (byte range) and hash. leaves: an index of each replica.
+
+    A node is named by the record it ends with; its hash does not depend on where the file has it, its range tells where to read.
+    """
+    digest = F.xxhash64("id", "nth")
+    rows = leaves.select("replica", "file", "seq", F.concat_ws("#", "id", "nth").alias("node"), F.col("offset").alias("first"), (F.col("offset") + F.col("length")).alias("last"), F.col("sha256").alias("hash"), digest.alias("mark"))
+    levels, cutting = [], fan
+    while True:
+        ends = F.pmod("mark", F.lit(cutting)) == 0
+        # The first end from here on; what follows a file's last end hangs under the root's last child.
+        ahead = Window.partitionBy("replica", "file").orderBy("seq").rowsBetween(Window.currentRow, Window.unboundedFollowing)  # a file's records: some MB
+        level = cut(rows.withColumn("up", F.coalesce(F.first(F.when(ends, F.col("node")), ignorenulls=True).over(ahead), F.lit("end"))))
+        levels.append(level)
+        kids = F.sort_array(F.collect_list(F.struct("seq", "node", "first", "last", "hash", "mark")))
+        last = F.element_at("kids", -1)
+        up = level.groupBy("replica", "file", "up").agg(kids.alias("kids"))
+        mine = F.sha2(F.array_join(F.transform("kids", lambda k: F.concat_ws(":", k["node"], k["hash"])), ";"), 256)
+        rows = up.select("replica", "file", last["seq"].alias("seq"), F.col("up").alias("node"), F.get("kids", F.lit(0))["first"].alias("first"), last["last"].alias("last"), mine.alias("hash"), F.when(F.col("up") == "end", F.lit(1)).otherwise(last["mark"]).alias("mark"))
+        if level.groupBy("replica", "file").count().agg(F.max("count").alias("m")).first()["m"] in (None, 1):
+            return levels
+        cutting *= fan
+
+
+def audit(levels: list[DataFrame]) -> DataFrame:
+    """file, node and kind (damaged, lost, extra) of the records in which replicas 0 and 1 differ, found from the roots down."""
     wrong: DataFrame | None = None
     for level in reversed(levels):
         if wrong is not None:
-            level = level.withColumn("up", F.floor(F.col("node") / fan)).join(wrong.select("file", F.col("node").alias("up")), ["file", "up"], "left_semi")
-        sides = level.groupBy("file", "node").agg(F.min("hash").alias("a"), F.max("hash").alias("b"), F.count("*").alias("n"))
-        wrong = sides.filter((F.col("a") != F.col("b")) | (F.col("n") != 2)).select("file", "node")
+            files = [r["file"] for r in wrong.select("file").distinct().limit(FEW + 1).collect()]
+            if len(files) <= FEW:  # else the join alone
+                level = level.filter(F.col("file").isin(files))
+            level = level.join(wrong.select("file", F.col("node").alias("up")).distinct(), ["file", "up"], "left_semi")
+        side = lambda k: F.max(F.when(F.col("replica") == k, F.col("hash")))
+        sides = level.groupBy("file", "node").agg(side(0).alias("a"), side(1).alias("b"))
+        kind = F.when(F.col("a").isNull(), "extra").when(F.col("b").isNull(), "lost").otherwise("damaged")
+        wrong = cut(sides.filter(~F.col("a").eqNullSafe(F.col("b"))).select("file", "node", kind.alias("kind")))
     return wrong
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit of a replica in which a known part of the records has a flipped byte: those of urls whose sha256 begins with 00."""
-    pages = table(spark, sf_dir, "pages")
+    rows = cut(hashed(table(spark, sf_dir, "pages")))
+    places = cut(laid_out(rows))
     hit = F.substring(F.sha2(F.coalesce(F.col("url"), F.lit("")), 256), 1, 2) == "00"
-    flipped = F.overlay(F.col("_raw"), F.unhex(F.lit("00")), F.floor(F.octet_length("_raw") / 2).cast("int"), F.lit(1))
-    both = cut(hashed(pages, F.when(hit, flipped).otherwise(F.col("_raw"))))
-    places = cut(laid_out(both.withColumn("damaged", F.col("sha256")).withColumn("sha256", F.col("_key"))))
-    leaves = places.withColumn("_two", F.explode(F.array(F.struct(F.lit(0).alias("replica"), F.col("sha256").alias("s")), F.struct(F.lit(1).alias("replica"), F.col("damaged").alias("s")))))
-    levels = tree(leaves.select("_two.replica", "file", "seq", "offset", "length", F.col("_two.s").alias("sha256")))
-    wrong = audit(levels).withColumn("bad", F.lit(True))
-    rows = places.join(wrong.select("file", F.col("node").alias("seq"), "bad"), ["file", "seq"], "left")
-    drop(both)
-    return rows.select("page_id", "file", F.col("seq").cast("long").alias("seq"), "offset", "length", "sha256", F.when(F.col("bad"), "damaged").otherwise("intact").alias("fixity"))
+    flipped = F.overlay(F.col("record"), F.unhex(F.lit("00")), F.floor(F.octet_length("record") / 2).cast("int"), F.lit(1))
+    where = [f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}" for _ in range(2)]
+    write_warc(places, where[0])
+    write_warc(places.withColumn("record", F.when(hit, flipped).otherwise(F.col("record"))), where[1])
+    found = cut(index(spark, where[0], 0).unionByName(index(spark, where[1], 1)))
+    for path in where:
+        discard(spark, path)
+    levels = tree(found)
+    wrong = audit(levels).filter("kind != 'extra'").select("file", "node").withColumn("bad", F.lit(True))
+    own = found.filter("replica = 0").select("file", "seq", "offset", "length", "sha256", F.concat_ws("#", "id", "nth").alias("node"))
+    pages = places.select("page_id", "file", F.col("seq").cast("long").alias("seq"))
+    audited = cut(own.join(wrong, ["file", "node"], "left").join(pages, ["file", "seq"]))
+    drop(rows, places, found, *levels)
+    return audited.select("page_id", "file", "seq", "offset", "length", "sha256", F.when(F.col("bad"), "damaged").otherwise("intact").alias("fixity"))
 
 
 ORACLE = f"""
