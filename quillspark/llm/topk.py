@@ -4,7 +4,9 @@ Vectors are put in order of falling length and cut into blocks, and each block i
 buckets with the k-th best score so far: where that score divided by both lengths is above one, the bucket is skipped
 (length pruning); where it is high, only vectors whose coordinates lie in the range that such a cosine admits are kept
 (coordinate pruning); the rest are cut where their length gets too short. What remains is verified by exact integer
-products. A first pass over the block of the longest vectors gives every query its starting score.
+products. A first pass over the block of the longest vectors gives every query its starting score. Queries go out in chunks of a
+bounded size that every task gets; vectors stay where they are, and blocks that are too short for all queries of a chunk are
+not read.
 
 Null vectors and vectors with null or non-finite components take no part. Vectors of different lengths count as padded with
 zeros. A query does not meet rows of its own id. Ties go to the smaller id, repeated rows count singly, and an empty
@@ -20,33 +22,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, ordered, table
+from .common import cut, drop, ordered, table, tidy
 
 BLOCK = 8192
 BUCKET = 512
-QUERIES = 1024
+#: Bytes of query vectors that are broadcast at once.
+CHUNK = 32 << 20
 #: From this cosine on, coordinates prune better than lengths.
 COSINE = 0.7
 
 
-def _pack(rows: DataFrame, by: str, dims: int) -> DataFrame:
-    """One row for each run of equal `by` (in order): ids and a matrix of 64-bit components as bytes."""
+def _pack(rows: DataFrame, dims: int) -> DataFrame:
+    """One row for each run of equal `_block` (in order): greatest length, ids and a matrix of 64-bit components as bytes."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, np.ndarray, np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
-            ids = np.concatenate([h[1] for h in held])
-            return pa.RecordBatch.from_arrays([pa.array([held[0][0]], "int32"), pa.array([ids.tobytes()], "binary"), pa.array([np.concatenate([h[2] for h in held]).tobytes()], "binary")], names=["block", "ids", "matrix"])
+            ids, m = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+            top = float(np.sqrt((m * m).sum(1)).max())
+            return pa.RecordBatch.from_arrays([pa.array([held[0][0]], "int64"), pa.array([top]), pa.array([ids.tobytes()], "binary"), pa.array([m.tobytes()], "binary")], names=["block", "top", "ids", "matrix"])
 
         for b in batches:
-            keys, ids, lists = b.column(by).to_numpy(), b.column("vec_id").to_numpy(), b.column("v")
-            m = np.zeros((b.num_rows, dims))
-            bounds = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy(zero_copy_only=False)
-            lengths = np.diff(bounds)
-            at = np.repeat(np.arange(b.num_rows), lengths), np.arange(bounds[0], bounds[-1]) - np.repeat(bounds[:-1], lengths)
-            m[at] = flat[bounds[0] : bounds[-1]]
+            keys, ids, m = b.column("_block").to_numpy(), b.column("vec_id").to_numpy(), matrix(b.column("v"), dims)
             edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]) if len(keys) else []
             for s, e in zip(edges[:-1], edges[1:], strict=True):
                 if held and held[0][0] != keys[s]:
@@ -56,7 +54,17 @@ def _pack(rows: DataFrame, by: str, dims: int) -> DataFrame:
         if held:
             yield out()
 
-    return rows.mapInArrow(pack, "block int, ids binary, matrix binary")
+    return rows.mapInArrow(tidy(pack), "block long, top double, ids binary, matrix binary")
+
+
+def matrix(lists: pa.ListArray, dims: int) -> np.ndarray:
+    """Vectors as rows, shorter ones padded with zeros."""
+    m = np.zeros((len(lists), dims))
+    bounds = lists.offsets.to_numpy()
+    lengths = np.diff(bounds)
+    at = np.repeat(np.arange(len(lists)), lengths), np.arange(bounds[0], bounds[-1]) - np.repeat(bounds[:-1], lengths)
+    m[at] = lists.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]]
+    return m
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -116,43 +124,68 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     size = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims")).first()
     dims, blocks = size["dims"] or 1, max(1, -(-size["n"] // BLOCK))
-    asked = max(1, -(-queries.count() // QUERIES))
-    sorted_ = ordered(vectors.withColumn("norm", norm), [F.desc("norm"), F.col("vec_id")], blocks)
+    sorted_ = ordered(vectors.select("vec_id", "v", norm.alias("norm")), [F.desc("norm"), F.col("vec_id")], blocks)
     # A part that became longer than a block is cut again, so that no packed row grows.
-    packed = _pack(sorted_.withColumn("_block", (F.col("_part") * 100000 + F.floor(F.col("_pos") / BLOCK)).cast("int")).repartitionById(blocks, F.col("_part")).sortWithinPartitions("_block", "_pos"), "_block", dims)
-    data = cut(packed)
-    names = [r["block"] for r in data.select("block").orderBy("block").collect()]  # one for each 8192 vectors
-    deal = F.pmod(F.xxhash64("vec_id"), F.lit(asked)).cast("int")
-    asks = cut(_pack(queries.withColumn("_ask", deal).repartitionById(asked, F.col("_ask")).sortWithinPartitions("_ask", "vec_id"), "_ask", dims).withColumnsRenamed({"block": "ask", "ids": "ask_ids", "matrix": "ask_matrix"}))
+    block = F.shiftleft(F.col("_part").cast("long"), 32) + F.floor(F.col("_pos") / BLOCK)
+    data = cut(_pack(sorted_.withColumn("_block", block).repartitionById(blocks, F.col("_part")).sortWithinPartitions("_block", "_pos"), dims))
     drop(sorted_)
+    longest = data.agg(F.min("block").alias("b")).first()["b"]
+    chunks = max(1, -(-queries.count() * dims * 8 // CHUNK))
+    dealt = cut(queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk")).repartition(chunks, "chunk"))
+    found = [_asked(data, dealt.filter(F.col("chunk") == c), dims, k, longest) for c in range(chunks)]  # each within CHUNK bytes or so
+    drop(data, dealt)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _asked(data: DataFrame, queries: DataFrame, dims: int, k: int, longest: int | None) -> DataFrame:
+    """The results of one chunk of queries, as a scratch table."""
+    spark = data.sparkSession
+    rows = queries.select("vec_id", "v").toArrow().combine_chunks()
+    ids = rows.column("vec_id").to_numpy()
+    asked = matrix(rows.column("v").combine_chunks(), dims) if len(ids) else np.zeros((0, dims))
+    lengths = np.sqrt((asked * asked).sum(1))
+
+    def run(blocks: DataFrame, floor: np.ndarray) -> DataFrame:
+        sent = spark.sparkContext.broadcast((ids, asked, floor))
 
-    def run(pairs: DataFrame) -> DataFrame:
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            query_ids, vectors, least = sent.value
+            least = least.copy()  # rises with what this task finds
+            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for b in batches:
-                for r in b.to_pylist():
-                    ids, qids = np.frombuffer(r["ids"], "int64"), np.frombuffer(r["ask_ids"], "int64")
-                    floor = np.frombuffer(r["floor"]) if r["floor"] else np.full(len(qids), -np.inf)
-                    found = search(ids, np.frombuffer(r["matrix"]).reshape(-1, dims), qids, np.frombuffer(r["ask_matrix"]).reshape(-1, dims), k, floor)
-                    n = [len(f[1]) for f in found]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.full(len(found), r["ask"], "int32"), n)), pa.array(np.repeat(np.array([f[0] for f in found], "int64"), n)), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))], names=["ask", "query_id", "vec_id", "score"])
-
-        return pairs.mapInArrow(each, "ask int, query_id long, vec_id long, score long")
-
-    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # k rows a block
-    none = F.lit(None).cast("binary")
-    at = lambda blocks: F.explode(F.array(*[F.lit(x) for x in blocks]).cast("array<int>"))
-    first = run(data.join(asks.withColumn("block", at(names[:1])), "block").withColumn("floor", none))
-    kth = first.groupBy("ask", "query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).filter(F.col("n") >= k)
-
-    def floors(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        known = dict(zip(right.column("query_id").to_pylist(), right.column("least").to_pylist(), strict=True))
-        rows = [r | {"floor": np.array([known.get(q, -np.inf) for q in np.frombuffer(r["ask_ids"], "int64").tolist()], "float64").tobytes()} for r in left.to_pylist()]
-        return pa.Table.from_pylist(rows, schema=pa.schema([("ask", pa.int32()), ("ask_ids", pa.binary()), ("ask_matrix", pa.binary()), ("floor", pa.binary())]))
-
-    seeded = asks.groupBy("ask").cogroup(kth.groupBy("ask")).applyInArrow(floors, "ask int, ask_ids binary, ask_matrix binary, floor binary") if len(names) > 1 else asks.withColumn("floor", none)
-    # Each packed block of queries meets each packed block of vectors once.
-    found = run(data.join(seeded.withColumn("block", at(names)), "block").repartition(max(1, len(names) * asked), "block", "ask"))
-    return found.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+                for own, top, m in zip(b.column("ids"), b.column("top").to_pylist(), b.column("matrix"), strict=True):
+                    near = np.flatnonzero(least <= lengths * top * (1 + 1e-9) + 1e-6)
+                    own, m = np.frombuffer(own.as_buffer(), "int64"), np.frombuffer(m.as_buffer()).reshape(-1, dims)
+                    for i, (_, some, scores) in zip(near.tolist(), search(own, m, query_ids[near], vectors[near], k, least[near]), strict=True):
+                        if not len(some):
+                            continue
+                        if i in best:
+                            some, scores = np.r_[best[i][0], some], np.r_[best[i][1], scores]
+                        order = np.lexsort((some, -scores))[:k]
+                        best[i] = some[order], scores[order]
+                        if len(order) == k:
+                            least[i] = max(least[i], float(scores[order].min()))
+            n = [len(x[0]) for x in best.values()]
+            asked_by = np.repeat(query_ids[list(best)], n) if best else np.empty(0, "int64")
+            columns = [asked_by, *(np.concatenate([x[c] for x in best.values()]) if best else np.empty(0, "int64") for c in (0, 1))]
+            for at in range(0, len(asked_by), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 10_000], "int64") for c in columns], names=["query_id", "vec_id", "score"])
+
+        return blocks.mapInArrow(tidy(each), "query_id long, vec_id long, score long")
+
+    floor = np.full(len(ids), -np.inf)
+    if longest is not None:
+        first = run(data.filter(F.col("block") == longest), floor).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+        known = {r["query_id"]: r["least"] for r in first.filter(F.col("n") >= k).collect()}  # a row for each query of the chunk
+        floor = np.array([known.get(q, -np.inf) for q in ids.tolist()])
+    # The shortest vector that could still score for some query, where all scores to beat are above zero.
+    reach = float(np.min(np.where(floor > 0, (floor - 1e-6) / np.maximum(lengths, 1e-300), 0.0) * (1 - 1e-9), initial=np.inf)) if len(ids) else 0.0
+    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # k rows a task
+    ranked = run(data.filter(F.col("top") >= reach), floor).withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)
+    return cut(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 
 
 def quantised(embeddings: DataFrame, scale: int = 1024) -> DataFrame:
