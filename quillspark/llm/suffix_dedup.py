@@ -12,6 +12,9 @@ enough to sort the suffixes that begin at minimizers ("anchors").
    prefixes. In suffix order, strings that agree are neighbours whose common prefixes tell how far they agree.
 
 Only one suffix of equal ones leaves a run (that of the least id), so that hot passages and large groups of copies stay small.
+A run sends a row to each range for which it has something, so rows are no more than exchanged fingerprints or suffixes.
+Strings that share all bytes from the anchor on are told apart by a 64-bit hash of the bytes before it: two unlike strings pass
+for equal with a probability of about 2**-64 for each such pair.
 Null and empty texts have no bytes. Documents of equal ids remove nothing from one another; a null id counts as
 larger than any other. Texts shorter than the window stay. An empty table gives no rows. Other columns play no part.
 """
@@ -24,10 +27,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, table, tidy
+from .common import cut, drop, offsets, ordered, partitions, table, tidy
 from .loser_tree import decoded, front_coded, merge
 from .shingle_join import _BASE, U, _tables, mix
 
@@ -100,6 +103,12 @@ def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
+def _held(part: np.ndarray) -> list[tuple[int, int, int]]:
+    """(range, first, past the last) of the ranges that sorted range numbers name: no more of them than numbers, however many ranges there are."""
+    edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, "int64")
+    return [(int(part[s]), s, e) for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+
+
 def _raw(column: pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
@@ -137,9 +146,7 @@ def _fingerprint_runs(ranges: int):
                 blobs.append(theirs[s:e].tobytes() + bytes(e - s))
             value, who = prints[head], np.where(count > 1, np.uint32(0xFFFFFFFF), doc[head].astype("uint32"))
             part = (value * U(ranges)) >> U(48)
-            edge = np.searchsorted(part, np.arange(ranges + 1, dtype="uint64"))
-            for k in range(ranges):
-                s, e = int(edge[k]), int(edge[k + 1])
+            for k, s, e in _held(part):
                 if e > s:
                     gaps = np.diff(np.r_[U((k << 48) // ranges), value[s:e]])
                     who_, names = who[s:e], np.empty(0, "int64")
@@ -342,14 +349,11 @@ def _sorted_runs(ranges: int):
             head8 = np.zeros((len(i), 8), "uint8")
             head8[:] = prints[i].astype(">u8").view("uint8").reshape(-1, 8)
             text = np.concatenate([head8[:, 2:], right[i]], axis=1)
-            edge = np.searchsorted(part, np.arange(ranges + 1, dtype="uint64"))
-            for p in range(ranges):
-                s, e = int(edge[p]), int(edge[p + 1])
-                if e > s:
-                    rows = text[s:e]
-                    differ = rows[1:] != rows[:-1]
-                    shared = np.r_[0, np.where(differ.any(1), differ.argmax(1), rows.shape[1])]
-                    out.append((p, None, None, front_coded([x.tobytes() for x in rows], shared.tolist()), tail[s:e].tobytes()))
+            for p, s, e in _held(part):
+                rows = text[s:e]
+                differ = rows[1:] != rows[:-1]
+                shared = np.r_[0, np.where(differ.any(1), differ.argmax(1), rows.shape[1])]
+                out.append((p, None, None, front_coded([x.tobytes() for x in rows], shared.tolist()), tail[s:e].tobytes()))
             for at in range(0, len(out), 5000):
                 yield _batch(out[at : at + 5000])
 
@@ -392,8 +396,17 @@ def repeats(docs: DataFrame) -> DataFrame:
     runs = docs.select("id", "text").mapInArrow(tidy(_fingerprint_runs(ranges)), "part int, own boolean, docs binary, blob binary")
     shared = runs.repartitionById(ranges, F.col("part")).mapInArrow(tidy(_shared(ranges)), "slot int, blob binary")
     held = cut(shared.repartitionById(ranges, F.col("slot")).mapInArrow(tidy(_by_document), "id long, least long, prints binary"))
-    place = cut(held.select("id", "least").repartitionByRange(ranges, "least", "id").withColumn("bucket", F.spark_partition_id()))
-    at = F.broadcast(place) if place.count() <= SMALL else place  # its size has just been checked; beyond it both sides are shuffled
+    few = held.count() <= SMALL  # beyond this size both sides are shuffled
+    some = held.select("id", "least")
+    sized = docs.join(F.broadcast(some) if few else some, "id").groupBy("id").agg(F.min("least").alias("least"), F.sum(F.octet_length("text")).alias("b"))
+    sorted_ = ordered(sized, [F.col("least"), F.col("id")], partitions(docs.sparkSession))
+    before, total = offsets(sorted_, F.sum("b"))
+    inside = Window.partitionBy("_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.col("_before") + F.coalesce(F.sum("b").over(inside), F.lit(0))
+    # Buckets of equal bytes, not of equal rows: a long text counts as what it is.
+    place = cut(sorted_.join(F.broadcast(before), "_part").select("id", "least", F.floor(upto * ranges / (total + 1)).cast("int").alias("bucket")))
+    drop(sorted_)
+    at = F.broadcast(place) if few else place
     texts = docs.join(at, "id").select("bucket", "least", "id", "tag", F.encode("text", "UTF-8").alias("raw"), F.lit(None).cast("binary").alias("prints"))
     notes = held.drop("least").join(at, "id").select("bucket", "least", "id", F.lit(None).cast("long").alias("tag"), F.lit(None).cast("binary").alias("raw"), "prints")
     both = texts.unionByName(notes).repartitionById(ranges, F.col("bucket")).sortWithinPartitions("least", "id", F.col("prints").isNull())
@@ -445,14 +458,18 @@ def cleaned(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with repeated passages cut out of their texts; a character that is cut in two goes with the cut; n_chars follows."""
-    others = [c for c in docs.columns if c != "text"]
-    rows = cleaned(docs, others)
+    """docs with repeated passages cut out of their texts; a character that is cut in two goes with the cut; n_chars follows.
+
+    The other columns travel as one, so that their names do not matter. A null text becomes empty.
+    """
+    row = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    rows = cleaned(docs.select("doc_id", "text", row), ["row"])
     valid = F.pandas_udf(lambda raw: raw.map(lambda b: b.decode("utf-8", "ignore")), "string")
-    out = rows.withColumn("text", valid("kept"))
-    if "n_chars" in others:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    out = rows.select("row", valid("kept").alias("text"))
+    of = {c: F.col("row").getField(c).alias(c) for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in of:
+        of["n_chars"] = F.length("text").cast("long").alias("n_chars")
+    return out.select(*[of[c] for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
