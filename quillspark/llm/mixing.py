@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, offsets, ordered, partitions, table, word_count
+from .common import cut, drop, fresh, offsets, ordered, partitions, table, word_count
 
 WEIGHTS = (5, 2, 1)
 CAP = 3.0
@@ -32,7 +32,8 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple = WEIGHTS, cap:
     size, left, out = dict(sizes), float(sum(n for _, n in sizes)), {}
     open_ = list(names)
     while open_:
-        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        each = left / sum(weight[x] for x in open_)
+        share = {s: each * weight[s] for s in open_}
         full = [s for s in open_ if share[s] > cap * size[s]]
         if not full:
             return out | share
@@ -63,8 +64,12 @@ class Dual:
         self.done, self.at = self.high - self.low < 1e-13, to
 
 
-def solve(hist: DataFrame, duals: dict[str | None, Dual], cap: float, most: int = 60) -> DataFrame:
-    """(source, lam, mean, fixed) after Newton's iterations over the distributed histogram (source, size, n)."""
+def solve(hist: DataFrame, duals: dict[str | None, Dual], cap: float, most: int = 400) -> DataFrame:
+    """(source, lam, mean, fixed) after Newton's iterations over the distributed histogram (source, size, n).
+
+    Where Newton's step leaves the bracket the bracket is halved, so that some 60 steps settle a source; one that has not
+    settled after `most` steps raises.
+    """
     spark = hist.sparkSession
 
     def state() -> DataFrame:
@@ -81,6 +86,8 @@ def solve(hist: DataFrame, duals: dict[str | None, Dual], cap: float, most: int
         for r in found:
             if not duals[r["source"]].done:
                 duals[r["source"]].step(r["value"], r["slope"])
+    if open_ := [s for s, d in duals.items() if not d.done]:
+        raise ArithmeticError(f"no solution after {most} steps for {len(open_)} sources, such as {open_[0]!r}")
     return state()
 
 
@@ -163,13 +170,16 @@ def _settle(rows: DataFrame, cap: float) -> DataFrame:
 
 
 def mixture(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """The documents as the mix takes them: each row as often as its copies say."""
-    keys, every = ["_k1", "_k2"], [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumns({"_k1": F.xxhash64(*every), "_k2": F.hash(*every)})
-    plan = copies(keyed.select(*keys, "source", "text"), weights, cap, tuple(keys)).groupBy(*keys).agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
+    """The documents as the mix takes them: each row as often as its copies say. Names and kinds of other columns do not matter."""
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    hashable = [F.to_json(F.struct(x)) if "map<" in kind else x for x, (_, kind) in zip(every, docs.dtypes, strict=True)]
+    one, two, n, k = (fresh(docs, c) for c in ("key1", "key2", "copies", "copy"))
+    keyed = docs.withColumns({one: F.xxhash64(*hashable), two: F.hash(*hashable)})
+    plan = copies(keyed.select(F.col(one).alias("key1"), F.col(two).alias("key2"), "source", "text"), weights, cap, ("key1", "key2"))
+    plan = plan.groupBy("key1", "key2").agg(F.sum("copies").alias(n)).filter(F.col(n) > 0).select(F.col("key1").alias(one), F.col("key2").alias(two), n)
     # Equal rows are interchangeable: one of them stands for the copies of all.
-    rows = keyed.join(plan, keys).dropDuplicates(keys)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*every)
+    rows = keyed.join(plan, [one, two]).dropDuplicates([one, two])
+    return rows.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*every)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

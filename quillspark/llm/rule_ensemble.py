@@ -189,9 +189,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[flo
     known = known.groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # the documented bound of a fit
     ids = docs.sparkSession.createDataFrame(some.collect(), "doc_id long, _quality int")
-    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), ["doc_id", "_quality"])  # no more than `sample` rows
+    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), ["doc_id", "_quality"])
     names = list(features(F.col("_stat")))
-    got = rows.select("doc_id", "_quality", *[c.alias(k) for k, c in features(F.col("_stat")).items()]).toPandas().sort_values(["doc_id", "_quality", *names])
+    narrow = rows.select("doc_id", "_quality", *[c.alias(k) for k, c in features(F.col("_stat")).items()])
+    order = ["doc_id", "_quality", *names]
+    got = narrow.orderBy(F.xxhash64("doc_id"), *order).limit(sample).toPandas().sort_values(order)  # where ids repeat, there are more rows than ids
     b, rules = fit(got[names].to_numpy("float64"), (got["_quality"] > 0).to_numpy("float64"))
     return b, rules, names
 
