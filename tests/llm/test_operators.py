@@ -192,12 +192,36 @@ def test_hilbert(odd, docs, empty):
 
 
 def test_hilbert_files_prune(docs, tmp_path, spark):
-    placed = hilbert.hilbert_shards(docs, ["source", "lang", "n_chars"], 8, [F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars")], ["doc_id"]).cache()
-    hilbert.write_shards(docs, placed.select("doc_id", "shard", "slot"), "doc_id", str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
-    zones = hilbert.zone_map(placed, ["source", "n_chars"]).collect()
-    assert sum(r["n_rows"] for r in zones) == docs.count()
-    assert any(r["max_n_chars"] < max(z["max_n_chars"] for z in zones) for r in zones)
+    """Files hold all rows, and a filter on either dimension leaves most shards out by their least and greatest values."""
+    hilbert.write_shards(docs, ["source", "n_chars"], 16, str(tmp_path / "s"))
+    rows = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(r["doc_id"] for r in rows.collect()) == sorted(r["doc_id"] for r in docs.collect())
+    zones = hilbert.zone_map(rows, ["source", "n_chars"]).collect()
+    assert sum(r["n_rows"] for r in zones) == docs.count() and len(zones) == 16
+    values = [(r["source"], r["n_chars"]) for r in docs.select("source", "n_chars").collect()]
+    for c, k in (("source", 0), ("n_chars", 1)):
+        met = [sum(z[f"min_{c}"] <= v[k] <= z[f"max_{c}"] for z in zones) for v in values]
+        assert sum(met) / len(met) < 8
+
+
+def test_shards_hold_each_row_once(spark, odd, tmp_path):
+    """Null and repeated ids, maps, and columns named as the shards' own."""
+    rows = spark.createDataFrame([(1, "a", 7, {"k": 1}), (1, "a", 8, None), (None, "b", None, {}), (None, None, 9, {"k": 2})], "doc_id long, source string, shard int, slot map<string,int>")
+    hilbert.write_shards(rows, ["source"], 3, str(tmp_path / "s"))
+    got = spark.read.parquet(str(tmp_path / "s"))
+    assert collections.Counter(map(str, got.select(*rows.columns).collect())) == collections.Counter(map(str, rows.collect())) and set(got.columns) == {*rows.columns, "shard_", "slot_"}
+    hilbert.write_shards(odd, ["source", "lang", "n_chars"], 5, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == odd.count()
+
+
+def test_strings_are_cut_by_all_their_bytes(spark):
+    long = "x" * 500
+    df = spark.createDataFrame([(f"{long}{i:03}",) for i in range(200)] + [(None,)], "source string")
+    got = hilbert.with_curve_index(df, ["source"], [F.col("source")], 4).collect()
+    codes = {r["source"]: r["curve_index"] for r in got}
+    assert codes[None] == 0 and len(set(codes.values())) == 16
+    order = [codes[k] for k in sorted(k for k in codes if k)]
+    assert order == sorted(order)
 
 
 def test_rule_ensemble_fit():
@@ -381,7 +405,7 @@ def test_texts_stay_whole_where_steps_may_reach_across_spaces():
 def test_topk(spark, sf, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 64)
     monkeypatch.setattr(topk, "BUCKET", 16)
-    monkeypatch.setattr(topk, "QUERIES", 4)
+    monkeypatch.setattr(topk, "CHUNK", 2048)
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     odd = [(1000, None), (1100, [1.0, None]), (1200, [float("nan")] * 64), (1300, []), (1400, [0.0] * 64), (1500, rows[0][1]), (1501, rows[0][1]), (1600, [3.0, -2.5]), (1700, [float(x) * 50 for x in rows[3][1]]), (None, [1.0] * 64)]
     df = spark.createDataFrame([*rows, *odd], "vec_id long, embedding array<double>")
@@ -404,27 +428,43 @@ def test_large_products():
     assert topk.products(a, np.array([2.0**40, 5.0]))[0] == 2**63 - 1
 
 
-def test_warc(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet").unionByName(spark.createDataFrame([(900, None, None), (901, "http://é", ""), (901, "http://é", ""), (None, "u", "x")], "page_id long, url string, html string"))
-    raw = [r[0] for r in pages.select(warc_audit.record(F.col("page_id"), F.col("url"), F.col("html"))).collect()]
-    back = warc_audit.parse(b"".join(bytes(x) for x in raw))
-    assert [b.decode() for _, b in back] == [r["html"] or "" for r in pages.collect()]
-    places = warc_audit.laid_out(warc_audit.hashed(pages), 8192).cache()
-    for f, rows in itertools.groupby(sorted(places.collect(), key=lambda r: (r["file"], r["seq"])), key=lambda r: r["file"]):
+def test_warc_files(spark, sf, tmp_path):
+    """Records come back from the files with their ranges; a lost, a longer, a shorter and a flipped record are found, and only they."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").unionByName(spark.createDataFrame([(900, None, None), (901, "http://é", ""), (901, "http://é", ""), (None, "u", "x"), (902, "v", "WARC/1.0 \r\n\r\n in a body")], "page_id long, url string, html string"))
+    placed = warc_audit.laid_out(warc_audit.hashed(pages), 8192).cache()
+    rows = sorted(placed.collect(), key=lambda r: (r["file"], r["seq"]))
+    for f, group in itertools.groupby(rows, key=lambda r: r["file"]):
         at = 0
-        for k, r in enumerate(rows):
+        for k, r in enumerate(group):
             assert (r["seq"], r["offset"]) == (k, at)
             at += r["length"]
-    both = places.select(F.lit(0).alias("replica"), "file", "seq", "offset", "length", "sha256")
-    hit = [(r["file"], r["seq"]) for r in places.collect()][::17]
-    wrong = F.concat_ws(":", F.col("file").cast("string"), F.col("seq").cast("string")).isin([f"{a}:{b}" for a, b in hit])
-    other = both.withColumn("replica", F.lit(1)).withColumn("sha256", F.when(wrong, F.lit("0")).otherwise(F.col("sha256")))
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    warc_audit.write_warc(placed, one)
+    found = warc_audit.index(spark, one, 0).collect()
+    assert sorted((r["file"], r["seq"], r["offset"], r["length"], r["sha256"]) for r in found) == [(r["file"], r["seq"], r["offset"], r["length"], r["sha256"]) for r in rows]
+    raw = b"".join(bytes(r["record"]) for r in rows)
+    assert [b.decode() for _, b in warc_audit.parse(raw)] == [p["html"] or "" for r in rows for p in [next(p for p in pages.collect() if p["page_id"] == r["page_id"] and p["url"] == r["url"])]]
+
+    spots = [r for r in rows if r["length"] > 300][::5]
+    change = {(r["file"], r["seq"]): ("lost", "longer", "shorter", "flipped")[k % 4] for k, r in enumerate(spots)}
+    what = F.create_map(*[F.lit(x) for (f, q), v in change.items() for x in (f"{f}:{q}", v)])[F.concat_ws(":", "file", "seq")]
+    n = F.octet_length("record")
+    other = F.when(what == "lost", F.lit(None)).when(what == "longer", F.concat("record", F.encode(F.lit("and more\r\n\r\n"), "UTF-8"))).when(what == "shorter", F.concat(F.substring("record", F.lit(1), n - 100), F.encode(F.lit("\r\n\r\n"), "UTF-8"))).when(what == "flipped", F.overlay("record", F.unhex(F.lit("00")), (n - 20).cast("int"), F.lit(1))).otherwise(F.col("record"))
+    warc_audit.write_warc(placed.withColumn("record", F.coalesce(other, F.lit(None).cast("binary"))), two)
+    both = warc_audit.index(spark, one, 0).unionByName(warc_audit.index(spark, two, 1))
     for fan in (2, 16):
-        assert sorted((r["file"], r["node"]) for r in warc_audit.audit(warc_audit.tree(both.unionByName(other), fan), fan).collect()) == sorted(hit)
-    assert warc_audit.audit(warc_audit.tree(both.unionByName(both.withColumn("replica", F.lit(1))))).count() == 0
-    lost = both.unionByName(both.filter("seq > 0").withColumn("replica", F.lit(1)))
-    assert warc_audit.audit(warc_audit.tree(lost)).count() > 0
-    assert warc_audit.laid_out(warc_audit.hashed(pages.limit(0))).count() == 0
+        levels = warc_audit.tree(both, fan)
+        names = {(r["file"], f"{r['id']}#{r['nth']}"): (r["file"], r["seq"]) for r in found}
+        got = {names[r["file"], r["node"]]: r["kind"] for r in warc_audit.audit(levels).collect()}
+        assert got == {k: "lost" if v == "lost" else "damaged" for k, v in change.items()}
+    same = warc_audit.index(spark, one, 0).unionByName(warc_audit.index(spark, one, 1))
+    assert warc_audit.audit(warc_audit.tree(same)).count() == 0
+    assert warc_audit.laid_out(warc_audit.hashed(pages.limit(0))).count() == 0 and warc_audit.audit(warc_audit.tree(both.limit(0))).count() == 0
+
+
+def test_warc_query_over_no_pages(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/pages.parquet").limit(0).write.parquet(str(tmp_path / "pages.parquet"))
+    assert warc_audit.query(spark, str(tmp_path)).count() == 0
 
 
 def test_empty_tables(empty):
@@ -443,3 +483,71 @@ def test_sql(spark, sf, name):
     order = sorted(want.columns)
     rows = lambda df: sorted(tuple(map(str, r)) for r in df[order].itertuples(index=False))
     assert sorted(got.columns) == order and rows(got) == rows(want)
+
+
+CLASHING = ["kept", "spans", "n_bytes", "n_removed", "n_spans", "_id", "_tag", "row", "_copies", "copies", "_copy", "key1", "_row", "size", "rank", "_part", "bucket", "target"]
+
+
+def test_columns_of_any_name(spark):
+    """Each stage's operator over rows whose other columns bear the names that operators use, and a map."""
+    passage = words(40, 71)
+    texts = [words(30, 72) + " " + passage, words(30, 73) + " " + passage, None, words(30, 72) + " " + passage, ""]
+    rows = [(i, t, f"s{i % 2}", *range(len(CLASHING)), {"a": i}) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} int" for c in CLASHING) + ", extra map<string,int>")
+    for operator in (suffix_dedup.without_repeats, mixing.mixture, shingle_join.distinct_documents):
+        out = operator(df)
+        got = out.collect()
+        assert out.columns == df.columns and got and all(r["kept"] == 0 and r["bucket"] == CLASHING.index("bucket") and r["extra"] == {"a": r["doc_id"]} for r in got)
+    assert {r["doc_id"] for r in shingle_join.distinct_documents(df).collect()} == {0, 1, 2, 4}
+
+
+def test_rates_solve_the_dual(docs):
+    """Rates are exp(lam * size / mean) under the cap, and a source's words at these rates are its target."""
+    rows = mixing.copies(docs.select("doc_id", "text", "source")).collect()
+    for _, group in itertools.groupby(sorted(rows, key=lambda r: r["source"]), key=lambda r: r["source"]):
+        group = list(group)
+        assert sum(r["rate"] * r["size"] for r in group) == pytest.approx(group[0]["target"], rel=1e-6)
+        free = [(r["size"], np.log(r["rate"])) for r in group if 0 < r["size"] and 0 < r["rate"] < 3 - 1e-9]
+        slopes = [y / x for x, y in free]
+        assert not slopes or max(slopes) - min(slopes) < 1e-9 * max(1, abs(max(slopes)))
+
+
+CONTRACTS = {
+    "op1_hilbert_shards": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
+    "op2_rule_ensemble": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op3_suffix_dedup": {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"},
+    "op4_nbest_pieces": {"doc_id": "bigint", "n_tokens": "bigint", "score": "double", "round_trip": "boolean"},
+    "op5_entropy_mix": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
+    "op6_shingle_join": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
+    "op7_weak_rules": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
+    "op9_token_parquet": {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"},
+    "op10_norm_topk": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACTS))
+def test_queries_return_what_their_contract_says(spark, sf, name):
+    out = QUERIES[name](spark, sf)
+    kinds = dict(out.dtypes)
+    assert {c: kinds[c] for c in CONTRACTS[name]} == CONTRACTS[name]
+    rows = out.collect()
+    if name != "op10_norm_topk":
+        assert sorted(r["doc_id"] for r in rows) == list(range(len(rows)))
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    if name == "op1_hilbert_shards":
+        assert all(r["size"] == len(texts[r["doc_id"]].encode()) + 16 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) and r["law"] == "rows" and r["grown_shard"] is None for r in rows)
+        assert {r["shard"] for r in rows} == set(range(40))
+    if name == "op2_rule_ensemble":
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
+    if name == "op4_nbest_pieces":
+        assert all(r["round_trip"] for r in rows)
+
+
+def test_compiled_rules_are_the_rules(spark):
+    r = np.random.default_rng(5)
+    x = r.random((400, 3))
+    rules = [((((0, "<=", 0.5),)), 1.25), (((1, ">", 0.3), (2, "<=", 0.7)), -2.0), (((0, ">", 0.2), (1, "<=", 0.9), (2, ">", 0.1)), 0.5)]
+    want = 1 / (1 + np.exp(-(0.25 + sum(w * rule_ensemble.holds(p, x) for p, w in rules))))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "i int, values array<double>")
+    got = df.select("i", rule_ensemble.compiled(0.25, rules, ["a", "b", "c"], F.col("values")).alias("s")).orderBy("i").collect()
+    assert np.allclose([g["s"] for g in got], want)

@@ -43,3 +43,9 @@ def test_awkward_rows(spark, sf):
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
     assert words(3, 1)
+
+
+def test_empty_table(spark, sf, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
