@@ -42,9 +42,9 @@ def scratch_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def cut(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: a short lineage that outlives lost executors."""
-    spark = spark or df.sparkSession
+    spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -1,6 +1,6 @@
 """WARC files, and the audit of replicas by Merkle trees.
 
-Pages are written as WARC files of bounded size in page order, each replica a set of files. An index is made from the files
+Pages are written as gzipped WARC files of bounded size in page order, each replica a set of files. An index is made from the files
 themselves: each replica's records with their own byte ranges, found by their lengths, and after a damaged head or a wrong length
 by the next record's beginning. A tree stands over the records of each file in the order of offsets: a leaf hashes a
 record's bytes, a node its children. Nodes end at records whose id hashes to a multiple of the fan (of its square on the second
@@ -17,8 +17,11 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,14 +60,15 @@ def parse(data: bytes) -> list[tuple[dict[str, str], bytes]]:
 
 
 def hashed(pages: DataFrame) -> DataFrame:
-    """page_id, url, record, its length and sha256, and a key that orders pages of one id."""
+    """page_id, url, record, its length and sha256, `row`, and a key that orders pages of one id."""
     rows = pages.select("page_id", "url", record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
-    return rows.select("page_id", "url", "record", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("sha256")).withColumn("_key", F.col("sha256"))
+    length = F.octet_length("record").cast("long")
+    return rows.select("page_id", "url", "record", length.alias("length"), F.sha2("record", 256).alias("sha256"), F.monotonically_increasing_id().alias("row")).withColumn("_key", F.col("sha256"))
 
 
 def laid_out(rows: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
     """rows with file, seq (place in the file) and offset; files begin where the bytes before pass a multiple of file_bytes."""
-    placed = ordered(rows, [F.asc_nulls_last("page_id"), F.col("_key")], partitions(rows.sparkSession))
+    placed = ordered(rows, [F.asc_nulls_last("page_id"), F.col("_key"), F.col("row")], partitions(rows.sparkSession))
     before, _ = offsets(placed, F.sum("length"))
     earlier = Window.partitionBy("_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
     at = placed.join(F.broadcast(before), "_part").withColumn("_at", F.col("_before") + F.coalesce(F.sum("length").over(earlier), F.lit(0)))  # a row for each partition
@@ -73,12 +77,29 @@ def laid_out(rows: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
     return at.withColumn("seq", F.row_number().over(inside.orderBy("_at")) - 1).withColumn("offset", F.col("_at") - F.min("_at").over(inside)).drop("_part", "_pos", "_before", "_at")
 
 
-def write_warc(placed: DataFrame, path: str) -> None:
-    """One WARC file for each `file` of placed, its records (column record, null: lost) in the order of seq. Spark's text writer puts the blank lines behind each."""
-    files = (placed.agg(F.max("file").alias("m")).first()["m"] or 0) + 1
-    rows = placed.filter("record is not null").repartitionById(files, F.col("file").cast("int")).sortWithinPartitions("file", "seq")
-    body = F.substring("record", F.lit(1), F.octet_length("record") - len(END)).cast("string")
-    rows.select(body.alias("value")).write.option("lineSep", END.decode()).text(path)
+def in_files(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """rows with the file that places give them, without a join: files are ranges, so the first row of each file tells (one for each FILE_BYTES)."""
+    firsts = sorted((r["file"], (r["page_id"] is None, r["page_id"] or 0, r["_key"], r["row"])) for r in places.filter("seq = 0").select("file", "page_id", "_key", "row").collect())
+    files, starts = [f for f, _ in firsts], [k for _, k in firsts]
+
+    @F.pandas_udf("long")
+    def file_of(page_id: pd.Series, key: pd.Series, row: pd.Series) -> pd.Series:
+        keys = zip(page_id.isna(), page_id.fillna(0).astype("int64"), key, row, strict=True)
+        return pd.Series([files[bisect_right(starts, k) - 1] for k in keys], dtype="int64")
+
+    return rows.withColumn("file", file_of(F.col("page_id"), "_key", "row"))
+
+
+def write_warc(rows: DataFrame, path: str, replicas: list[Column], order: list[Column]) -> None:
+    """For each replica (a column of what it holds of a record; null: nothing) a gzipped WARC file for each `file`, records in the given order.
+
+    Spark's text writer puts the blank lines behind each record. Records are shuffled once for all replicas.
+    """
+    held = F.explode(F.array(*[F.struct(F.lit(k).alias("replica"), r.alias("held")) for k, r in enumerate(replicas)]))
+    dealt = rows.repartition(partitions(rows.sparkSession), "file").select("*", held.alias("r")).filter("r.held is not null")
+    body = F.substring("r.held", F.lit(1), F.octet_length("r.held") - len(END)).cast("string").alias("value")
+    sorted_ = dealt.sortWithinPartitions("r.replica", "file", *order).select("r.replica", "file", body)
+    sorted_.write.partitionBy("replica", "file").options(**{"lineSep": END.decode(), "zlib.compress.level": "THREE"}).text(path, compression="gzip")
 
 
 def split(data: bytes) -> list[tuple[int, int]]:
@@ -96,14 +117,14 @@ def split(data: bytes) -> list[tuple[int, int]]:
     return out
 
 
-def index(spark: SparkSession, path: str, replica: int) -> DataFrame:
-    """replica, file, seq, offset, length, id, nth (place among equal ids of the file) and sha256 of each record of a replica's files."""
+def index(spark: SparkSession, path: str) -> DataFrame:
+    """replica, file, seq, offset, length, id, nth (place among equal ids of the file) and sha256 of each record of the files. Offsets are those of the unpacked file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, data in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                data, seen, rows = data.as_buffer().to_pybytes(), {}, []
-                file = int(re.search(r"part-(\d+)", name)[1])
+            for name, packed in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                data, seen, rows = zlib.decompress(packed.as_buffer(), wbits=47), {}, []
+                replica, file = map(int, re.search(r"replica=(\d+)/file=(\d+)/", name).groups())
                 for seq, (at, size) in enumerate(split(data)):
                     one = data[at : at + size]
                     head = re.search(rb"\r\nWARC-Record-ID: <([^>\r\n]*)>\r\n", one.split(END, 1)[0] + b"\r\n")
@@ -114,7 +135,8 @@ def index(spark: SparkSession, path: str, replica: int) -> DataFrame:
                     kinds = ["int32", "int64", "int64", "int64", "int64", "string", "int64", "string"]
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[at : at + 5000]], kind) for k, kind in enumerate(kinds)], names=INDEX)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.read.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
     return files.mapInArrow(tidy(run), "replica int, file long, seq long, offset long, length long, id string, nth long, sha256 string")
 
 
@@ -132,8 +154,8 @@ def tree(leaves: DataFrame, fan: int = FAN) -> list[DataFrame]:
     while True:
         ends = F.pmod("mark", F.lit(cutting)) == 0
         # The first end from here on; what follows a file's last end hangs under the root's last child.
-        ahead = Window.partitionBy("replica", "file").orderBy("seq").rowsBetween(Window.currentRow, Window.unboundedFollowing)  # a file's records: some MB
-        level = cut(rows.withColumn("up", F.coalesce(F.first(F.when(ends, F.col("node")), ignorenulls=True).over(ahead), F.lit("end"))))
+        back = Window.partitionBy("replica", "file").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a file's records: some MB
+        level = cut(rows.withColumn("up", F.coalesce(F.last(F.when(ends, F.col("node")), ignorenulls=True).over(back), F.lit("end"))))
         levels.append(level)
         kids = F.sort_array(F.collect_list(F.struct("seq", "node", "first", "last", "hash", "mark")))
         last = F.element_at("kids", -1)
@@ -163,22 +185,24 @@ def audit(levels: list[DataFrame]) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit of a replica in which a known part of the records has a flipped byte: those of urls whose sha256 begins with 00."""
-    rows = cut(hashed(table(spark, sf_dir, "pages")))
-    places = cut(laid_out(rows))
+    rows = hashed(table(spark, sf_dir, "pages"))  # scanned twice, which numbers the rows alike; what comes back is counted below
+    places = cut(laid_out(rows.select("page_id", "length", "_key", "row")))
+    where = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
     hit = F.substring(F.sha2(F.coalesce(F.col("url"), F.lit("")), 256), 1, 2) == "00"
     flipped = F.overlay(F.col("record"), F.unhex(F.lit("00")), F.floor(F.octet_length("record") / 2).cast("int"), F.lit(1))
-    where = [f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}" for _ in range(2)]
-    write_warc(places, where[0])
-    write_warc(places.withColumn("record", F.when(hit, flipped).otherwise(F.col("record"))), where[1])
-    found = cut(index(spark, where[0], 0).unionByName(index(spark, where[1], 1)))
-    for path in where:
-        discard(spark, path)
+    held = in_files(rows.select("page_id", "_key", "row", "record", hit.alias("hit")), places)
+    write_warc(held, where, [F.col("record"), F.when(F.col("hit"), flipped).otherwise(F.col("record"))], [F.asc_nulls_last("page_id"), F.col("_key"), F.col("row")])
+    found = cut(index(spark, where))
+    discard(spark, where)
+    written, planned = (x.groupBy("file").agg(F.count("*").alias("n"), F.sum("length").alias("b")) for x in (found.filter("replica = 0"), places))
+    if not written.exceptAll(planned).isEmpty() or not planned.exceptAll(written).isEmpty():
+        raise RuntimeError("files do not hold what the layout says: the pages have changed meanwhile")
     levels = tree(found)
     wrong = audit(levels).filter("kind != 'extra'").select("file", "node").withColumn("bad", F.lit(True))
     own = found.filter("replica = 0").select("file", "seq", "offset", "length", "sha256", F.concat_ws("#", "id", "nth").alias("node"))
     pages = places.select("page_id", "file", F.col("seq").cast("long").alias("seq"))
     audited = cut(own.join(wrong, ["file", "node"], "left").join(pages, ["file", "seq"]))
-    drop(rows, places, found, *levels)
+    drop(places, found, *levels)
     return audited.select("page_id", "file", "seq", "offset", "length", "sha256", F.when(F.col("bad"), "damaged").otherwise("intact").alias("fixity"))
 
 

@@ -439,8 +439,8 @@ def test_warc_files(spark, sf, tmp_path):
             assert (r["seq"], r["offset"]) == (k, at)
             at += r["length"]
     one, two = str(tmp_path / "one"), str(tmp_path / "two")
-    warc_audit.write_warc(placed, one)
-    found = warc_audit.index(spark, one, 0).collect()
+    warc_audit.write_warc(placed, one, [F.col("record"), F.col("record")], [F.col("seq")])
+    found = [r for r in warc_audit.index(spark, one).collect() if r["replica"] == 0]
     assert sorted((r["file"], r["seq"], r["offset"], r["length"], r["sha256"]) for r in found) == [(r["file"], r["seq"], r["offset"], r["length"], r["sha256"]) for r in rows]
     raw = b"".join(bytes(r["record"]) for r in rows)
     assert [b.decode() for _, b in warc_audit.parse(raw)] == [p["html"] or "" for r in rows for p in [next(p for p in pages.collect() if p["page_id"] == r["page_id"] and p["url"] == r["url"])]]
@@ -450,18 +450,28 @@ def test_warc_files(spark, sf, tmp_path):
     what = F.create_map(*[F.lit(x) for (f, q), v in change.items() for x in (f"{f}:{q}", v)])[F.concat_ws(":", "file", "seq")]
     n = F.octet_length("record")
     other = F.when(what == "lost", F.lit(None)).when(what == "longer", F.concat("record", F.encode(F.lit("and more\r\n\r\n"), "UTF-8"))).when(what == "shorter", F.concat(F.substring("record", F.lit(1), n - 100), F.encode(F.lit("\r\n\r\n"), "UTF-8"))).when(what == "flipped", F.overlay("record", F.unhex(F.lit("00")), (n - 20).cast("int"), F.lit(1))).otherwise(F.col("record"))
-    warc_audit.write_warc(placed.withColumn("record", F.coalesce(other, F.lit(None).cast("binary"))), two)
-    both = warc_audit.index(spark, one, 0).unionByName(warc_audit.index(spark, two, 1))
+    warc_audit.write_warc(placed, two, [F.col("record"), F.coalesce(other, F.lit(None).cast("binary"))], [F.col("seq")])
+    both = warc_audit.index(spark, two)
     for fan in (2, 16):
         levels = warc_audit.tree(both, fan)
         names = {(r["file"], f"{r['id']}#{r['nth']}"): (r["file"], r["seq"]) for r in found}
         got = {names[r["file"], r["node"]]: r["kind"] for r in warc_audit.audit(levels).collect()}
         assert got == {k: "lost" if v == "lost" else "damaged" for k, v in change.items()}
-    same = warc_audit.index(spark, one, 0).unionByName(warc_audit.index(spark, one, 1))
+    same = warc_audit.index(spark, one)
     assert warc_audit.audit(warc_audit.tree(same)).count() == 0
     assert warc_audit.laid_out(warc_audit.hashed(pages.limit(0))).count() == 0 and warc_audit.audit(warc_audit.tree(both.limit(0))).count() == 0
 
 
+def test_files_by_their_first_rows(spark, sf):
+    """The ranges give each row the file that the layout gives it, with rows that are the same over several files."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    same = pages.limit(1).withColumn("page_id", F.lit(None).cast("long")).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(40)))).drop("n")
+    rows = warc_audit.hashed(pages.unionByName(same)).cache()
+    places = warc_audit.laid_out(rows.drop("record", "url"), 4096).cache()
+    want = {r["row"]: r["file"] for r in places.collect()}
+    assert {r["row"]: r["file"] for r in warc_audit.in_files(rows, places).collect()} == want and len(set(want.values())) > 5
+
+
 def test_warc_query_over_no_pages(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/pages.parquet").limit(0).write.parquet(str(tmp_path / "pages.parquet"))
     assert warc_audit.query(spark, str(tmp_path)).count() == 0
