@@ -22,13 +22,18 @@ def statistics(index: DataFrame, key: str) -> DataFrame:
     return index.select(key, "dl").distinct().agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
+def corpus_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The same from the documents themselves: one pass without a shuffle of tokens."""
+    return docs.select(F.size(lexical_tokens(F.col(text))).alias("dl")).filter("dl > 0").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+
+
 def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("token").agg(F.count("*").alias("df"))
 
 
-def scores(index: DataFrame, questions: DataFrame, key: str, asked: str, k1: float = K1, b: float = B) -> DataFrame:
-    """(asked, key, score): the sum over question tokens, repeats counted, rounded so that ties are ties."""
-    stats = statistics(index, key).first()  # one row
+def scores(index: DataFrame, questions: DataFrame, key: str, asked: str, k1: float = K1, b: float = B, stats: DataFrame | None = None) -> DataFrame:
+    """(asked, key, score): the sum over question tokens, repeats counted, rounded so that ties are ties. stats: those of the corpus, if known."""
+    stats = (statistics(index, key) if stats is None else stats).first()  # one row
     n, mean = stats["n_docs"], stats["avgdl"] or 1.0
     terms = questions.select(asked, F.explode(lexical_tokens(F.col("text"))).alias("token")).groupBy(asked, "token").agg(F.count("*").alias("qf"))
     wanted = index.join(terms.select("token").distinct(), "token", "left_semi")

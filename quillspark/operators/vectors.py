@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Questions that share one pass over the vectors.
-BLOCK = 256
+#: Questions of one packed row, and bytes of questions that are sent to every task at once.
+BLOCK, SENT = 256, 32 << 20
 
 
 def finite(v: Column) -> Column:
@@ -26,15 +26,21 @@ def normalized(v: Column) -> Column:
 
 
 def nearest(vectors: DataFrame, questions: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """(query_id, vec_id, score) of each question against each vector. Questions go in packed blocks, each to every vector by an equi-join.
+    """(query_id, vec_id, score) of each question against each vector. Vectors stay where they are.
 
-    vectors: vec_id, v; questions: query_id, v. A threshold over 0 keeps scores that reach it.
+    Questions go to all tasks in packed blocks, as many at once as SENT bytes hold; more than these take more passes over the
+    vectors. vectors: vec_id, v; questions: query_id, v. A threshold over 0 keeps scores that reach it.
     """
-    blocks = max(1, -(-questions.count() // BLOCK))
+    size = questions.agg(F.count("*").alias("n"), F.sum(F.size("v")).alias("x")).first()
+    blocks, passes = max(1, -(-size["n"] // BLOCK)), max(1, -(-8 * (size["x"] or 0) // SENT))
     packed = questions.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b"), F.struct("query_id", F.col("v").alias("q")).alias("one")).groupBy("b").agg(F.collect_list("one").alias("some"))
-    rows = vectors.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).join(packed, "b")
-    found = rows.select("vec_id", F.explode(F.transform("some", lambda o: F.struct(o["query_id"].alias("query_id"), F.round(dot(o["q"], F.col("v")), 6).alias("score")))).alias("hit"))
-    out = found.select("hit.query_id", "vec_id", "hit.score")
+    out = None
+    for k in range(passes):
+        mine = [b for b in range(blocks) if b % passes == k]
+        rows = vectors.withColumn("b", F.explode(F.array(*[F.lit(b) for b in mine]).cast("array<bigint>"))).join(F.broadcast(packed.filter(F.pmod("b", F.lit(passes)) == k)), "b")
+        found = rows.select("vec_id", F.explode(F.transform("some", lambda o: F.struct(o["query_id"].alias("query_id"), F.round(dot(o["q"], F.col("v")), 6).alias("score")))).alias("hit"))
+        one = found.select("hit.query_id", "vec_id", "hit.score")
+        out = one if out is None else out.unionByName(one)
     return out.filter(F.col("score") >= threshold) if threshold > 0 else out
 
 

@@ -18,7 +18,7 @@ _V = """
 v0 AS (SELECT vec_id, label, list_transform(embedding, lambda x: CASE WHEN x IS NULL OR isnan(x) OR isinf(x) THEN 0.0::DOUBLE ELSE x::DOUBLE END) AS e FROM embeddings),
 v1 AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS nrm FROM v0),
 v AS (SELECT vec_id, label, CASE WHEN nrm > 0 THEN list_transform(e, lambda x: x / nrm) ELSE e END AS v FROM v1),
-a AS (SELECT vec_id AS query_id, v FROM v WHERE vec_id IN (SELECT min(vec_id) FROM v GROUP BY label))"""
+a AS (SELECT vec_id AS query_id, v FROM v WHERE vec_id % 100 = 0)"""
 _NEAR = "SELECT a.query_id, v.vec_id, round(list_inner_product(a.v, v.v), 6) AS score FROM a CROSS JOIN v"
 _LISTS = f"""{_BM25}, {_V},
 bl AS (SELECT * FROM (SELECT item_id AS query_id, doc_id AS chunk_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0) x WHERE rank <= 64),
@@ -61,7 +61,7 @@ _HOME = "CASE WHEN contains(path, '/src/') THEN {0}::DOUBLE ELSE 0.0::DOUBLE END
 _FS = f"{_hits('name', 0.16)} + {_hits('sig', 0.08)} + {_hits('path', 0.06)} + {_hits('doc', 0.04)}"
 _TIMES = " + ".join(f"least(0.12::DOUBLE, 0.025::DOUBLE * ((length(doc) - length(replace(doc, '{t}', ''))) / {len(t)}))" for t in _TOKENS)
 _GS = f"{_hits('path', 0.09)} + {_TIMES}"
-_EDGES = "e AS (SELECT caller, callee, l_linenumber FROM (SELECT l_suppkey AS caller, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice) AS callee, l_linenumber FROM lineitem) x WHERE callee IS NOT NULL AND caller < callee AND callee - caller < 4)"
+_EDGES = "e AS (SELECT caller, callee, l_linenumber FROM (SELECT l_suppkey AS caller, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice) AS callee, l_linenumber FROM lineitem) x WHERE callee IS NOT NULL)"
 _TOP = "SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM {0}) x WHERE rank <= 10"
 _VTOP = "SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) x WHERE rank <= 10"
 
@@ -100,11 +100,11 @@ ORACLES = {
     "vector_threshold": f"WITH {_V}, s AS ({_NEAR}) SELECT * FROM s WHERE score >= 0.2",
     "vector_filtered": f"WITH {_V}, s AS ({_NEAR} WHERE v.label IN (1, 3, 5)) {_VTOP}",
     "vector_normalize": f"WITH {_V} SELECT vec_id, round(sqrt(list_inner_product(v, v)), 6) AS norm, round(v[1], 6) AS first FROM v",
-    "rescore_by_id": f"WITH {_V}, w AS (SELECT o_custkey AS vec_id, min(o_orderkey) AS ord FROM orders GROUP BY o_custkey) SELECT a.query_id, w.ord, v.vec_id, round(list_inner_product(a.v, v.v), 6) AS score FROM w JOIN v USING (vec_id) CROSS JOIN a WHERE a.query_id = (SELECT min(query_id) FROM a)",
+    "rescore_by_id": f"WITH {_V}, w AS (SELECT o_custkey AS vec_id, min(o_orderkey) AS ord FROM orders GROUP BY o_custkey) SELECT a.query_id, w.ord, v.vec_id, round(list_inner_product(a.v, v.v), 6) AS score FROM w JOIN v USING (vec_id) CROSS JOIN a",
     "hybrid_rrf": f"WITH {_LISTS} SELECT query_id, rank, 'docs' AS source, chunk_id, rrf_score, retrieval_source, round(vector_score, 6) AS vector_score, round(bm25_score, 6) AS bm25_score FROM fr WHERE rank <= 64",
     "hybrid_degraded": f"WITH {_LISTS} SELECT query_id, 'docs' AS source, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank, 'bm25' AS retrieval_source FROM bl WHERE rank <= 16",
     "rerank_batched": f"WITH {_LISTS}, r AS (SELECT query_id, chunk_id, rank, rrf_score, CAST(floor((rank - 1) / 16) AS INTEGER) AS batch, round(rrf_score * 1000 + n_chars % 97, 9) AS rerank_score FROM fr JOIN documents ON doc_id = chunk_id WHERE rank <= 64), z AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS INTEGER) AS new_rank FROM r) SELECT query_id, new_rank, chunk_id, batch, rerank_score, rrf_score FROM z WHERE new_rank <= 5",
-    "anchor_route": f"""WITH {_V}, an AS (SELECT * FROM (SELECT label, v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM v WHERE label IN (0, 1)) x WHERE r <= 8),
+    "anchor_route": f"""WITH {_V}, an AS (SELECT label, v FROM v WHERE label IN (0, 1)),
         s AS (SELECT v.vec_id, max(CASE WHEN an.label = 0 THEN round(list_inner_product(an.v, v.v), 6) END) AS rag_score, max(CASE WHEN an.label = 1 THEN round(list_inner_product(an.v, v.v), 6) END) AS direct_score FROM v CROSS JOIN an GROUP BY v.vec_id)
         SELECT *, CASE WHEN rag_score >= 0.2 AND round(rag_score - direct_score, 6) >= 0.02 THEN 'rag' WHEN direct_score >= 0.2 AND round(rag_score - direct_score, 6) <= -0.02 THEN 'direct' ELSE 'none' END AS route FROM s""",
     "route_confusion": f"WITH {_CASES} SELECT {_RATES} FROM c",
