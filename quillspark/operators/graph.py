@@ -12,7 +12,7 @@ def tail_name(name: Column) -> Column:
 
 def suffixes(name: Column) -> Column:
     """A qualified name, its ends after each separator, and its last part."""
-    ends = lambda sep, pattern: F.transform(F.sequence(F.lit(1), F.size(F.split(name, pattern))), lambda i: F.array_join(F.slice(F.split(name, pattern), i, 1000), sep))
+    ends = lambda sep, pattern: F.transform(F.sequence(F.lit(1), F.size(F.split(name, pattern))), lambda i: F.array_join(F.slice(F.split(name, pattern), i, F.size(F.split(name, pattern))), sep))
     return F.array_sort(F.array_distinct(F.concat(F.array(name), ends("::", "::"), ends(".", r"\."), F.array(tail_name(name)))))
 
 
@@ -84,8 +84,8 @@ def resolved(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     raw = F.trim(F.regexp_replace(F.regexp_replace(F.col("callee"), "<[^<>]*>", ""), "->", "."))
     scope = lambda sep: F.when(F.contains(F.col("caller"), F.lit(sep)), F.regexp_replace(F.col("caller"), f"{'[.]' if sep == '.' else sep}(?:(?!{'[.]' if sep == '.' else sep}).)*$", ""))
-    own = F.when(raw.startswith("self."), F.concat(scope("."), F.lit("."), F.substring(raw, 6, 10000)))
-    this = F.when(raw.startswith("this."), F.concat(scope("::"), F.lit("::"), F.substring(raw, 6, 10000)))
+    own = F.when(raw.startswith("self."), F.concat(scope("."), F.lit("."), F.substring(raw, F.lit(6), F.length(raw))))
+    this = F.when(raw.startswith("this."), F.concat(scope("::"), F.lit("::"), F.substring(raw, F.lit(6), F.length(raw))))
     names = F.array_distinct(F.filter(F.array(raw, own, this, tail_name(raw)), lambda x: x.isNotNull() & (x != "")))
     asks = calls.withColumn("_call", F.monotonically_increasing_id()).select("*", F.posexplode(names).alias("_p", "_name"))
     ends = nodes.select("repo", "id", F.col("path").alias("_path"), F.explode(suffixes(F.col("qualified"))).alias("_name"))

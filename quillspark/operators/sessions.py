@@ -54,14 +54,15 @@ def archive(existing: DataFrame, batch: DataFrame, sessions: DataFrame) -> tuple
     """New archive rows, and sessions with their archived sequence. Replays change nothing.
 
     Rows (event_id, session_id, seq, ...) without ids or of unknown sessions are dropped; a row is known by its event id or by
-    its session and sequence, in the archive or earlier in the batch.
+    its session and sequence, in the archive or earlier in the batch. A session's archived sequence follows all rows of the batch that
+    the archive has afterwards, so that a full replay lifts one that lags.
     """
     good = batch.filter(F.coalesce(F.trim("event_id"), F.lit("")) != "").filter(F.col("session_id").isNotNull()).join(sessions.select("session_id"), "session_id", "left_semi")
     one = lambda df, keys: df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("seq", "event_id"))).filter("_r = 1").drop("_r")
     fresh = one(one(good, ["event_id"]), ["session_id", "seq"])
     fresh = fresh.join(existing.select("event_id"), "event_id", "left_anti").join(existing.select("session_id", "seq"), ["session_id", "seq"], "left_anti")
     fresh = fresh.select(*batch.columns)
-    last = fresh.groupBy("session_id").agg(F.max("seq").alias("_last"))
+    last = good.groupBy("session_id").agg(F.max("seq").alias("_last"))
     moved = sessions.join(last, "session_id", "left").withColumn("archive_seq", F.greatest("archive_seq", F.coalesce("_last", "archive_seq"))).drop("_last")
     return existing.unionByName(fresh), moved
 

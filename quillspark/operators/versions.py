@@ -35,9 +35,10 @@ def retained(versions: DataFrame, key: str, order: list[Column], n: int) -> Data
 
 
 def newest_tables(names: DataFrame, active: str, n: int) -> DataFrame:
-    """names with `kept`: the active one and the newest others, n in all."""
-    w = Window.partitionBy(F.col("name") == active).orderBy(F.desc("name"))
-    return names.withColumn("_r", F.row_number().over(w)).withColumn("kept", (F.col("name") == active) | (F.col("_r") <= max(1, n) - 1)).drop("_r")
+    """names with `kept`: the active one and the newest others, n in all. The newest come from a top-n, so nothing is sorted as a whole."""
+    newest = names.filter(F.col("name") != active).select("name").distinct().orderBy(F.desc("name")).limit(max(1, n) - 1).withColumn("_new", F.lit(True))
+    rows = names.join(F.broadcast(newest), "name", "left")  # n - 1 rows
+    return rows.withColumn("kept", (F.col("name") == active) | F.coalesce("_new", F.lit(False))).drop("_new")
 
 
 def fingerprint(rows: DataFrame, parts: list[str]) -> DataFrame:

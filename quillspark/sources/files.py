@@ -27,7 +27,7 @@ def code(spark: SparkSession, root: str, repository: str) -> DataFrame:
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     end = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     language = F.when(end.isin(LANGUAGES["python"]), "python").when(end.isin(LANGUAGES["cpp"]), "cpp")
-    text = F.decode("content", "UTF-8")
+    text = F.make_valid_utf8(F.col("content").cast("string"))  # bytes that are no UTF-8 become U+FFFD
     lines = F.size(F.split(text, "\n")) - F.when(text.endswith("\n"), 1).otherwise(0)
     return rows.select(F.lit(repository).alias("repository_id"), "path", language.alias("language"), text.alias("full_content"), F.sha2("content", 256).alias("content_sha256"), lines.alias("line_count")).filter("language is not null")
 
@@ -39,15 +39,16 @@ def signature(files: DataFrame) -> DataFrame:
 
 
 def write_json(spark: SparkSession, payload: dict, path: str) -> None:
-    """A small document under a new name, then renamed, so that readers see the old or the new one."""
+    """A small document under a new name, then renamed over the old one in one step, so that readers see the old or the new one."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     to, tmp = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}")
     fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
     out = fs.create(tmp)
     out.write(bytearray(json.dumps(payload, sort_keys=True, indent=2, ensure_ascii=False).encode()))
     out.close()
-    fs.delete(to, False)
-    fs.rename(tmp, to)
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(to.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(tmp), fs.makeQualified(to), over)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import misc
-from quillspark.operators import accounts
+from quillspark.operators import accounts, sessions
 from quillspark.settings import Settings, from_environment
+from quillspark.sources import files
 from quillspark.sources.snapshots import Snapshots
 
 
@@ -79,3 +80,17 @@ def test_the_rest_stands_without_the_training_operators(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; assert len(e.queries()) > 60 and not any(n.startswith('op') for n in e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_code_files_with_other_bytes(spark, tmp_path):
+    (tmp_path / "a.py").write_bytes(b"x = 'caf\xe9'\ny = 1\n")
+    (tmp_path / "b.cc").write_text("int é;")
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in files.code(spark, str(tmp_path), "r").collect()}
+    assert rows["a.py"]["full_content"] == "x = 'caf�'\ny = 1\n" and rows["a.py"]["line_count"] == 2 and rows["b.cc"]["full_content"] == "int é;"
+
+
+def test_a_replay_lifts_a_lagging_sequence(spark):
+    rows = spark.createDataFrame([("a-1", 7, 1, "user"), ("a-2", 7, 2, "assistant")], "event_id string, session_id long, seq long, role string")
+    known = spark.createDataFrame([(7, 0), (8, 4)], "session_id long, archive_seq long")
+    archived, moved = sessions.archive(rows, rows, known)
+    assert archived.count() == 2 and {r["session_id"]: r["archive_seq"] for r in moved.collect()} == {7: 2, 8: 4}
