@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries
-from .oracles import ORACLES
+from . import more, queries
+from .oracles import ORACLES as _ORACLES
 
 _NAMES = """
 bm25_topk bm25_filtered bm25_stats bm25_df vector_topk vector_threshold vector_filtered vector_normalize rescore_by_id hybrid_rrf hybrid_degraded rerank_batched anchor_route keyword_route
@@ -14,6 +14,7 @@ sentence_split clause_split chunk_docs chunk_overlap code_text_score file_text_s
 auth_sessions expired_sessions demotable repository_counts hydrate metadata_filtered archive_consistency throughput request_batches graph_elements usernames context_lines version_names health_status config_changes event_windows exchange_append session_titles requested_missing
 """.split()
 
-QUERIES = {n: getattr(queries, n) for n in _NAMES}
+QUERIES = {n: getattr(queries, n) for n in _NAMES} | more.QUERIES
+ORACLES = _ORACLES | more.SQL
 
 __all__ = ["ORACLES", "QUERIES"]
