@@ -186,3 +186,29 @@ def test_code_index_is_replaced_by_file(spark):
     a, b, c = dml.replace_files(files_, functions, edges, *new)
     assert sorted(r["file_id"] for r in a.collect()) == ["f2", "f9"] and sorted(r["id"] for r in b.collect()) == ["y", "z"]
     assert sorted(r["function_id"] for r in c.collect()) == ["y", "z"]
+
+
+def test_markdown_blocks():
+    """Top-level blocks alone: lists, quotes, HTML and indented code whole, headings in them without effect."""
+    text = "# A\n\n- one\n  # no heading\n\n  more\n- two\n\n> quote\n> # neither\n\n<div>\nx\n</div>\n\n    code\n\n    code\n\n***\n\n1. n\n2. m\n\nlast\n- at once\n"
+    got = [(p.text.split("\n")[0], p.headings, p.first, p.last) for p in chunking.blocks(text)]
+    h = ((1, "A"),)
+    assert got == [("- one", h, 3, 7), ("> quote", h, 9, 10), ("<div>", h, 12, 14), ("code", h, 16, 18), ("***", h, 20, 20), ("1. n", h, 22, 23), ("last", h, 25, 25), ("- at once", h, 26, 26)]
+    table = list(chunking.blocks("a | b\n:-- | --:\n1 | 2\n\nx | y"))
+    assert [(p.kind, p.text) for p in table] == [("table", "a | b\n:-- | --:\n1 | 2"), ("text", "x | y")]
+    assert not chunking.divides("---") and chunking.divides("|:-:|-|") and not chunking.divides("a | -")
+
+
+def test_front_matter():
+    lines, meta, taken = chunking.front_matter("---\ntitle: \"T: x\"\ntags:\n  - a\n  - b\n---\nbody")
+    assert (lines, meta["title"], taken) == (["body"], "T: x", 6)
+    for text in ("---\n- a\n- b\n---\nbody", "---\nno end", "---\nplain words\n---\nbody"):
+        assert chunking.front_matter(text) == (text.splitlines(), {}, 0)
+
+
+def test_wrapped_parts_fit_and_hold_every_line():
+    fence = "```py\n" + "\n".join(f"line {i} " + "x" * (i * 7 % 40) for i in range(60)) + "\n" + "y" * 300 + "\n```"
+    got = make(90, 100).chunks(fence)
+    assert all(c["content_type"] == "code" and c["tokens"] <= 100 and c["text"].startswith("```py\n") and c["text"].endswith("\n```") for c in got)
+    inner = [x for c in got for x in c["text"].split("\n")[1:-1]]
+    assert [x for x in inner if x.startswith("line")] == [f"line {i} " + "x" * (i * 7 % 40) for i in range(60)] and sum(len(x) for x in inner if x.startswith("y")) == 300
