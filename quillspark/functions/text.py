@@ -32,7 +32,9 @@ def lexical_tokens(text: Column) -> Column:
         two = F.filter(F.transform(one, lambda c, i: F.concat(c, F.coalesce(F.get(one, i + 1), F.lit("")))), lambda p: F.length(p) == 2)
         return F.concat(one, two)
 
-    return F.concat(every(F.lower(text), TOKEN), F.flatten(F.transform(every(text, f"{CJK}+"), of)))
+    # A CJK character takes three bytes, so a text needs two more bytes than characters to hold one.
+    more = F.when(F.octet_length(text) - F.length(text) >= 2, F.flatten(F.transform(every(text, f"{CJK}+"), of))).otherwise(F.array().cast("array<string>"))
+    return F.concat(every(F.lower(text), TOKEN), more)
 
 
 def token_estimate(text: Column) -> Column:

@@ -10,10 +10,21 @@ from ..functions.text import lexical_tokens
 K1, B = 1.5, 0.75
 
 
-def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, token, tf, dl); documents without tokens are left out."""
+#: Distinct tokens of questions up to which they are broadcast.
+FEW = 200_000
+
+
+def asked_tokens(questions: DataFrame, asked: str) -> DataFrame:
+    """(asked, token, qf) of each question."""
+    return questions.select(asked, F.explode(lexical_tokens(F.col("text"))).alias("token")).groupBy(asked, "token").agg(F.count("*").alias("qf"))
+
+
+def postings(docs: DataFrame, key: str, text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """(key, token, tf, dl); documents without tokens are left out. only: the tokens that are wanted, before anything is shuffled."""
     tokens = docs.select(key, lexical_tokens(F.col(text)).alias("tokens"))
     flat = tokens.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
+    if only is not None:
+        flat = flat.join(F.broadcast(only) if only.count() <= FEW else only, "token", "left_semi")
     return flat.groupBy(key, "dl", "token").agg(F.count("*").alias("tf"))
 
 
@@ -35,7 +46,7 @@ def scores(index: DataFrame, questions: DataFrame, key: str, asked: str, k1: flo
     """(asked, key, score): the sum over question tokens, repeats counted, rounded so that ties are ties. stats: those of the corpus, if known."""
     stats = (statistics(index, key) if stats is None else stats).first()  # one row
     n, mean = stats["n_docs"], stats["avgdl"] or 1.0
-    terms = questions.select(asked, F.explode(lexical_tokens(F.col("text"))).alias("token")).groupBy(asked, "token").agg(F.count("*").alias("qf"))
+    terms = asked_tokens(questions, asked)
     wanted = index.join(terms.select("token").distinct(), "token", "left_semi")
     df = document_frequency(wanted)
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))

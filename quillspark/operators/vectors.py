@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Questions of one packed row, and bytes of questions that are sent to every task at once.
-BLOCK, SENT = 256, 32 << 20
+#: Bytes of questions that are sent to every task at once.
+SENT = 32 << 20
 
 
 def finite(v: Column) -> Column:
@@ -20,28 +24,59 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _once(value: Column, of) -> Column:
+    """of(value), where value is computed once however often `of` names it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def normalized(v: Column) -> Column:
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+    return _once(v, lambda w: _once(F.sqrt(dot(w, w)), lambda n: F.when(n > 0, F.transform(w, lambda x: x / n)).otherwise(w)))
+
+
+def _matrix(lists: pa.ListArray, dims: int) -> np.ndarray:
+    """Vectors as rows; shorter ones count as padded with zeros, longer ones up to dims."""
+    bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("float64", copy=False)
+    sizes = np.minimum(np.diff(bounds), dims)
+    out = np.zeros((len(lists), dims))
+    row = np.repeat(np.arange(len(lists)), sizes)
+    column = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[row, column] = flat[bounds[:-1][row] + column]
+    return out
 
 
-def nearest(vectors: DataFrame, questions: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """(query_id, vec_id, score) of each question against each vector. Vectors stay where they are.
+def nearest(vectors: DataFrame, questions: DataFrame, threshold: float = 0.0, k: int | None = None) -> DataFrame:
+    """(query_id, vec_id, score) of each question against each vector; null vectors take no part. Vectors stay where they are.
 
-    Questions go to all tasks in packed blocks, as many at once as SENT bytes hold; more than these take more passes over the
-    vectors. vectors: vec_id, v; questions: query_id, v. A threshold over 0 keeps scores that reach it.
+    Questions go to all tasks as a matrix, as many at once as SENT bytes hold; more than these take more passes over the
+    vectors. vectors: vec_id, v; questions: query_id, v. A threshold over 0 keeps scores that reach it. With k, no more than the k
+    best of each batch of vectors (ties by vec_id) leave a task, so that few rows are ranked.
     """
-    size = questions.agg(F.count("*").alias("n"), F.sum(F.size("v")).alias("x")).first()
-    blocks, passes = max(1, -(-size["n"] // BLOCK)), max(1, -(-8 * (size["x"] or 0) // SENT))
-    packed = questions.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b"), F.struct("query_id", F.col("v").alias("q")).alias("one")).groupBy("b").agg(F.collect_list("one").alias("some"))
-    out = None
-    for k in range(passes):
-        mine = [b for b in range(blocks) if b % passes == k]
-        rows = vectors.withColumn("b", F.explode(F.array(*[F.lit(b) for b in mine]).cast("array<bigint>"))).join(F.broadcast(packed.filter(F.pmod("b", F.lit(passes)) == k)), "b")
-        found = rows.select("vec_id", F.explode(F.transform("some", lambda o: F.struct(o["query_id"].alias("query_id"), F.round(dot(o["q"], F.col("v")), 6).alias("score")))).alias("hit"))
-        one = found.select("hit.query_id", "vec_id", "hit.score")
+    asked = questions.select("query_id", F.col("v").cast("array<double>").alias("v"))
+    size = asked.agg(F.max(F.size("v")).alias("dims"), F.sum(F.size("v")).alias("x")).first()
+    dims, passes = size["dims"] or 1, max(1, -(-8 * (size["x"] or 0) // SENT))
+    kinds = dict(vectors.dtypes) | dict(questions.dtypes)
+    rows, out = vectors.select("vec_id", F.col("v").cast("array<double>").alias("v")), None
+    for number in range(passes):
+        some = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == number).toArrow().drop_null().combine_chunks()
+        ids = some.column("query_id").combine_chunks()
+        matrix = _matrix(some.column("v").combine_chunks(), dims) if len(ids) else np.zeros((0, dims))
+
+        def run(batches: Iterator[pa.RecordBatch], ids: pa.Array = ids, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 4096):
+                    b = whole.slice(at, 4096).drop_null()
+                    own = _matrix(b.column("v"), dims)
+                    for first in range(0, len(ids), 256):
+                        scores = np.round(matrix[first : first + 256] @ own.T, 6) + 0.0
+                        keep = scores >= threshold if threshold > 0 else np.ones(scores.shape, bool)
+                        if k is not None and k < scores.shape[1]:
+                            keep &= scores >= -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]  # ties of the k-th stay; the ranking settles them
+                        asked_by, found = np.nonzero(keep)
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(asked_by + first)), b.column("vec_id").take(pa.array(found)), pa.array(scores[asked_by, found])], names=["query_id", "vec_id", "score"])
+
+        one = rows.mapInArrow(run, f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, score double")
         out = one if out is None else out.unionByName(one)
-    return out.filter(F.col("score") >= threshold) if threshold > 0 else out
+    return out
 
 
 def rescored(pairs: DataFrame, vectors: DataFrame, question: DataFrame) -> DataFrame:

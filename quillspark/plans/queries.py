@@ -16,7 +16,9 @@ ASKED = 10
 
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return lexical.scores(lexical.postings(docs, "doc_id"), table(spark, d, "benchmark").select("item_id", "text"), "doc_id", "item_id", stats=lexical.corpus_statistics(docs))
+    asked = table(spark, d, "benchmark").select("item_id", "text")
+    index = lexical.postings(docs, "doc_id", only=lexical.asked_tokens(asked, "item_id").select("token").distinct())
+    return lexical.scores(index, asked, "doc_id", "item_id", stats=lexical.corpus_statistics(docs))
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +50,7 @@ def _asked(rows: DataFrame) -> DataFrame:
 
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     rows = _vectors(spark, d)
-    return lexical.top(vectors.nearest(rows.select("vec_id", "v"), _asked(rows)), "query_id", "score", "vec_id", ASKED)
+    return lexical.top(vectors.nearest(rows.select("vec_id", "v"), _asked(rows), k=ASKED), "query_id", "score", "vec_id", ASKED)
 
 
 def vector_threshold(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +60,7 @@ def vector_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 def vector_filtered(spark: SparkSession, d: str) -> DataFrame:
     rows = _vectors(spark, d)
-    return lexical.top(vectors.nearest(rows.filter(F.col("label").isin(1, 3, 5)).select("vec_id", "v"), _asked(rows)), "query_id", "score", "vec_id", ASKED)
+    return lexical.top(vectors.nearest(rows.filter(F.col("label").isin(1, 3, 5)).select("vec_id", "v"), _asked(rows), k=ASKED), "query_id", "score", "vec_id", ASKED)
 
 
 def vector_normalize(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +80,7 @@ def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     b = b.select(F.col("item_id").alias("query_id"), F.lit("docs").alias("source"), F.col("doc_id").alias("chunk_id"), "score", "rank")
     rows = _vectors(spark, d)
     asks = rows.join(table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "v")
-    v = lexical.top(vectors.nearest(rows.select("vec_id", "v"), asks), "query_id", "score", "vec_id", 64)
+    v = lexical.top(vectors.nearest(rows.select("vec_id", "v"), asks, k=64), "query_id", "score", "vec_id", 64)
     return v.select("query_id", F.lit("docs").alias("source"), F.col("vec_id").alias("chunk_id"), "score", "rank"), b
 
 
