@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import code, lifecycle, search
+from ..operators import code, lexical, lifecycle, search
+from ..operators.stored import StoredIndex
 from ..sources.files import table
+from ..sources.snapshots import Snapshots
 from . import queries as Q
 from .oracles import _CODE, _FS, _HOME, _LISTS, _PEN, _V, ORACLES, _hits
 
@@ -23,6 +29,31 @@ def _query(sql: str):
     return add
 
 
+# ---- stored index
+
+
+@_query(ORACLES["bm25_topk"])
+def bm25_stored(spark: SparkSession, d: str) -> DataFrame:
+    """As bm25_topk, by an index that is written first; where its manifest's corpus cannot be read, from the documents. The second call to ensure builds nothing."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="quillspark-")
+    index = StoredIndex(Snapshots(spark, f"{root.rstrip('/')}/bm25-{uuid.uuid4().hex}"), "doc_id")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+
+    def signature() -> str:
+        rows = docs.select(F.xxhash64("doc_id", "text").cast("decimal(38,0)").alias("h")).agg(F.count("*").alias("n"), F.sum("h").alias("s")).first()
+        return f"{rows['n']}:{rows['s']}"
+
+    corpora = [lambda: table(spark, d, "manifest_documents"), lambda: docs]
+    if index.ensure(corpora, signature) != index.ensure(corpora, signature):
+        raise RuntimeError("an index was built twice")
+    found = index.scores(table(spark, d, "benchmark").select("item_id", "text"), "item_id")
+    return lexical.top(found, "item_id", "score", "doc_id", Q.ASKED).select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
 # ---- code search
 
 _LEXICAL = f"lx AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY round(0.75 + s, 6) DESC, id) AS r FROM (SELECT id, round(greatest(0.0, CASE WHEN s > 0 THEN s + {_HOME.format(0.04)} ELSE 0.0 END - {_PEN}), 6) AS s FROM (SELECT *, {_FS} AS s FROM p) x) y WHERE s > 0) z WHERE r <= 30)"

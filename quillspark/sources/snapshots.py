@@ -18,11 +18,12 @@ class Snapshots:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def build(self, version: str, tables: dict[str, DataFrame], config: dict) -> None:
-        """Writes a version; until it is switched to, nobody reads it. A half-written one of that name is replaced."""
+    def build(self, version: str, tables: dict[str, DataFrame], config: dict, by: dict[str, str] | None = None) -> None:
+        """Writes a version; until it is switched to, nobody reads it. A half-written one of that name is replaced. by: columns that part tables into folders."""
         self._fs.delete(self._path(f"{self.root}/{version}"), True)
         for name, df in tables.items():
-            df.write.parquet(f"{self.root}/{version}/{name}")
+            folders = [(by or {})[name]] if name in (by or {}) else []
+            df.write.partitionBy(*folders).parquet(f"{self.root}/{version}/{name}")
         write_json(self.spark, {"version": version, "tables": sorted(tables), "config": config}, f"{self.root}/{version}/manifest.json")
 
     def _read(self, path: str) -> dict | None:
@@ -46,6 +47,32 @@ class Snapshots:
         if now != version:
             write_json(self.spark, {"version": version, "previous": now}, f"{self.root}/active.json")
 
+    def candidate(self) -> str | None:
+        return (self._read(f"{self.root}/candidate.json") or {}).get("version")
+
+    def prepare(self, version: str) -> None:
+        """Announces a version that will be built; there is one at a time."""
+        now = self.candidate()
+        if now not in (None, version):
+            raise RuntimeError(f"{now} is being prepared")
+        self._fs.mkdirs(self._path(self.root))
+        write_json(self.spark, {"version": version}, f"{self.root}/candidate.json")
+
+    def activate(self, version: str, expected: str | None = None) -> None:
+        """Switches to the prepared version; does nothing where it is active already, fails for any other."""
+        if self.active() == version:
+            return
+        if self.candidate() != version:
+            raise RuntimeError(f"{version} is not prepared")
+        self.switch(version, expected)
+        self._fs.delete(self._path(f"{self.root}/candidate.json"), False)
+
+    def discard(self, version: str) -> None:
+        """Deletes the prepared version, whole or not; nothing happens for one that is not prepared."""
+        if self.candidate() == version and self.active() != version:
+            self._fs.delete(self._path(f"{self.root}/{version}"), True)
+            self._fs.delete(self._path(f"{self.root}/candidate.json"), False)
+
     def rollback(self) -> str:
         before = self.previous()
         if before is None:

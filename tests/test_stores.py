@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import misc
-from quillspark.operators import accounts, sessions
+from quillspark.operators import accounts, lexical, sessions
+from quillspark.operators.stored import StoredIndex
 from quillspark.settings import Settings, from_environment
 from quillspark.sources import files
 from quillspark.sources.snapshots import Snapshots
@@ -27,6 +28,36 @@ def test_snapshots(spark, tmp_path):
     assert s.prune(2) == ["v1"] and s.versions() == ["v3", "v2"] and s.prune(1) == ["v3"]
 
 
+def test_stored_index(spark, tmp_path):
+    def broken():
+        raise OSError("no manifest")
+
+    store = Snapshots(spark, str(tmp_path / "bm25"))
+    index = StoredIndex(store, "doc_id", buckets=4)
+    docs = spark.createDataFrame([(1, "red red fox"), (2, "blue fox"), (3, None), (4, "")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "red Fox fox")], "q long, text string")
+    first = index.ensure([broken, lambda: docs], lambda: "a")
+    assert index.ensure([broken], lambda: "a") == first and store.candidate() is None
+    want = lexical.scores(lexical.postings(docs, "doc_id"), asked, "doc_id", "q")
+    assert sorted(map(tuple, index.scores(asked, "q").collect())) == sorted(map(tuple, want.collect()))
+    states = iter("bc")
+    with pytest.raises(RuntimeError, match="changed"):
+        index.rebuild([lambda: docs], lambda: next(states))
+    with pytest.raises(RuntimeError, match="is active"):
+        index.rebuild([lambda: docs], lambda: "b", expected="other")
+    with pytest.raises(OSError):
+        index.ensure([broken], lambda: "b")
+    assert store.active() == first and store.versions() == [first] and store.candidate() is None
+    store.prepare("next")
+    with pytest.raises(RuntimeError, match="being prepared"):
+        index.ensure([lambda: docs], lambda: "b")
+    store.activate(first)
+    with pytest.raises(RuntimeError, match="not prepared"):
+        store.activate("other")
+    store.discard("next")
+    assert index.ensure([lambda: docs], lambda: "b") != first and store.previous() == first
+
+
 def test_request_batches(spark):
     rows = [("a", 0.0), ("a", 0.001), ("a", 0.002), ("a", 0.003), ("a", 0.004), ("a", 0.005), ("b", 0.0), ("a", 1.0)]
     got = accounts.request_batches(spark.createDataFrame(rows, "task string, at double"), ["task"], 4, 0.02)
