@@ -9,12 +9,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import code, lexical, lifecycle, search
+from ..functions import text as T
+from ..operators import code, lexical, lifecycle, models, search
 from ..operators.stored import StoredIndex
 from ..sources.files import table
 from ..sources.snapshots import Snapshots
 from . import queries as Q
-from .oracles import _CODE, _FS, _HOME, _LISTS, _PEN, _V, ORACLES, _hits
+from .oracles import _CODE, _FS, _HOME, _LISTS, _PEN, _STRIP, _V, ORACLES, _hits
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -337,3 +338,38 @@ def archived_messages(spark: SparkSession, d: str) -> DataFrame:
     contexts = F.when(F.col("turn") % 3 == 0, F.lit('[{"source": "a", "text": "x", "score": 0.5}, {"source": "b"}]'))
     payload = F.to_json(F.struct(F.col("turn").alias("id"), F.when(F.col("role") == "user", F.col("turn") + 500).alias("session_seq"), "role", F.col("text").alias("content"), contexts.alias("contexts"), F.when(F.col("turn") % 2 == 1, F.lit(True)).alias("used_rag")))
     return m.select("conv_id", "turn", lifecycle.archived_message(payload).alias("m")).select("conv_id", "turn", "m.id", "m.role", F.sha2("m.content", 256).alias("content"), "m.used_rag", "m.n_contexts")
+
+
+# ---- models
+
+
+def _middle(text: str, limit: int) -> str:
+    """SQL of trim_text's cut in the middle."""
+    head = (limit - len(T.MARKER)) // 2
+    tail, marker = limit - len(T.MARKER) - head, "'" + T.MARKER.replace("'", "''") + "'"
+    t = _STRIP.format(f"coalesce({text}, '')")
+    return f"""CASE WHEN length({t}) <= {limit} THEN {t} ELSE {_STRIP.format(f"regexp_replace(left({t}, {head}), '\\s+$', '') || {marker} || regexp_replace(right({t}, {tail}), '^\\s+', '')")} END"""
+
+
+@_query(f"""WITH c AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 0 THEN NULL ELSE 'kept from before' END AS old, CASE WHEN turn % 5 = 0 THEN '' ELSE text END AS history, CASE WHEN turn % 2 = 0 THEN NULL ELSE 'merged: ' || text END AS reply FROM conversations),
+    p AS (SELECT *, concat_ws(chr(10), nullif({_middle('old', 90)}, ''), nullif({_middle('history', 70)}, '')) AS both_ FROM c)
+    SELECT conv_id, turn, CASE WHEN coalesce(history, '') = '' THEN {_middle('old', 90)} WHEN reply IS NULL THEN {_middle('both_', 90)} ELSE {_middle('reply', 90)} END AS summary FROM p""")
+def remembered_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Replies are made from the turn; each second call has failed, and each fifth turn has nothing to merge."""
+    turn, text = F.col("turn"), F.col("text")
+    old = F.when(turn % 3 != 0, "kept from before")
+    reply = F.when(turn % 2 != 0, F.concat(F.lit("merged: "), text))
+    return table(spark, d, "conversations").select("conv_id", "turn", models.remembered(old, F.when(turn % 5 == 0, "").otherwise(text), reply, 90, 70).alias("summary"))
+
+
+def _letters():
+    """A stand-in for a model: length, number of e, one."""
+    return lambda texts, task, prompt_name: [[len(t), t.count("e"), 1] for t in texts]
+
+
+@_query("""WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS a, length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'e', '')) AS b FROM documents)
+    SELECT doc_id, round(a / sqrt(CAST(a AS DOUBLE) * a + b * b + 1), 6) AS x, round(b / sqrt(CAST(a AS DOUBLE) * a + b * b + 1), 6) AS y FROM n""")
+def embedded_texts(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    v = F.col("embedding")
+    return models.encoded(docs, "text", _letters, task="retrieval.passage").select("doc_id", F.round(v[0], 6).alias("x"), F.round(v[1], 6).alias("y"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.sessions import archive
 
 EVENT = "event_id string, session_id long, seq long, role string, content string"
+#: Folders of the archive; fixed once it has rows.
+BUCKETS = 256
+#: Files that one batch may add to a folder, so that a hot session is not one task.
+SPLIT = 4
 
 
 def split_malformed(events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -18,25 +22,34 @@ def split_malformed(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter(good).select("e.*"), rows.filter(~F.coalesce(good, F.lit(False))).select("value")
 
 
+def bucket(session: Column) -> Column:
+    """The folder of the archive that holds a session."""
+    return F.pmod(F.xxhash64(session), F.lit(BUCKETS)).cast("int")
+
+
 def archive_stream(events: DataFrame, sessions: DataFrame, out: str, dead: str, checkpoint: str) -> StreamingQuery:
     """Writes each event once. A batch that is replayed after a failure finds its rows in the archive and adds none.
 
-    Every batch is one append after an anti-join with what its sessions have, so that commit and acknowledgement cannot part.
+    Every batch is one append after an anti-join with what its sessions have, so that commit and acknowledgement cannot part. The
+    archive is parted by a hash of the session, and a batch reads only the folders of its own sessions; an event id belongs to one session.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(out)
+        batch.persist()
         good, bad = split_malformed(batch)
-        try:
-            known = spark.read.parquet(out)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            own = [r["b"] for r in good.select(bucket(F.col("session_id")).alias("b")).distinct().collect()]  # BUCKETS at most
+            known = spark.read.schema(f"{EVENT}, bucket int").parquet(out).filter(F.col("bucket").isin(own)).drop("bucket")
+        else:
             known = spark.createDataFrame([], EVENT)
         full, _ = archive(known.limit(0), good, sessions.withColumn("archive_seq", F.lit(0).cast("long")))
         fresh = full.join(known.select("event_id"), "event_id", "left_anti").join(known.select("session_id", "seq"), ["session_id", "seq"], "left_anti")
-        fresh.select(*known.columns).write.mode("append").parquet(out)
+        rows = fresh.select(*known.columns, bucket(F.col("session_id")).alias("bucket"))
+        rows.repartition("bucket", F.pmod(F.xxhash64("event_id"), F.lit(SPLIT))).write.partitionBy("bucket").mode("append").parquet(out)
         bad.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{dead}/batch={number}")
+        batch.unpersist()
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
