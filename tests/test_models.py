@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import models
+from quillspark.operators import evaluation, models
 from quillspark.streaming import archive, exchanges
 
 
@@ -73,3 +73,22 @@ def test_batches_read_their_own_folders(spark, tmp_path):
         archive.archive_stream(spark.readStream.text(str(src)), sessions, out, str(tmp_path / "dead"), str(tmp_path / name)).awaitTermination()
     rows = spark.read.parquet(out)
     assert rows.count() == 50 and rows.filter(F.col("bucket") != archive.bucket(F.col("session_id"))).count() == 0
+
+
+def test_exact_points_of_hot_keys(spark):
+    import numpy as np
+    import pandas as pd
+
+    r = np.random.default_rng(3)
+    parts = {"hot": np.r_[r.lognormal(size=5000), np.full(700, 2.5)], "ties": np.full(40, 7.0), "one": np.array([-1.0]), "two": np.array([4.0, -9.0]), None: r.integers(-5, 5, 99) * 1.0}
+    data = [(k, float(v)) for k, vs in parts.items() for v in vs] + [("none", None), ("hot", None)]
+    rows = spark.createDataFrame(data, "k string, v double")
+    got = {x["k"]: x for x in evaluation.latencies(rows, "k", "v").collect()}
+    assert len(got) == 6 and got["none"]["n"] == 0 and got["none"]["p50"] is None
+    for k, vs in parts.items():
+        assert got[k]["n"] == len(vs)
+        assert [got[k][c] for c in ("p50", "p95", "p99")] == pytest.approx(np.percentile(vs, [50, 95, 99]).tolist(), abs=2e-6)
+    at = {x["k"]: x for x in evaluation.index_percentile(rows, "k", "v", 0.95).collect()}
+    for k, vs in parts.items():
+        assert at[k]["p"] == np.sort(vs)[min(int(len(vs) * 0.95), len(vs) - 1)] and at[k]["median"] == pytest.approx(float(pd.Series(vs).median()), abs=2e-6)
+    assert evaluation.latencies(rows.limit(0), "k", "v").count() == evaluation.index_percentile(rows.limit(0), "k", "v", 0.5).count() == 0
