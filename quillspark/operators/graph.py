@@ -29,12 +29,17 @@ def callers(edges: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def chain(edges: DataFrame, roots: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes with their depth, edges) reachable within depth calls; cycles end at nodes already seen."""
+    """(nodes with their depth, edges) reachable within depth calls; a node's depth is that of its shortest way, so cycles add nothing.
+
+    Each step reads the nodes of the step before it alone, so that the plan does not double from step to step; a step has at most all nodes.
+    """
     edges = edges.select("caller", "callee").distinct()
-    seen = roots.select("id", F.lit(0).alias("depth")).distinct()
+    step = roots.select("id").distinct()
+    reached = step.withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
-        edge = seen.filter(F.col("depth") == d - 1).join(edges, F.col("id") == F.col("caller")).select(F.col("callee").alias("id")).distinct()
-        seen = seen.unionByName(edge.join(seen, "id", "left_anti").select("id", F.lit(d).alias("depth")))
+        step = edges.join(step, F.col("caller") == F.col("id"), "left_semi").select(F.col("callee").alias("id")).distinct()
+        reached = reached.unionByName(step.withColumn("depth", F.lit(d)))
+    seen = reached.groupBy("id").agg(F.min("depth").alias("depth"))
     walked = edges.join(seen.filter(F.col("depth") < depth).select(F.col("id").alias("caller")), "caller", "left_semi")
     return seen, walked
 
