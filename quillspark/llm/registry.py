@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hilbert, mixing, nbest_pieces, rule_ensemble, runs, shingle_join, suffix_dedup, token_files, topk, warc_audit, weak_rules
+from . import hilbert, mixing, nbest_pieces, packing, prefix_trie, rule_ensemble, runs, shingle_join, suffix_dedup, token_files, topk, warc_audit, weak_rules
 
 QUERIES = {
     "op1_hilbert_shards": hilbert.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_token_parquet": token_files.query,
     "op10_norm_topk": topk.query,
     "op11_periodic_runs": runs.query,
+    "op12_binary_packing": packing.query,
+    "op13_prefix_trie": prefix_trie.query,
 }
 
 ORACLES = {
