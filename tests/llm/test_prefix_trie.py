@@ -66,7 +66,7 @@ def test_trie(spark, bits, monkeypatch):
     monkeypatch.setattr(prefix_trie, "SLICE", 2)
     rounds = []
     monkeypatch.setattr(prefix_trie, "scanned", lambda *a, f=prefix_trie.scanned: rounds.append(a) or f(*a))
-    convs = made(bits)
+    convs = made(bits, 150 if bits == 64 else 400)
     found = prefix_trie.trie(*frames(spark, convs), bits=bits)
     rows = found.nodes.join(prefix_trie.ends_digests(found.ends), ["depth", "fingerprint"], "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)))
     assert got(rows) == sorted(brute(convs), key=str)
@@ -85,7 +85,7 @@ def test_awkward_rows(spark, tmp_path):
     r = random.Random(9)
     rows = [(c, t, r.choice(["user", None]), r.choice([None, "", "x", "y z"])) for c in range(95, 320, 3) for t in range(r.randrange(1, 9))]
     rows += [(c, None, "user", "late") for c in range(200, 204)] + [(201, 3, "user", "x")] * 5 + [(None, 1, "user", "lost")] * 4
-    rows += [(700 + c % 7, t, "system", "same") for c in range(7) for t in range(4)] + [(900, t, "user", "w " * (t % 3)) for t in range(3000)]
+    rows += [(700 + c % 7, t, "system", "same") for c in range(7) for t in range(4)] + [(900, t, "user", "w " * (t % 3)) for t in range(130)]
     rows += [(905, 0, "user", "short"), (902, 0, "a", "long " * 300_000)]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("depth", F.lit(1)).withColumn("_n", F.lit("x")).withColumn("place", F.create_map(F.lit(1), F.lit(2)))
     df.repartition(5).write.parquet(str(tmp_path / "conversations.parquet"))
