@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,17 +39,23 @@ def signature(files: DataFrame) -> DataFrame:
     return files.select(F.sha2(one, 256).alias("d")).groupBy(F.substring("d", 1, 3).alias("p")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("d")), "|"), 256).alias("d")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), "|"), 256).alias("signature"))
 
 
-def write_json(spark: SparkSession, payload: dict, path: str) -> None:
-    """A small document under a new name, then renamed over the old one in one step, so that readers see the old or the new one."""
+def write_json(spark: SparkSession, payload: dict, path: str, replace: bool = True) -> None:
+    """A small document under a new name, then renamed in one step, so that readers see none of it or all. Without replace, FileExistsError where the path is taken."""
     hadoop = spark._jvm.org.apache.hadoop.fs
-    to, tmp = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}")
+    to, tmp = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}.tmp")
     fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
     out = fs.create(tmp)
     out.write(bytearray(json.dumps(payload, sort_keys=True, indent=2, ensure_ascii=False).encode()))
     out.close()
-    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
-    over[0] = hadoop.Options.Rename.OVERWRITE
-    hadoop.FileContext.getFileContext(to.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(tmp), fs.makeQualified(to), over)
+    how = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    how[0] = hadoop.Options.Rename.OVERWRITE if replace else hadoop.Options.Rename.NONE
+    try:
+        hadoop.FileContext.getFileContext(to.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(tmp), fs.makeQualified(to), how)
+    except Py4JJavaError as e:
+        fs.delete(tmp, False)
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            raise FileExistsError(path) from e
+        raise
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

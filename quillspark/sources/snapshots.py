@@ -1,6 +1,7 @@
 """Versioned tables behind a pointer: build, switch, roll back, prune.
 
-Readers resolve the pointer once for each query and then see one version of postings and vectors together; a switch is one rename.
+Readers resolve the pointer once for each query and then see one version of postings and vectors together; a switch adds a pointer with the next
+number, which only one writer can.
 """
 
 from __future__ import annotations
@@ -31,32 +32,54 @@ class Snapshots:
             return None
         return json.loads("\n".join(r[0] for r in self.spark.read.text(path, wholetext=True).collect()))
 
+    def _names(self, path: str) -> list[str]:
+        where = self._path(path)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(where)) if self._fs.exists(where) else []
+
+    def _pointer(self) -> tuple[int, dict]:
+        """Number and content of the newest pointer. Pointers are numbered files; one that is there never changes."""
+        names = [n for n in self._names(f"{self.root}/pointers") if n.endswith(".json")]
+        return (int(names[-1].split(".")[0]), self._read(f"{self.root}/pointers/{names[-1]}") or {}) if names else (0, {})
+
     def active(self) -> str | None:
-        return (self._read(f"{self.root}/active.json") or {}).get("version")
+        return self._pointer()[1].get("version")
 
     def previous(self) -> str | None:
-        return (self._read(f"{self.root}/active.json") or {}).get("previous")
+        return self._pointer()[1].get("previous")
 
     def switch(self, version: str, expected: str | None = None) -> None:
-        """Makes a whole version the active one; fails if another than the expected one is active now."""
-        now = self.active()
+        """Makes a whole version the active one; fails if another than the expected one is active now, or if another writer switches meanwhile."""
+        number, pointer = self._pointer()
+        now = pointer.get("version")
         if expected is not None and now != expected:
             raise RuntimeError(f"{now} is active, not {expected}")
-        if self._read(f"{self.root}/{version}/manifest.json") is None:
+        if self.manifest(version) is None:
             raise ValueError(f"{version} is not whole")
-        if now != version:
-            write_json(self.spark, {"version": version, "previous": now}, f"{self.root}/active.json")
+        if now == version:
+            return
+        self._fs.mkdirs(self._path(f"{self.root}/pointers"))
+        try:  # of two writers that have seen one pointer, one gets the next number
+            write_json(self.spark, {"version": version, "previous": now}, f"{self.root}/pointers/{number + 1:012d}.json", replace=False)
+        except FileExistsError as e:
+            raise RuntimeError("another writer switched meanwhile") from e
+        for name in self._names(f"{self.root}/pointers")[:-8]:
+            self._fs.delete(self._path(f"{self.root}/pointers/{name}"), False)
+
+    def manifest(self, version: str) -> dict | None:
+        return self._read(f"{self.root}/{version}/manifest.json")
 
     def candidate(self) -> str | None:
         return (self._read(f"{self.root}/candidate.json") or {}).get("version")
 
     def prepare(self, version: str) -> None:
         """Announces a version that will be built; there is one at a time."""
-        now = self.candidate()
-        if now not in (None, version):
-            raise RuntimeError(f"{now} is being prepared")
         self._fs.mkdirs(self._path(self.root))
-        write_json(self.spark, {"version": version}, f"{self.root}/candidate.json")
+        try:
+            write_json(self.spark, {"version": version}, f"{self.root}/candidate.json", replace=False)
+        except FileExistsError as e:
+            now = self.candidate()
+            if now != version:
+                raise RuntimeError(f"{now} is being prepared") from e
 
     def activate(self, version: str, expected: str | None = None) -> None:
         """Switches to the prepared version; does nothing where it is active already, fails for any other."""
@@ -87,12 +110,15 @@ class Snapshots:
         return self.spark.read.parquet(f"{self.root}/{v}/{name}")
 
     def versions(self) -> list[str]:
-        return sorted((s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)) if s.isDirectory()), reverse=True)
+        """Names of all versions, whole or not, the greatest first."""
+        if not self._fs.exists(self._path(self.root)):
+            return []
+        return sorted((s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)) if s.isDirectory() and s.getPath().getName() not in ("pointers", "segments")), reverse=True)
 
     def prune(self, keep: int) -> list[str]:
-        """Deletes all but the active version and the newest others, keep in all."""
-        active = self.active()
-        others = [v for v in self.versions() if v != active]
+        """Deletes all but the active version and the newest others, keep in all; what is being prepared stays."""
+        active, candidate = self.active(), self.candidate()
+        others = [v for v in self.versions() if v not in (active, candidate)]
         gone = others[max(0, max(1, keep) - (active is not None)) :]
         for v in gone:
             self._fs.delete(self._path(f"{self.root}/{v}"), True)
@@ -101,4 +127,4 @@ class Snapshots:
     def is_current(self, config: dict) -> bool:
         """Whether the active version was built with this configuration, so that a build can be spared."""
         v = self.active()
-        return v is not None and (self._read(f"{self.root}/{v}/manifest.json") or {}).get("config") == config
+        return v is not None and (self.manifest(v) or {}).get("config") == config
