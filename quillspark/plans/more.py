@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import code, lexical, lifecycle, models, search
+from ..operators.ingest import KEY, DocumentIndex
 from ..operators.stored import StoredIndex
+from ..operators.vector_cache import VectorCache
 from ..sources.files import table
+from ..sources.scratch import delete, fresh_dir
 from ..sources.snapshots import Snapshots
 from . import queries as Q
 from .oracles import _CODE, _FS, _HOME, _LISTS, _PEN, _STRIP, _V, ORACLES, _hits
@@ -36,12 +37,8 @@ def _query(sql: str):
 @_query(ORACLES["bm25_topk"])
 def bm25_stored(spark: SparkSession, d: str) -> DataFrame:
     """As bm25_topk, by an index that is written first; where its manifest's corpus cannot be read, from the documents. The second call to ensure builds nothing."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="quillspark-")
-    index = StoredIndex(Snapshots(spark, f"{root.rstrip('/')}/bm25-{uuid.uuid4().hex}"), "doc_id")
+    root = fresh_dir(spark, "bm25")
+    index = StoredIndex(Snapshots(spark, root), "doc_id")
     docs = table(spark, d, "documents").select("doc_id", "text")
 
     def signature() -> str:
@@ -55,6 +52,54 @@ def bm25_stored(spark: SparkSession, d: str) -> DataFrame:
     return lexical.top(found, "item_id", "score", "doc_id", Q.ASKED).select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
+# ---- incremental ingest
+
+_PIECE = 800
+#: Texts of three days: some come later, some change, some go.
+_DAYS = ["doc_id % 10 <> 2", "doc_id % 10 <> 0", "doc_id % 10 <> 0"]
+_TEXTS = ["text", "text || CASE WHEN doc_id % 10 = 1 THEN '+' ELSE '' END", "text || CASE WHEN doc_id % 10 = 1 THEN '+' WHEN doc_id % 10 = 3 THEN '!' ELSE '' END"]
+_DAY = ", ".join(f"d{i} AS (SELECT doc_id, t, CAST(ceil(length(t) / {_PIECE}.0) AS BIGINT) AS n FROM (SELECT doc_id, {t} AS t FROM documents WHERE {w}) x)" for i, (w, t) in enumerate(zip(_DAYS, _TEXTS, strict=True), 1))
+_PIECES = " UNION ".join(f"SELECT {i} AS step, substr(t, CAST(k * {_PIECE} + 1 AS BIGINT), {_PIECE}) AS p FROM d{i}, unnest(generate_series(0, n - 1)) u(k)" for i in (1, 2, 3))
+
+
+def _step(i: int, a: str, b: str) -> str:
+    n = lambda what, where: f"(SELECT {what} FROM {a} a FULL JOIN {b} b ON a.doc_id = b.doc_id WHERE {where})"
+    same, other = "a.t = b.t", "a.t <> b.t"
+    docs = {"added": "a.doc_id IS NULL", "modified": other, "deleted": "b.doc_id IS NULL", "unchanged": same}
+    counts = ", ".join(f"{n('count(*)', w)} AS {c}" for c, w in docs.items())
+    total = lambda w: n("CAST(coalesce(sum(b.n), 0) AS BIGINT)", w)
+    return f"SELECT {i} AS step, {counts}, {total(same)} AS copied_chunks, {total('a.doc_id IS NULL OR ' + other)} AS embedded_chunks, {total('b.doc_id IS NOT NULL')} AS total_chunks, {str(i == 4).lower()} AS skipped, (SELECT count(DISTINCT p) FROM pieces WHERE step <= {min(i, 3)}) AS vectors, {min(i, 2)} AS versions"
+
+
+def _skipped() -> str:
+    return _step(4, "d3", "d3").replace("(SELECT CAST(coalesce(sum(b.n), 0) AS BIGINT) FROM d3 a FULL JOIN d3 b ON a.doc_id = b.doc_id WHERE a.t = b.t) AS copied_chunks", "CAST(0 AS BIGINT) AS copied_chunks")
+
+
+def _toy_model():
+    """A stand-in for a caller's model: a few numbers from each text's checksum."""
+    return lambda texts, **_: [[float(c >> k & 255) + 1 for k in (0, 8, 16, 24)] for c in (zlib.crc32(t.encode()) for t in texts)]
+
+
+@_query(f"WITH {_DAY}, none AS (SELECT * FROM d1 WHERE false), pieces AS ({_PIECES}) " + " UNION ALL ".join([_step(1, "none", "d1"), _step(2, "d1", "d2"), _step(3, "d2", "d3"), _skipped()]))
+def ingest_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Three states of the documents taken in one after the other, the last one twice: what each ingest found, shared and encoded."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    root = fresh_dir(spark, "ingest")
+    cache = VectorCache(spark, f"{root}/vectors")
+    piece = F.transform(F.sequence(F.lit(1), F.ceil(F.length("text") / _PIECE).cast("int")), lambda i: F.struct((i - 1).alias("chunk_id"), F.substring("text", (i - 1) * _PIECE + 1, F.lit(_PIECE)).alias("text")))
+    cut = lambda t: t.filter("length(text) > 0").select(KEY, F.explode(piece).alias("c")).select(KEY, "c.*")
+    index = DocumentIndex(Snapshots(spark, f"{root}/index"), cut, lambda c: cache.encoded(c, "text", _toy_model, "checksum"), {"piece": _PIECE}, retain=2)
+    rows = []
+    for i, (there, text) in enumerate(zip([*_DAYS, _DAYS[-1]], [*_TEXTS, _TEXTS[-1]], strict=True), 1):
+        now = docs.filter(there).select(F.col("doc_id").alias(KEY), F.expr(text).alias("text"))
+        digest = F.sha2("text", 256)
+        records = now.select(KEY, F.concat(F.lit("docs/"), KEY).alias("key"), digest.alias("version_id"), digest.alias("etag"), F.octet_length("text").alias("size"), digest.alias("content_hash"))
+        r = index.ingest(records, lambda new, now=now: now.join(new.select(KEY), KEY, "left_semi"))
+        rows.append((i, r.added, r.modified, r.deleted, r.unchanged, r.copied_chunks, r.embedded_chunks, r.total_chunks, r.skipped, cache.size("checksum"), len(index.store.versions())))
+    delete(spark, root)
+    return spark.createDataFrame(rows, "step int, added long, modified long, deleted long, unchanged long, copied_chunks long, embedded_chunks long, total_chunks long, skipped boolean, vectors long, versions int")
+
+
 # ---- code search
 
 _LEXICAL = f"lx AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY round(0.75 + s, 6) DESC, id) AS r FROM (SELECT id, round(greatest(0.0, CASE WHEN s > 0 THEN s + {_HOME.format(0.04)} ELSE 0.0 END - {_PEN}), 6) AS s FROM (SELECT *, {_FS} AS s FROM p) x) y WHERE s > 0) z WHERE r <= 30)"
