@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import code, lexical, lifecycle, models, search
+from ..operators.collection import VectorCollection
 from ..operators.ingest import KEY, DocumentIndex
 from ..operators.stored import StoredIndex
 from ..operators.vector_cache import VectorCache
 from ..sources.files import table
-from ..sources.scratch import delete, fresh_dir
+from ..sources.scratch import delete, fresh_dir, stored
 from ..sources.snapshots import Snapshots
 from . import queries as Q
 from .oracles import _CODE, _FS, _HOME, _LISTS, _PEN, _STRIP, _V, ORACLES, _hits
@@ -100,6 +101,41 @@ def ingest_steps(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "step int, added long, modified long, deleted long, unchanged long, copied_chunks long, embedded_chunks long, total_chunks long, skipped boolean, vectors long, versions int")
 
 
+# ---- stored vectors
+
+
+def _collection(spark: SparkSession, d: str) -> VectorCollection:
+    made = VectorCollection(Snapshots(spark, fresh_dir(spark, "vectors")))
+    made.ensure(table(spark, d, "embeddings"), 64)
+    return made
+
+
+def _of_collection(made: VectorCollection, rows: DataFrame) -> DataFrame:
+    out = stored(rows)
+    delete(made.store.spark, made.store.root)
+    return out
+
+
+@_query(ORACLES["vector_topk"])
+def collection_topk(spark: SparkSession, d: str) -> DataFrame:
+    """As vector_topk, from a stored collection whose cells are skipped where they can hold nothing."""
+    made = _collection(spark, d)
+    return _of_collection(made, made.search(Q._asked(Q._vectors(spark, d)), Q.ASKED))
+
+
+@_query(ORACLES["vector_filtered"])
+def collection_filtered(spark: SparkSession, d: str) -> DataFrame:
+    made = _collection(spark, d)
+    return _of_collection(made, made.search(Q._asked(Q._vectors(spark, d)), Q.ASKED, F.col("label").isin(1, 3, 5)))
+
+
+@_query("SELECT vec_id, label FROM embeddings WHERE vec_id > 100 AND embedding IS NOT NULL ORDER BY vec_id LIMIT 256")
+def collection_scroll(spark: SparkSession, d: str) -> DataFrame:
+    """One page of a scroll by id, without vectors."""
+    made = _collection(spark, d)
+    return _of_collection(made, made.scroll(100, 256))
+
+
 # ---- code search
 
 _LEXICAL = f"lx AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY round(0.75 + s, 6) DESC, id) AS r FROM (SELECT id, round(greatest(0.0, CASE WHEN s > 0 THEN s + {_HOME.format(0.04)} ELSE 0.0 END - {_PEN}), 6) AS s FROM (SELECT *, {_FS} AS s FROM p) x) y WHERE s > 0) z WHERE r <= 30)"

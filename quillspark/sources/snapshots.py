@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from .files import write_json
 
@@ -25,12 +26,16 @@ class Snapshots:
         for name, df in tables.items():
             folders = [(by or {})[name]] if name in (by or {}) else []
             df.write.partitionBy(*folders).parquet(f"{self.root}/{version}/{name}")
-        write_json(self.spark, {"version": version, "tables": sorted(tables), "config": config}, f"{self.root}/{version}/manifest.json")
+        write_json(self.spark, {"version": version, "tables": sorted(tables), "schemas": {n: df.schema.jsonValue() for n, df in tables.items()}, "config": config}, f"{self.root}/{version}/manifest.json")
 
     def _read(self, path: str) -> dict | None:
         if not self._fs.exists(self._path(path)):
             return None
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(path, wholetext=True).collect()))
+        stream = self._fs.open(self._path(path))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def _names(self, path: str) -> list[str]:
         where = self._path(path)
@@ -107,7 +112,9 @@ class Snapshots:
         v = version or self.active()
         if v is None:
             raise ValueError("no version is active")
-        return self.spark.read.parquet(f"{self.root}/{v}/{name}")
+        kind = (self.manifest(v) or {}).get("schemas", {}).get(name)
+        reader = self.spark.read.schema(StructType.fromJson(kind)) if kind else self.spark.read  # a table without rows may have no file
+        return reader.parquet(f"{self.root}/{v}/{name}")
 
     def versions(self) -> list[str]:
         """Names of all versions, whole or not, the greatest first."""
