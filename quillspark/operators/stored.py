@@ -5,26 +5,28 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import drop, stored
 from ..sources.snapshots import Snapshots
-from . import lexical
+from . import lexical, postings
 
 Corpus = Callable[[], DataFrame]
 
 
 class StoredIndex:
-    """Postings in folders by token and one row of statistics, as versions of a store. Searches read the folders of their tokens only."""
+    """Blocks of postings with their bounds in folders by token, frequencies and one row of statistics, as versions of a store. Searches read the folders of their tokens only, and of blocks that cannot matter only the bounds."""
 
-    def __init__(self, store: Snapshots, key: str, text: str = "text", buckets: int = 64):
-        self.store, self.key, self.text, self.buckets = store, key, text, buckets
+    def __init__(self, store: Snapshots, key: str, text: str = "text", buckets: int = 64, window: int = postings.NARROW):
+        self.store, self.key, self.text, self.buckets, self.window = store, key, text, buckets, window
 
     def _bucket(self, token: Column) -> Column:
         return F.pmod(F.hash(token), F.lit(self.buckets))
 
     def _config(self, signature: str) -> dict:
-        return {"signature": signature, "key": self.key, "text": self.text, "buckets": self.buckets}
+        return {"signature": signature, "key": self.key, "text": self.text, "buckets": self.buckets, "window": self.window}
 
     def ensure(self, corpora: list[Corpus], signature: Callable[[], str]) -> str:
         """The active version; built anew only where the signature is another."""
@@ -50,18 +52,54 @@ class StoredIndex:
     def _build(self, version: str, corpora: list[Corpus], signature: str) -> None:
         for n, corpus in enumerate(corpora, 1):
             try:
-                docs = corpus()
-                index = lexical.postings(docs, self.key, self.text).withColumn("bucket", self._bucket(F.col("token"))).hint("rebalance", F.col("bucket"))
-                tables = {"postings": index, "stats": lexical.corpus_statistics(docs, self.text)}
-                return self.store.build(version, tables, self._config(signature), by={"postings": "bucket"})
-            except Exception:  # a corpus that cannot be read, for whatever reason; the last one's reason is raised
+                made = stored(postings.blocks(corpus(), self.key, self.text, size=self.window), "blocks")
+            except (AnalysisException, OSError):  # a corpus that is not there or cannot be read; the last one's reason is raised
                 if n == len(corpora):
                     raise
+                continue
+            docs, mean = postings.statistics(made)
+            bucket = self._bucket(F.col("token"))
+            blocks = postings.bounded(made.filter("token is not null"), mean).withColumn("bucket", bucket).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "token", "window")
+            tables = {
+                "blocks": blocks,
+                "terms": postings.frequencies(made).withColumn("bucket", bucket).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "token"),
+                "stats": self.store.spark.createDataFrame([(docs, mean, n)], "n_docs long, avgdl double, corpus int"),
+            }
+            self.store.build(version, tables, self._config(signature), by={"blocks": "bucket", "terms": "bucket"})
+            return drop(made)
 
-    def scores(self, questions: DataFrame, asked: str) -> DataFrame:
-        """(asked, key, score) by the active version, resolved once."""
-        version = self.store.active()
-        terms = lexical.asked_tokens(questions, asked).select(self._bucket(F.col("token")).alias("b")).distinct()
-        wanted = [r["b"] for r in terms.collect()]  # at most as many as there are buckets
-        index = self.store.table("postings", version).filter(F.col("bucket").isin(wanted)).drop("bucket")
-        return lexical.scores(index, questions, self.key, asked, stats=self.store.table("stats", version))
+    def _asked(self, version: str, questions: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame, tuple]:
+        """(terms of the questions, their blocks, their frequencies, statistics); only folders of asked tokens are read."""
+        asked = stored(lexical.asked_tokens(questions, name), "asked")
+        wanted = [r["b"] for r in asked.select(self._bucket(F.col("token")).alias("b")).distinct().collect()]  # at most as many as there are buckets
+        blocks, terms = (self.store.table(t, version).filter(F.col("bucket").isin(wanted)).drop("bucket") for t in ("blocks", "terms"))
+        stats = self.store.table("stats", version).first()
+        return asked, blocks, terms, (stats["n_docs"], stats["avgdl"])
+
+    def search(self, questions: DataFrame, asked: str, k: int) -> DataFrame:
+        """(asked, key, score, rank) of the k best of each question by the active version, resolved once: rows as a search through all postings gives them."""
+        terms, blocks, df, stats = self._asked(self.store.active(), questions, asked)
+        scratch = [terms]
+
+        def keep(rows: DataFrame) -> DataFrame:
+            scratch.append(stored(rows, "search"))
+            return scratch[-1]
+
+        found = stored(postings.best(blocks, terms, asked, k, *stats, df, keep), "found")
+        drop(*scratch)
+        return found.withColumnRenamed("key", self.key)
+
+    def blocks_read(self, questions: DataFrame, asked: str, k: int) -> tuple[int, int]:
+        """(blocks whose postings a search scores, blocks of asked tokens)."""
+        terms, blocks, df, (n, mean) = self._asked(self.store.active(), questions, asked)
+        read = every = 0
+        for lot in postings.terms(terms, asked, df, n):
+            kinds = dict(terms.dtypes)[asked], blocks.schema["keys"].dataType.elementType.simpleString()
+            limits = stored(postings.placed(postings.bounds(blocks, lot)))
+            first = limits.filter(F.col("place") <= postings.FIRST)
+            one = stored(postings.scored(blocks, lot, asked, kinds, mean, k, first))
+            pairs = first.select("window", "q").unionByName(postings.needed(limits, one, lot, asked, k))
+            own = postings.asked_blocks(blocks, lot).select("window", "token")
+            every += own.count()
+            read += own.join(pairs.select("window").distinct(), "window", "left_semi").count()
+        return read, every

@@ -40,7 +40,7 @@ def bm25_stored(spark: SparkSession, d: str) -> DataFrame:
     """As bm25_topk, by an index that is written first; where its manifest's corpus cannot be read, from the documents. The second call to ensure builds nothing."""
     root = fresh_dir(spark, "bm25")
     index = StoredIndex(Snapshots(spark, root), "doc_id")
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = Q._documents(spark, d).select("doc_id", "text")
 
     def signature() -> str:
         rows = docs.select(F.xxhash64("doc_id", "text").cast("decimal(38,0)").alias("h")).agg(F.count("*").alias("n"), F.sum("h").alias("s")).first()
@@ -49,8 +49,9 @@ def bm25_stored(spark: SparkSession, d: str) -> DataFrame:
     corpora = [lambda: table(spark, d, "manifest_documents"), lambda: docs]
     if index.ensure(corpora, signature) != index.ensure(corpora, signature):
         raise RuntimeError("an index was built twice")
-    found = index.scores(table(spark, d, "benchmark").select("item_id", "text"), "item_id")
-    return lexical.top(found, "item_id", "score", "doc_id", Q.ASKED).select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    found = index.search(table(spark, d, "benchmark").select("item_id", "text"), "item_id", Q.ASKED)
+    delete(spark, root)
+    return found.select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 # ---- incremental ingest

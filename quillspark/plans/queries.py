@@ -2,32 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import misc as M
 from ..functions import text as T
-from ..operators import accounts, chunking, code, dml, evaluation, fusion, graph, lexical, routing, sessions, vectors, versions
+from ..operators import accounts, chunking, code, dml, evaluation, fusion, graph, lexical, postings, routing, sessions, vectors, versions
 from ..sources.files import table
+from ..sources.scratch import drop, spread, stored
 from ..streaming.archive import windowed_counts
 
 ASKED = 10
 
 
-def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    asked = table(spark, d, "benchmark").select("item_id", "text")
-    index = lexical.postings(docs, "doc_id", only=lexical.asked_tokens(asked, "item_id").select("token").distinct())
-    return lexical.scores(index, asked, "doc_id", "item_id", stats=lexical.corpus_statistics(docs))
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents, dealt to all cores where their files are fewer."""
+    return spread(table(spark, d, "documents"))
+
+
+def _bm25(spark: SparkSession, d: str, k: int, wanted: Column | None = None) -> DataFrame:
+    """The k best documents of each benchmark item, as a scratch table; texts are tokenised once."""
+    asked = stored(lexical.asked_tokens(table(spark, d, "benchmark"), "item_id"))
+    made = stored(postings.blocks(_documents(spark, d), "doc_id", only=asked, wanted=wanted))
+    found = stored(postings.best(made, asked, "item_id", k, *postings.statistics(made), postings.frequencies(made)))
+    drop(asked, made)
+    return found.withColumnRenamed("key", "doc_id")
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.top(_bm25(spark, d), "item_id", "score", "doc_id", ASKED).select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    return _bm25(spark, d, ASKED).select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
-    rows = _bm25(spark, d).join(table(spark, d, "documents").filter("lang = 'en'").select("doc_id"), "doc_id", "left_semi")
-    return lexical.top(rows, "item_id", "score", "doc_id", ASKED).select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    return _bm25(spark, d, ASKED, F.col("lang") == "en").select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -76,8 +83,7 @@ def rescore_by_id(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    b = lexical.top(_bm25(spark, d), "item_id", "score", "doc_id", 64)
-    b = b.select(F.col("item_id").alias("query_id"), F.lit("docs").alias("source"), F.col("doc_id").alias("chunk_id"), "score", "rank")
+    b = _bm25(spark, d, 64).select(F.col("item_id").alias("query_id"), F.lit("docs").alias("source"), F.col("doc_id").alias("chunk_id"), "score", "rank")
     rows = _vectors(spark, d)
     asks = rows.join(table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "v")
     v = lexical.top(vectors.nearest(rows.select("vec_id", "v"), asks, k=64), "query_id", "score", "vec_id", 64)
@@ -138,7 +144,7 @@ def route_ab(spark: SparkSession, d: str) -> DataFrame:
 
 def recall_mrr(spark: SparkSession, d: str) -> DataFrame:
     """Gold: documents that hold the item's passage whole."""
-    ranked = lexical.top(_bm25(spark, d), "item_id", "score", "doc_id", ASKED).select(F.col("item_id").alias("query_id"), "doc_id", "rank")
+    ranked = _bm25(spark, d, ASKED).select(F.col("item_id").alias("query_id"), "doc_id", "rank")
     items, docs = table(spark, d, "benchmark").filter("text is not null"), table(spark, d, "documents").select("doc_id", "text")
     # Only documents that hold all of an item's tokens can hold its text: an equi-join by token finds them.
     asked = items.select("item_id", F.explode(F.array_distinct(lexical.lexical_tokens(F.col("text")))).alias("token"))
@@ -344,20 +350,20 @@ def constraint_checks(spark: SparkSession, d: str) -> DataFrame:
 
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     s = T.sentences(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(s).alias("n_sentences"), F.sha2(F.array_join(s, "\n"), 256).alias("digest"))
+    return _documents(spark, d).select("doc_id", F.size(s).alias("n_sentences"), F.sha2(F.array_join(s, "\n"), 256).alias("digest"))
 
 
 def clause_split(spark: SparkSession, d: str) -> DataFrame:
     s = T.clauses(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(s).alias("n_clauses"), F.sha2(F.array_join(s, "\n"), 256).alias("digest"))
+    return _documents(spark, d).select("doc_id", F.size(s).alias("n_clauses"), F.sha2(F.array_join(s, "\n"), 256).alias("digest"))
 
 
 def chunk_docs(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunked(table(spark, d, "documents"), "doc_id", chunking.char_tokenizer, 800, 1000, 0, 0)
+    return chunking.chunked(_documents(spark, d), "doc_id", chunking.char_tokenizer, 800, 1000, 0, 0)
 
 
 def chunk_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunked(table(spark, d, "documents"), "doc_id", chunking.char_tokenizer, 800, 1000, 100, 200)
+    return chunking.chunked(_documents(spark, d), "doc_id", chunking.char_tokenizer, 800, 1000, 100, 200)
 
 
 def _code_rows(spark: SparkSession, d: str) -> DataFrame:

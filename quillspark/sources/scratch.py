@@ -41,3 +41,9 @@ def stored(df: DataFrame, name: str = "scratch") -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     for t in tables:
         delete(t.sparkSession, t._scratch)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores where it comes from fewer files than there are cores, as a file of one row group is one task's; else df as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -38,8 +38,10 @@ def test_stored_index(spark, tmp_path):
     asked = spark.createDataFrame([(7, "red Fox fox")], "q long, text string")
     first = index.ensure([broken, lambda: docs], lambda: "a")
     assert index.ensure([broken], lambda: "a") == first and store.candidate() is None
-    want = lexical.scores(lexical.postings(docs, "doc_id"), asked, "doc_id", "q")
-    assert sorted(map(tuple, index.scores(asked, "q").collect())) == sorted(map(tuple, want.collect()))
+    want = lexical.top(lexical.scores(lexical.postings(docs, "doc_id"), asked, "doc_id", "q"), "q", "score", "doc_id", 2)
+    row = ["q", "doc_id", "score", "rank"]
+    assert sorted(map(tuple, index.search(asked, "q", 2).select(row).collect())) == sorted(map(tuple, want.select(row).collect()))
+    assert store.table("stats").first()["corpus"] == 2 and index.search(asked.limit(0), "q", 2).count() == 0
     states = iter("bc")
     with pytest.raises(RuntimeError, match="changed"):
         index.rebuild([lambda: docs], lambda: next(states))
