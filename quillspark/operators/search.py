@@ -37,14 +37,15 @@ def best_of(hits: DataFrame, by: list[str]) -> DataFrame:
 
 def file_hits(files: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """(query_id, file_id, score): the files nearest to each question. files: file_id, v; questions: query_id, v."""
-    near = nearest(files.select(F.col("file_id").alias("vec_id"), "v").filter("vec_id is not null"), questions)
+    near = nearest(files.select(F.col("file_id").alias("vec_id"), "v").filter("vec_id is not null"), questions, k=k)
     return top(near, "query_id", "score", "vec_id", k).select("query_id", F.col("vec_id").alias("file_id"), "score")
 
 
-def in_files(functions: DataFrame, near: DataFrame, files: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score) of the functions in a question's files; no files, no functions. near: query_id, id, score."""
-    inside = near.join(functions.select("id", "file_id"), "id").join(files.select("query_id", "file_id"), ["query_id", "file_id"], "left_semi")
-    return top(inside, "query_id", "score", "id", k).select("query_id", "id", "score")
+def in_files(functions: DataFrame, questions: DataFrame, files: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score) of the best functions in a question's files; no files, no functions. functions: id, file_id, v."""
+    rows = functions.select(F.col("id").alias("vec_id"), "v", F.col("file_id").alias("grp"))
+    near = nearest(rows, questions, k=k, allowed=files.select("query_id", F.col("file_id").alias("grp")))
+    return top(near, "query_id", "score", "vec_id", k).select("query_id", F.col("vec_id").alias("id"), "score")
 
 
 def code_search(functions: DataFrame, files: DataFrame, questions: DataFrame, lexical: DataFrame, tokens: Column, file_top: int = 20, function_top: int = 50, final: int = 10) -> DataFrame:
@@ -54,10 +55,11 @@ def code_search(functions: DataFrame, files: DataFrame, questions: DataFrame, le
     candidates, whose lexical scores do not count. A question without file hits finds nothing.
     """
     chosen = file_hits(files, questions, file_top)
-    near = nearest(functions.select(F.col("id").alias("vec_id"), "v"), questions).withColumnRenamed("vec_id", "id")
-    wide = top(near, "query_id", "score", "id", max(50, 10 * final)).select("query_id", "id", "score")
-    words = near.join(lexical.select("id").distinct(), "id", "left_semi").select("query_id", "id", "score")
-    every = in_files(functions, near, chosen, function_top).unionByName(wide).unionByName(words)
+    rows, most = functions.select(F.col("id").alias("vec_id"), "v"), max(50, 10 * final)
+    wide = top(nearest(rows, questions, k=most), "query_id", "score", "vec_id", most)
+    words = nearest(rows.join(lexical.select(F.col("id").alias("vec_id")).distinct(), "vec_id", "left_semi"), questions)  # as many as there are candidates
+    both = wide.select("query_id", F.col("vec_id").alias("id"), "score").unionByName(words.withColumnRenamed("vec_id", "id"))
+    every = in_files(functions, questions, chosen, function_top).unionByName(both)
     every = every.join(chosen.select("query_id").distinct(), "query_id", "left_semi")
     hits = best_of(every, ["query_id", "id"]).join(functions.drop("v"), "id").withColumn("final_score", F.round(F.col("score") + lexical_boost(tokens), 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("final_score"), F.desc("score"), path_penalty(F.col("path")) > 0, "id")

@@ -145,12 +145,15 @@ def route_ab(spark: SparkSession, d: str) -> DataFrame:
 def recall_mrr(spark: SparkSession, d: str) -> DataFrame:
     """Gold: documents that hold the item's passage whole."""
     ranked = _bm25(spark, d, ASKED).select(F.col("item_id").alias("query_id"), "doc_id", "rank")
-    items, docs = table(spark, d, "benchmark").filter("text is not null"), table(spark, d, "documents").select("doc_id", "text")
-    # Only documents that hold all of an item's tokens can hold its text: an equi-join by token finds them.
-    asked = items.select("item_id", F.explode(F.array_distinct(lexical.lexical_tokens(F.col("text")))).alias("token"))
-    n = asked.groupBy("item_id").agg(F.count("*").alias("n"))
-    rows = lexical.postings(docs, "doc_id").select("doc_id", "token").join(asked, "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("m")).join(n, "item_id").filter("m = n")
-    whole = rows.join(docs, "doc_id").join(items.select("item_id", F.col("text").alias("_item")), "item_id").filter(F.contains("text", F.col("_item")))
+    items, docs = table(spark, d, "benchmark").filter("text is not null"), _documents(spark, d).select("doc_id", "text")
+    # Only documents that hold the rarest of an item's tokens can hold its text: an equi-join by that token finds them, whole texts decide.
+    token = lexical.lexical_tokens(F.col("text"))
+    asked = items.select("item_id", F.col("text").alias("_item"), F.explode(F.array_distinct(token)).alias("token"))
+    own = docs.select("doc_id", "text", F.array_distinct(token).alias("tokens"))
+    df = own.select(F.explode("tokens").alias("token")).join(F.broadcast(asked.select("token").distinct()), "token", "left_semi").groupBy("token").count()
+    rarest = asked.join(df, "token").groupBy("item_id", "_item").agg(F.min_by("token", F.struct("count", "token")).alias("token"))
+    found = own.select("doc_id", F.explode("tokens").alias("token")).join(rarest, "token").select("item_id", "doc_id", "_item")
+    whole = found.join(docs, "doc_id").filter(F.contains("text", F.col("_item")))
     return evaluation.retrieval(ranked, whole.select(F.col("item_id").alias("query_id"), "doc_id"), 5)
 
 
