@@ -15,8 +15,9 @@ Only one suffix of equal ones leaves a run (that of the least id), so that hot p
 A run sends a row to each range for which it has something, so rows are no more than exchanged fingerprints or suffixes.
 Strings that share all bytes from the anchor on are told apart by a 64-bit hash of the bytes before it: two unlike strings pass
 for equal with a probability of about 2**-64 for each such pair.
+Texts are told apart by two 64-bit hashes, of the text and of id and text; equal ones only are taken for one.
 Null and empty texts have no bytes. Documents of equal ids remove nothing from one another; a null id counts as
-larger than any other. Texts shorter than the window stay. An empty table gives no rows. Other columns play no part.
+larger than any other, 2**63 - 1 included. Texts shorter than the window stay. An empty table gives no rows. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -232,11 +233,11 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- 2. and 3. sorted suffixes
 
 
-def covered(prints: np.ndarray, lcp: np.ndarray, left: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+def covered(prints: np.ndarray, lcp: np.ndarray, left: np.ndarray, ids: np.ndarray, late: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """For suffixes in order: which of their windows (SPAN columns by the anchor's place in the window) start in a smaller id, too.
 
     lcp: bytes shared with the suffix before, from the anchor on. left: the SPAN - 1 bytes before each anchor, nearest first.
-    low, high: the range of columns that a suffix stands for.
+    low, high: the range of columns that a suffix stands for. late: suffixes of documents without id, which come after all ids.
     """
     out = np.zeros((len(ids), SPAN), bool)
     hash_ = np.zeros(len(ids), "uint64")
@@ -248,10 +249,10 @@ def covered(prints: np.ndarray, lcp: np.ndarray, left: np.ndarray, ids: np.ndarr
         if len(rows) < 2:
             continue
         order = rows[np.lexsort((hash_[rows], group[rows]))]
-        g, x, i = group[order], hash_[order], ids[order]
+        g, x, i, without = group[order], hash_[order], ids[order], late[order]
         head = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (x[1:] != x[:-1])])
-        least = np.minimum.reduceat(i, head)
-        out[order, k] = i > np.repeat(least, np.diff(np.r_[head, len(order)]))
+        least, some, n = np.minimum.reduceat(i, head), np.logical_or.reduceat(~without, head), np.diff(np.r_[head, len(order)])
+        out[order, k] = (i > np.repeat(least, n)) | (without & np.repeat(some, n))
     return out
 
 
@@ -269,29 +270,29 @@ def _intervals(rows: np.ndarray, starts: np.ndarray) -> list[tuple[int, bytes]]:
     return [(int(r[s]), np.stack([a[s:e], b[s:e]], axis=1).astype("<u4").tobytes()) for s, e in zip(edge[:-1], edge[1:], strict=True)]
 
 
-_OUT = ["part", "id", "tag", "blob", "tail"]
-OUT = "part int, id long, tag long, blob binary, tail binary"
-#: What goes along with an exchanged suffix: id, tag of its text, start, columns, bytes before it.
-TAIL = np.dtype([("id", "<i8"), ("tag", "<i8"), ("place", "<i8"), ("low", "u1"), ("high", "u1"), ("left", "u1", SPAN - 1)])
+_OUT = ["part", "key", "tag", "blob", "tail"]
+OUT = "part int, key long, tag long, blob binary, tail binary"
+#: What goes along with an exchanged suffix: key and tag of its text, its id or that it has none, start, columns, bytes before it.
+TAIL = np.dtype([("key", "<i8"), ("id", "<i8"), ("late", "?"), ("tag", "<i8"), ("place", "<i8"), ("low", "u1"), ("high", "u1"), ("left", "u1", SPAN - 1)])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    part, id_, tag, blob, tail = zip(*rows, strict=True) if rows else ([],) * 5
-    return pa.RecordBatch.from_arrays([pa.array(part, "int32"), pa.array(id_, "int64"), pa.array(tag, "int64"), pa.array(blob, "binary"), pa.array(tail, "binary")], names=_OUT)
+    part, key, tag, blob, tail = zip(*rows, strict=True) if rows else ([],) * 5
+    return pa.RecordBatch.from_arrays([pa.array(part, "int32"), pa.array(key, "int64"), pa.array(tag, "int64"), pa.array(blob, "binary"), pa.array(tail, "binary")], names=_OUT)
 
 
 def _sorted_runs(ranges: int):
     """Rows with part -1: settled intervals of a document; others: a front-coded run of suffixes for a range, and its tails."""
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        """(id, tag, text, fingerprints) of some MB of text. The row of an id's fingerprints comes before those of its texts."""
+        """(key, tag, text, fingerprints, id) of some MB of text. The row of a key's fingerprints comes before those of its texts."""
         note, held, size = b"", [], 0
         for b in batches:
-            for i, tag, text, blob in zip(*(b.column(c).to_pylist() for c in ("id", "tag", "raw", "prints")), strict=True):
+            for key, tag, text, blob, i in zip(*(b.column(c).to_pylist() for c in ("key", "tag", "raw", "prints", "id")), strict=True):
                 if blob is not None:
                     note = blob
                     continue
-                held.append((i, tag, text or b"", note))
+                held.append((key, tag, text or b"", note, i))
                 size += len(held[-1][2])
                 if size >= SORTED:
                     yield held
@@ -301,14 +302,16 @@ def _sorted_runs(ranges: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in gathered(batches):
-            ids, tags = (np.array([r[k] for r in rows], "int64") for k in (0, 1))
+            keys_, tags = (np.array([r[k] for r in rows], "int64") for k in (0, 1))
+            without = np.array([r[4] is None for r in rows])
+            ids = np.array([LARGE if r[4] is None else r[4] for r in rows], "int64")
             data, ends = _joined([r[2] for r in rows])
             place, prints, first, last = anchors(data, ends)
             doc = np.searchsorted(ends, place, side="right")
             docs = np.zeros(len(place), "int64")
             keep = np.zeros(len(place), bool)
             edge = np.searchsorted(doc, np.arange(len(ids) + 1))
-            for i, (_, _, _, note) in enumerate(rows):
+            for i, (_, _, _, note, _) in enumerate(rows):
                 n = len(note) // 9
                 value, count = np.frombuffer(note, "<u8", n), np.frombuffer(note, "u1", n, 8 * n)
                 s, e = edge[i], edge[i + 1]
@@ -333,9 +336,9 @@ def _sorted_runs(ranges: int):
             differ = right[1:] != right[:-1]
             lcp[1:] = np.where(prints[1:] != prints[:-1], 0, np.where(differ.any(1), differ.argmax(1), WINDOW))
             low, high = place - last, place - first
-            done = covered(prints, lcp, left, ids[doc], low, high)
+            done = covered(prints, lcp, left, ids[doc], without[doc], low, high)
             r, k = np.nonzero(done)
-            out = [(-1, int(ids[i]), int(tags[i]), blob, None) for i, blob in _intervals(doc[r], (place[r] - begin[r]) - k)]
+            out = [(-1, int(keys_[i]), int(tags[i]), blob, None) for i, blob in _intervals(doc[r], (place[r] - begin[r]) - k)]
             # Fingerprints all of whose documents are here are settled; of the rest, suffixes with a window that none covers go on.
             head = np.flatnonzero(np.r_[True, prints[1:] != prints[:-1]])
             size = np.diff(np.r_[head, len(prints)])
@@ -345,7 +348,8 @@ def _sorted_runs(ranges: int):
             i = np.flatnonzero(open_)
             part = (prints[i] * U(ranges)) >> U(48)
             tail = np.zeros(len(i), TAIL)
-            tail["id"], tail["tag"], tail["place"], tail["low"], tail["high"], tail["left"] = ids[doc[i]], tags[doc[i]], place[i] - begin[i], low[i], high[i], left[i]
+            tail["key"], tail["id"], tail["late"] = keys_[doc[i]], ids[doc[i]], without[doc[i]]
+            tail["tag"], tail["place"], tail["low"], tail["high"], tail["left"] = tags[doc[i]], place[i] - begin[i], low[i], high[i], left[i]
             head8 = np.zeros((len(i), 8), "uint8")
             head8[:] = prints[i].astype(">u8").view("uint8").reshape(-1, 8)
             text = np.concatenate([head8[:, 2:], right[i]], axis=1)
@@ -378,9 +382,9 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lcp[n] = shared
         t = np.concatenate(tails)[order]
         new = lcp < 6  # the six bytes of the fingerprint come first
-        done = covered(np.cumsum(new), np.where(new, 0, lcp - 6), t["left"], t["id"], t["low"], t["high"])
+        done = covered(np.cumsum(new), np.where(new, 0, lcp - 6), t["left"], t["id"], t["late"], t["low"], t["high"])
         r, k = np.nonzero(done)
-        names, row = np.unique(np.stack([t["id"][r], t["tag"][r]]), axis=1, return_inverse=True)
+        names, row = np.unique(np.stack([t["key"][r], t["tag"][r]]), axis=1, return_inverse=True)
         out = [(-1, int(names[0, i]), int(names[1, i]), blob, None) for i, blob in _intervals(row.ravel(), t["place"][r] - k)]
         for at in range(0, len(out), 5000):
             yield _batch(out[at : at + 5000])
@@ -390,39 +394,46 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(id, tag, spans): for documents with bytes to remove, lists of pairs of 32-bit offsets. docs: id, tag, text."""
+    """(key, tag, spans): for documents with bytes to remove, lists of pairs of 32-bit offsets. docs: key, id, tag, text.
+
+    All is dealt by key, a hash of id and text; ids are compared only. So documents without id, or of one id, are spread like others.
+    Equal texts without id fare alike, and one of them is looked at.
+    """
+    same = docs.filter("id is null").groupBy("key", "tag").agg(F.first("id").alias("id"), F.first("text").alias("text"))
+    docs = docs.filter("id is not null").unionByName(same)
     size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     ranges = max(1, -(-size // RANGE))
-    runs = docs.select("id", "text").mapInArrow(tidy(_fingerprint_runs(ranges)), "part int, own boolean, docs binary, blob binary")
+    runs = docs.select(F.col("key").alias("id"), "text").mapInArrow(tidy(_fingerprint_runs(ranges)), "part int, own boolean, docs binary, blob binary")
     shared = runs.repartitionById(ranges, F.col("part")).mapInArrow(tidy(_shared(ranges)), "slot int, blob binary")
-    held = cut(shared.repartitionById(ranges, F.col("slot")).mapInArrow(tidy(_by_document), "id long, least long, prints binary"))
+    held = cut(shared.repartitionById(ranges, F.col("slot")).mapInArrow(tidy(_by_document), "id long, least long, prints binary").withColumnRenamed("id", "key"))
     few = held.count() <= SMALL  # beyond this size both sides are shuffled
-    some = held.select("id", "least")
-    sized = docs.join(F.broadcast(some) if few else some, "id").groupBy("id").agg(F.min("least").alias("least"), F.sum(F.octet_length("text")).alias("b"))
-    sorted_ = ordered(sized, [F.col("least"), F.col("id")], partitions(docs.sparkSession))
+    some = held.select("key", "least")
+    sized = docs.join(F.broadcast(some) if few else some, "key").groupBy("key").agg(F.min("least").alias("least"), F.sum(F.octet_length("text")).alias("b"))
+    sorted_ = ordered(sized, [F.col("least"), F.col("key")], partitions(docs.sparkSession))
     before, total = offsets(sorted_, F.sum("b"))
     inside = Window.partitionBy("_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
     upto = F.col("_before") + F.coalesce(F.sum("b").over(inside), F.lit(0))
     # Buckets of equal bytes, not of equal rows: a long text counts as what it is.
-    place = cut(sorted_.join(F.broadcast(before), "_part").select("id", "least", F.floor(upto * ranges / (total + 1)).cast("int").alias("bucket")))
+    place = cut(sorted_.join(F.broadcast(before), "_part").select("key", "least", F.floor(upto * ranges / (total + 1)).cast("int").alias("bucket")))
     drop(sorted_)
     at = F.broadcast(place) if few else place
-    texts = docs.join(at, "id").select("bucket", "least", "id", "tag", F.encode("text", "UTF-8").alias("raw"), F.lit(None).cast("binary").alias("prints"))
-    notes = held.drop("least").join(at, "id").select("bucket", "least", "id", F.lit(None).cast("long").alias("tag"), F.lit(None).cast("binary").alias("raw"), "prints")
-    both = texts.unionByName(notes).repartitionById(ranges, F.col("bucket")).sortWithinPartitions("least", "id", F.col("prints").isNull())
-    settled = cut(both.select("id", "tag", "raw", "prints").mapInArrow(tidy(_sorted_runs(ranges)), OUT))
+    texts = docs.join(at, "key").select("bucket", "least", "key", "id", "tag", F.encode("text", "UTF-8").alias("raw"), F.lit(None).cast("binary").alias("prints"))
+    notes = held.drop("least").join(at, "key").select("bucket", "least", "key", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("tag"), F.lit(None).cast("binary").alias("raw"), "prints")
+    both = texts.unionByName(notes).repartitionById(ranges, F.col("bucket")).sortWithinPartitions("least", "key", F.col("prints").isNull())
+    settled = cut(both.select("key", "tag", "raw", "prints", "id").mapInArrow(tidy(_sorted_runs(ranges)), OUT))
     drop(held, place)
     more = settled.filter(F.col("part") >= 0).repartitionById(ranges, F.col("part")).mapInArrow(tidy(_merged), OUT)
-    return settled.filter(F.col("part") < 0).unionByName(more).groupBy("id", "tag").agg(F.collect_list("blob").alias("spans"))
+    return settled.filter(F.col("part") < 0).unionByName(more).groupBy("key", "tag").agg(F.collect_list("blob").alias("spans"))
 
 
 def cleaned(docs: DataFrame, keep: list[str]) -> DataFrame:
     """keep columns, `kept` (the bytes left), n_bytes, n_removed and n_spans of each document. docs: doc_id and text."""
-    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LARGE))).withColumn("_tag", F.xxhash64("text"))
-    spans = cut(repeats(named.select(F.col("_id").alias("id"), F.col("_tag").alias("tag"), "text")))
-    some = spans.select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), "spans")
+    id_ = F.col("doc_id").cast("long")
+    named = docs.withColumn("_key", F.xxhash64(F.lit(1), id_, "text")).withColumn("_tag", F.xxhash64("text"))
+    spans = cut(repeats(named.select(F.col("_key").alias("key"), id_.alias("id"), F.col("_tag").alias("tag"), "text")))
+    some = spans.select(F.col("key").alias("_key"), F.col("tag").alias("_tag"), "spans")
     size = spans.agg(F.sum(F.aggregate("spans", F.lit(64), lambda a, x: a + F.octet_length(x))).alias("b")).first()["b"] or 0
-    joined = named.join(F.broadcast(some) if size <= SMALL_BYTES else some, ["_id", "_tag"], "left")  # broadcast only after this check
+    joined = named.join(F.broadcast(some) if size <= SMALL_BYTES else some, ["_key", "_tag"], "left")  # broadcast only after this check
     rest = joined.filter(F.col("spans").isNull())
     joined = joined.filter(F.col("spans").isNotNull())
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
