@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.sessions import archive
+from .commits import CommittedTables
 
 EVENT = "event_id string, session_id long, seq long, role string, content string"
 #: Folders of the archive; fixed once it has rows.
@@ -54,6 +55,44 @@ def archive_stream(events: DataFrame, sessions: DataFrame, out: str, dead: str,
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+SESSION = "session_id long, archive_seq long"
+
+
+def archived_sessions(tables: CommittedTables, stored: DataFrame) -> DataFrame:
+    """(session_id, archive_seq) as the last commit that touched a session left it; stored: what there was before."""
+    every = stored.select("session_id", "archive_seq", F.lit(0).cast("long").alias("_commit")).unionByName(tables.read("sessions", SESSION))
+    return every.groupBy("session_id").agg(F.max_by("archive_seq", F.struct("_commit", "archive_seq")).alias("archive_seq"))
+
+
+def commit_batch(tables: CommittedTables, query: str, number: int, events: DataFrame, stored: DataFrame) -> bool:
+    """One batch of raw events (a column `value`): new rows of the archive, sessions with their archived sequence, and what is no event, all in one commit."""
+    if tables.committed(query, number):
+        return False
+    good, bad = split_malformed(events)
+    own = [r["b"] for r in good.select(bucket(F.col("session_id")).alias("b")).distinct().collect()]  # BUCKETS at most
+    known = tables.read("archive", f"{EVENT}, bucket int").filter(F.col("bucket").isin(own)).drop("bucket", "_commit")
+    before = archived_sessions(tables, stored).join(good.select("session_id").distinct(), "session_id", "left_semi")
+    _, moved = archive(known, good, before)
+    full, _ = archive(known.limit(0), good, before)
+    fresh = full.join(known.select("event_id"), "event_id", "left_anti").join(known.select("session_id", "seq"), ["session_id", "seq"], "left_anti")
+    rows = fresh.select(*known.columns, bucket(F.col("session_id")).alias("bucket")).repartition("bucket", F.pmod(F.xxhash64("event_id"), F.lit(SPLIT)))
+    return tables.commit(query, number, {"archive": rows, "sessions": moved.select("session_id", "archive_seq"), "dead": bad}, by={"archive": "bucket"})
+
+
+def session_archive_stream(events: DataFrame, stored: DataFrame, root: str, checkpoint: str, name: str) -> StreamingQuery:
+    """Archive and sessions, committed together under root, once for each batch of the query called name. stored: session_id, archive_seq of known sessions.
+
+    A batch that fails between its tables is seen in none of them, and is written anew when the query starts again.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        commit_batch(CommittedTables(batch.sparkSession, root), name, number, batch, stored)
+        batch.unpersist()
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Extension: events by type in tumbling windows of event time; works on streams and tables alike."""
     rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
