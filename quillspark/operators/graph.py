@@ -81,13 +81,71 @@ def relevant(edges: DataFrame, nodes: DataFrame, seeds: list[str], most: int = 2
     return chosen, edges.filter(inside)
 
 
+def _best_neighbours(edges: DataFrame, nodes: DataFrame, each: int) -> tuple[DataFrame, DataFrame]:
+    """(id, neighbour, degree, label, path): of each node the `each` neighbours first in rank, and the same of each path. No node gives more, however many neighbours it has."""
+    e = edges.select("caller", "callee").distinct()
+    both = e.select(F.col("caller").alias("id"), F.col("callee").alias("neighbour")).unionAll(e.select("callee", "caller")).distinct()
+    about = nodes.select(F.col("id").alias("neighbour"), "label", "path").join(degrees(edges).withColumnRenamed("id", "neighbour"), "neighbour", "left")
+    rows = both.join(about, "neighbour")
+    order = [F.desc("degree"), F.col("label"), F.col("neighbour")]
+    best = lambda *by: rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_r") <= each).drop("_r")
+    return best("id"), best("id", "path")
+
+
+def walks(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, most: int = 28, each: int = 4, levels: int = 2) -> DataFrame:
+    """(set_id, place, id): around each set of seeds the nodes of a breadth-first walk with a budget of `most`, for all sets at once.
+
+    seeds: set_id, place, id, from place 0 on; repeats count once, beyond the budget they are left out. From each node of a level its first
+    neighbours either way follow in order (those in a seed's path first, then by falling degree, label and id), as far as the budget goes.
+    nodes: id, label, path. A step takes at most most * each rows of a set.
+    """
+    first = seeds.groupBy("set_id", "id").agg(F.min("place").alias("place"))
+    by_place = Window.partitionBy("set_id").orderBy("place")
+    level = first.withColumn("place", F.row_number().over(by_place) - 1).filter(F.col("place") < most).select("set_id", "place", "id")
+    paths = level.join(nodes.select("id", "path"), "id").select("set_id", "path").distinct().withColumn("same", F.lit(0))
+    anywhere, in_path = _best_neighbours(edges, nodes, each)
+    chosen = level
+    for _ in range(levels):
+        at = level.select("set_id", F.col("place").alias("from"), "id")
+        near = at.join(in_path, "id").join(paths, ["set_id", "path"])
+        far = at.join(anywhere, "id").join(paths, ["set_id", "path"], "left")
+        both = near.select(*far.columns).unionAll(far).dropDuplicates(["set_id", "from", "neighbour"])
+        of_node = Window.partitionBy("set_id", "from").orderBy(F.coalesce("same", F.lit(1)), F.desc("degree"), "label", "neighbour")
+        ranked = both.withColumn("rank", F.row_number().over(of_node)).filter(F.col("rank") <= each)
+        new = ranked.groupBy("set_id", F.col("neighbour").alias("id")).agg(F.min(F.struct("from", "rank")).alias("at")).join(chosen.select("set_id", "id"), ["set_id", "id"], "left_anti")
+        have = chosen.groupBy("set_id").agg(F.count("*").alias("n"))
+        placed = new.join(have, "set_id").withColumn("place", F.col("n") - 1 + F.row_number().over(Window.partitionBy("set_id").orderBy("at")))
+        level = placed.filter(F.col("place") < most).select("set_id", F.col("place").cast("int").alias("place"), "id")
+        chosen = chosen.unionByName(level)
+    return chosen
+
+
+def walked_edges(edges: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(set_id, caller, callee): distinct edges both of whose ends a set's walk has."""
+    ids = chosen.select("id").distinct()
+    e = edges.select("caller", "callee").distinct()
+    e = e.join(ids.withColumnRenamed("id", "caller"), "caller", "left_semi").join(ids.withColumnRenamed("id", "callee"), "callee", "left_semi")
+    one, two = (chosen.select("set_id", F.col("id").alias(c)) for c in ("caller", "callee"))
+    return e.join(one, "caller").join(two, ["set_id", "callee"]).select("set_id", "caller", "callee")
+
+
+def without_templates(name: Column) -> Column:
+    """name without what stands between angle brackets, however deep these nest; a closing one without an opening one goes, too."""
+    step = lambda a, c: F.struct(
+        F.when(c == "<", a["depth"] + 1).when(c == ">", F.greatest(a["depth"] - 1, F.lit(0))).otherwise(a["depth"]).alias("depth"),
+        F.when(c.isin("<", ">") | (a["depth"] > 0), a["out"]).otherwise(F.concat(a["out"], c)).alias("out"),
+    )
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+    return F.aggregate(F.split(name, ""), start, step, lambda a: a["out"])
+
+
 def resolved(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     """calls (repo, caller, callee, path) with `target`, the node that a callee's name means, if one alone does.
 
     In order: a qualified name; a name's end, its last part in the same file, its last part anywhere — each only if one node of
     the file or one node at all bears it. nodes: id, repo, qualified, path.
     """
-    raw = F.trim(F.regexp_replace(F.regexp_replace(F.col("callee"), "<[^<>]*>", ""), "->", "."))
+    raw = F.trim(without_templates(F.replace("callee", F.lit("->"), F.lit("."))))
     scope = lambda sep: F.when(F.contains(F.col("caller"), F.lit(sep)), F.regexp_replace(F.col("caller"), f"{'[.]' if sep == '.' else sep}(?:(?!{'[.]' if sep == '.' else sep}).)*$", ""))
     own = F.when(raw.startswith("self."), F.concat(scope("."), F.lit("."), F.substring(raw, F.lit(6), F.length(raw))))
     this = F.when(raw.startswith("this."), F.concat(scope("::"), F.lit("::"), F.substring(raw, F.lit(6), F.length(raw))))

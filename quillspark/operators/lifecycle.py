@@ -15,8 +15,8 @@ BACKLOG, SESSION_TTL, SIGN_IN_TTL = 100_000, 7 * 86_400, 60
 
 
 def renamed(sessions: DataFrame, changes: DataFrame) -> DataFrame:
-    """sessions with the titles that their own users give them. changes: session_id, user_id, title; others change nothing."""
-    last = changes.groupBy("session_id", "user_id").agg(F.max("title").alias("_t"))
+    """sessions with the titles that their own users gave them last. changes: session_id, user_id, title, place; others change nothing, of one place the greatest title holds."""
+    last = changes.filter("title is not null").groupBy("session_id", "user_id").agg(F.max_by("title", F.struct("place", "title")).alias("_t"))
     rows = sessions.join(last, ["session_id", "user_id"], "left")
     return rows.withColumn("title", F.when(F.col("_t").isNotNull(), clean_title(F.col("_t"))).otherwise(F.col("title"))).select(*sessions.columns)
 
@@ -75,19 +75,6 @@ def replica(seq: Column, available: Column) -> Column:
     return F.when(F.size(available) > 0, F.get(available, F.pmod(seq, F.size(available)).cast("int")))
 
 
-def gated(events: DataFrame, order: str) -> DataFrame:
-    """events (kind enter, leave, commit_begin, commit_end) with active and queued requests and the generation after each.
-
-    While a commit runs requests queue; its end lets them all in and begins a new generation.
-    """
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one gate's own log is one sequence
-    n = lambda kind: F.sum(F.when(F.col("kind") == kind, 1).otherwise(0)).over(w)
-    rows = events.withColumn("generation", n("commit_end")).withColumn("_blocked", n("commit_begin") > n("commit_end")).withColumn("_in", n("enter")).withColumn("_out", n("leave"))
-    part = Window.partitionBy("generation", "_blocked").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    waiting = F.when(F.col("_blocked"), F.sum(F.when(F.col("kind") == "enter", 1).otherwise(0)).over(part)).otherwise(0)
-    return rows.withColumn("queued", waiting).withColumn("active", F.col("_in") - F.col("_out") - F.col("queued")).drop("_blocked", "_in", "_out")
-
-
 # ---- accounts
 
 

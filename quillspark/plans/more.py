@@ -8,16 +8,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import code, lexical, lifecycle, models, search
+from ..operators import code, graph, lifecycle, models, search
 from ..operators.collection import VectorCollection
 from ..operators.ingest import KEY, DocumentIndex
 from ..operators.stored import StoredIndex
 from ..operators.vector_cache import VectorCache
 from ..sources.files import table
-from ..sources.scratch import delete, fresh_dir, stored
+from ..sources.scratch import delete, drop, fresh_dir, stored
 from ..sources.snapshots import Snapshots
 from . import queries as Q
-from .oracles import _CODE, _FS, _HOME, _LISTS, _PEN, _STRIP, _V, ORACLES, _hits
+from .oracles import _CODE, _EDGES, _FS, _HOME, _LISTS, _PEN, _STRIP, _V, ORACLES, _hits
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -137,6 +137,37 @@ def collection_scroll(spark: SparkSession, d: str) -> DataFrame:
     return _of_collection(made, made.scroll(100, 256))
 
 
+# ---- walks
+
+_WALK = 12
+
+
+def _level(n: int) -> str:
+    """The nodes that level n adds: from each node of the level before its four first neighbours, those that are new, within the budget."""
+    before = " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(n))
+    return f"""
+        r{n} AS (SELECT set_id, place AS f, neighbour, row_number() OVER (PARTITION BY set_id, place ORDER BY CASE WHEN nb.path = home THEN 0 ELSE 1 END, degree DESC, label, neighbour) AS r
+                 FROM l{n - 1} JOIN nb ON nb.id = l{n - 1}.id JOIN (SELECT s_suppkey AS h, s_nationkey AS home FROM supplier) y ON h = set_id),
+        c{n} AS (SELECT set_id, neighbour AS id, min(f * 100 + r) AS o FROM r{n} WHERE r <= 4 GROUP BY set_id, neighbour),
+        l{n} AS (SELECT set_id, place, id FROM (SELECT set_id, id, (SELECT count(*) FROM ({before}) b WHERE b.set_id = c.set_id) + row_number() OVER (PARTITION BY set_id ORDER BY o) - 1 AS place
+                 FROM c{n} c WHERE (set_id, id) NOT IN (SELECT (set_id, id) FROM ({before}) z)) w WHERE place < {_WALK})"""
+
+
+@_query(f"""WITH {_EDGES}, d AS (SELECT DISTINCT caller, callee FROM e), bt AS (SELECT caller AS id, callee AS neighbour FROM d UNION SELECT callee, caller FROM d),
+    dg AS (SELECT id, count(*) AS degree FROM (SELECT caller AS id FROM d UNION ALL SELECT callee FROM d) x GROUP BY id),
+    nb AS (SELECT bt.id, neighbour, degree, s_name AS label, s_nationkey AS path FROM bt JOIN dg ON dg.id = neighbour JOIN supplier ON s_suppkey = neighbour),
+    l0 AS (SELECT s_suppkey AS set_id, 0 AS place, s_suppkey AS id FROM supplier), {_level(1)}, {_level(2)}
+    SELECT set_id, CAST(place AS INTEGER) AS place, id FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2) a""")
+def graph_walks(spark: SparkSession, d: str) -> DataFrame:
+    """A walk of at most 12 nodes around each supplier, all of them at once."""
+    s = table(spark, d, "supplier")
+    nodes = s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"), F.col("s_nationkey").cast("string").alias("path"))
+    edges = stored(Q._edges(spark, d))
+    out = stored(graph.walks(edges, nodes, s.select(F.col("s_suppkey").alias("set_id"), F.lit(0).alias("place"), F.col("s_suppkey").alias("id")), _WALK))
+    drop(edges)
+    return out
+
+
 # ---- code search
 
 _LEXICAL = f"lx AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY round(0.75 + s, 6) DESC, id) AS r FROM (SELECT id, round(greatest(0.0, CASE WHEN s > 0 THEN s + {_HOME.format(0.04)} ELSE 0.0 END - {_PEN}), 6) AS s FROM (SELECT *, {_FS} AS s FROM p) x) y WHERE s > 0) z WHERE r <= 30)"
@@ -263,7 +294,9 @@ def _asking(rows: DataFrame) -> DataFrame:
 @_query("SELECT o_orderkey AS session_id, o_custkey AS user_id, CASE WHEN o_orderkey % 5 = 0 AND o_custkey % 2 = 0 THEN 'New name' ELSE o_orderpriority END AS title FROM orders")
 def session_rename(spark: SparkSession, d: str) -> DataFrame:
     s = _sessions(spark, d)
-    return lifecycle.renamed(s, _asking(s.filter("session_id % 5 = 0")).withColumn("title", F.lit("  New \n name ")))
+    asked = _asking(s.filter("session_id % 5 = 0"))
+    first, last = (asked.withColumn("title", F.lit(t)).withColumn("place", F.lit(i)) for i, t in enumerate(("zebra", "  New \n name ")))
+    return lifecycle.renamed(s, last.unionByName(first))
 
 
 @_query("SELECT l_orderkey, l_linenumber FROM lineitem l WHERE NOT (l_orderkey % 7 = 0 AND EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_custkey % 2 = 0))")
