@@ -69,13 +69,14 @@ def text_hits(rows: DataFrame, score: Column) -> DataFrame:
     return rows.withColumn("_s", score).filter(F.col("_s") > 0).withColumn("score", F.round(F.lit(0.75) + F.col("_s"), 6)).drop("_s")
 
 
-def merged_hits(lists: list[DataFrame], key: str) -> DataFrame:
-    """The best score of each key over several lists (key, score, ord); ties by where a key came first."""
+def merged_hits(lists: list[DataFrame], by: str, key: str) -> DataFrame:
+    """(by, key, score, rank): of each question the best score of each key over several lists (by, key, score, ord); ties by where a key came first."""
     rows = None
     for i, df in enumerate(lists):
-        one = df.select(key, "score", F.struct(F.lit(i).alias("l"), F.col("ord").alias("o")).alias("_first"))
+        one = df.select(by, key, "score", F.struct(F.lit(i).alias("l"), F.col("ord").alias("o")).alias("_first"))
         rows = one if rows is None else rows.unionByName(one)
-    return rows.groupBy(key).agg(F.max("score").alias("score"), F.min("_first").alias("_first")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "_first"))).drop("_first")
+    best = rows.groupBy(by, key).agg(F.max("score").alias("score"), F.min("_first").alias("_first"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "_first"))).drop("_first")
 
 
 def ranked(hits: DataFrame, tokens: Column, by: str, k: int) -> DataFrame:

@@ -235,6 +235,38 @@ def retrieval_reranker_down(spark: SparkSession, d: str) -> DataFrame:
     return _retrieved(spark, d, 16, 5, rerank=True, reranker_healthy=False)
 
 
+@_query(f"""WITH {_V}, s AS (SELECT a.query_id, v.vec_id, v.label, round(list_inner_product(a.v, v.v), 6) AS score FROM a CROSS JOIN v),
+    l AS (SELECT query_id, vec_id, score, 0 AS l, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS o FROM s WHERE label IN (1, 3, 5)
+          UNION ALL SELECT query_id, vec_id, score, 1, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) FROM s),
+    m AS (SELECT query_id, vec_id, max(score) AS score, min(l * 1000 + o) AS f FROM l WHERE o <= 10 GROUP BY query_id, vec_id)
+    SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, f) AS INTEGER) AS rank FROM m""")
+def code_hits_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Hits in a few labels and hits anywhere as one list for each question."""
+    lists = [q(spark, d).withColumnRenamed("rank", "ord") for q in (Q.vector_filtered, Q.vector_topk)]
+    return code.merged_hits(lists, "query_id", "vec_id")
+
+
+@_query("SELECT doc_id, sha256(array_to_string(list_slice(string_split(text, chr(10)), doc_id % 3 + 1, doc_id % 3 + 10), chr(10))) AS snippet FROM documents")
+def snippets(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.sha2(search.snippet(F.col("text"), (F.col("doc_id") % 3 + 1).cast("int")), 256).alias("snippet"))
+
+
+@_query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN p_type ELSE p_brand END AS text FROM part")
+def string_literals(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("p_size") % 3
+    text = F.when(kind == 0, F.concat(F.lit('rb"'), "p_name", F.lit('"'))).when(kind == 1, F.concat(F.lit(' \'\'\''), "p_type", F.lit("\'\'\'"))).otherwise(F.concat(F.lit("'"), "p_brand", F.lit("'")))
+    return table(spark, d, "part").select("p_partkey", lifecycle.strip_literal(text).alias("text"))
+
+
+@_query("SELECT DISTINCT w.wanted, 'part:' || p.p_partkey AS id FROM part p JOIN (SELECT DISTINCT string_split(p_name, ' ')[-1] AS wanted FROM part) w ON string_split(p.p_name, ' ')[-1] = w.wanted")
+def graph_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes whose label ends in a wanted name: parts by the last words of all names."""
+    p = table(spark, d, "part")
+    label = F.replace("p_name", F.lit(" "), F.lit("."))
+    nodes = p.select(lifecycle.node_id(F.lit("part"), F.col("p_partkey").cast("string")).alias("id"), label.alias("label"), F.concat(F.lit("#"), F.col("p_partkey").cast("string")).alias("name"))
+    return graph.matching(nodes, p.select(F.element_at(F.split("p_name", " "), -1).alias("wanted")).distinct())
+
+
 @_query("SELECT p_partkey, 'repo/' || lower(replace(p_brand, '#', '_')) AS source, p_name || CASE WHEN p_size % 2 = 0 THEN chr(10) || chr(10) || p_type ELSE '' END || chr(10) || chr(10) || p_brand AS text FROM part")
 def code_results(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
