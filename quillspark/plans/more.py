@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import code, graph, lifecycle, models, search
+from ..operators import code, decisions, graph, lifecycle, models, search
 from ..operators.collection import VectorCollection
 from ..operators.ingest import KEY, DocumentIndex
 from ..operators.stored import StoredIndex
@@ -137,6 +137,40 @@ def collection_scroll(spark: SparkSession, d: str) -> DataFrame:
     return _of_collection(made, made.scroll(100, 256))
 
 
+# ---- routes by all steps
+
+
+def _counting_model():
+    """A stand-in for a caller's model: three counts of each text."""
+    return lambda texts, **_: [[float(len(t) % 97 + 1), float(t.count("e")), float(t.count(" "))] for t in texts]
+
+
+_COUNTS = "list_transform([length({0}) % 97 + 1, length({0}) - length(replace({0}, 'e', '')), length({0}) - length(replace({0}, ' ', ''))], lambda x: CAST(x AS DOUBLE))"
+_UNIT = "list_transform(x, lambda y: y / sqrt(list_inner_product(x, x)))"
+
+
+@_query(f"""WITH k AS ({ORACLES['keyword_route']}), t AS (SELECT conv_id, turn, {_COUNTS.format('text')} AS x FROM conversations WHERE role = 'user'),
+    o AS (SELECT conv_id, turn, {_UNIT} AS v FROM t JOIN k USING (conv_id, turn) WHERE route = 'fallback_rag'),
+    b AS (SELECT item_id % 2 AS kind, {_COUNTS.format('text')} AS x FROM benchmark), an AS (SELECT kind, {_UNIT} AS v FROM b),
+    s AS (SELECT conv_id, turn, max(CASE WHEN kind = 0 THEN round(list_inner_product(o.v, an.v), 6) END) AS r, max(CASE WHEN kind = 1 THEN round(list_inner_product(o.v, an.v), 6) END) AS d FROM o CROSS JOIN an GROUP BY conv_id, turn),
+    z AS (SELECT k.conv_id, k.turn, CASE WHEN k.route <> 'fallback_rag' THEN k.route WHEN r >= 0.9 AND round(r - d, 6) >= 0.0001 THEN 'embedding_rag' WHEN d >= 0.9 AND round(r - d, 6) <= -0.0001 THEN 'embedding_direct'
+          WHEN k.turn % 3 = 0 THEN 'llm_rag' WHEN k.turn % 3 = 1 THEN 'llm_direct' ELSE 'fallback_rag' END AS route FROM k LEFT JOIN s USING (conv_id, turn))
+    SELECT conv_id, turn, route, route NOT LIKE '%direct' AS use_rag FROM z""")
+def routed_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Users' turns by phrases, state, anchors (passages of the benchmark) and a model's replies, with vectors from a table of those that were encoded."""
+    cache = VectorCache(spark, fresh_dir(spark, "anchors"))
+    rows = table(spark, d, "conversations").filter("role = 'user'")
+    before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")).isNotNull()
+    reply = F.when(F.col("turn") % 3 == 0, '{"use_rag": true}').when(F.col("turn") % 3 == 1, '<answer>{"use_rag": false}</answer>')
+    asked = rows.select(F.struct("conv_id", "turn").alias("key"), F.col("text").alias("question"), "text", before.alias("used_rag"), before.alias("had_contexts"), reply.alias("reply"))
+    asked = asked.withColumn("key", F.concat_ws(":", "key.conv_id", "key.turn"))
+    anchors = table(spark, d, "benchmark").select(F.when(F.col("item_id") % 2 == 0, "rag").otherwise("direct").alias("kind"), "text")
+    found = stored(decisions.decided(asked, "key", anchors, cache, _counting_model, "counts", Q.DOMAIN, 0.9, 0.9, 0.0001))
+    delete(spark, cache.root)
+    part = lambda i: F.get(F.split("key", ":"), F.lit(i)).cast("long")
+    return found.select(part(0).alias("conv_id"), part(1).alias("turn"), "route", "use_rag")
+
+
 # ---- walks
 
 _WALK = 12

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import chunking, lexical
+from quillspark.operators import chunking, decisions, lexical
 from quillspark.operators.ingest import DocumentIndex
 from quillspark.operators.vector_cache import VectorCache
 from quillspark.sources.snapshots import Snapshots
@@ -167,3 +167,25 @@ def test_vectors_are_encoded_once(spark, tmp_path):
     assert {r["embedding"][1] for r in other.collect()} == {2.0} and len(calls.read_text()) == 6
     assert (cache.size("m", normalize=False), cache.size("m", task="retrieval.query", normalize=False), cache.size("m")) == (3, 3, 0)
     assert cache.encoded(rows.limit(0), "t", load, "m", normalize=False).count() == 0
+
+
+def test_routes_encode_anchors_and_questions_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.write_text("")
+
+    def load():
+        def model(texts, **options):
+            with open(calls, "a") as f:
+                f.writelines("x" for _ in texts)
+            return [[1.0, 0.0] if "doc" in t else [0.0, 1.0] if "joke" in t else [1.0, 1.0] for t in texts]
+
+        return model
+
+    cache = VectorCache(spark, str(tmp_path / "v"))
+    anchors = spark.createDataFrame([("rag", "find docs"), ("direct", "tell a joke")], "kind string, text string")
+    rows = [(1, "where is the doc for it", None), (2, "one joke for me", None), (3, "neither of them", '{"use_rag": true}'), (4, "neither of them", '{"use_rag": false}'), (5, "neither of them", None)]
+    asked = spark.createDataFrame([(i, t, t, False, False, r) for i, t, r in rows], "i int, question string, text string, used_rag boolean, had_contexts boolean, reply string")
+    for _ in range(2):
+        got = {r["i"]: r["route"] for r in decisions.decided(asked, "i", anchors, cache, load, "m", []).collect()}
+        assert got == {1: "embedding_rag", 2: "embedding_direct", 3: "llm_rag", 4: "llm_direct", 5: "fallback_rag"}
+        assert len(calls.read_text()) == 5  # two anchors, three distinct texts
