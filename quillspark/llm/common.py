@@ -42,11 +42,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: a short lineage that outlives lost executors."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it again: a short lineage that outlives lost executors. rows: most that go to a Python worker at once, as whole texts fill its memory and Spark's."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    name, before = "spark.sql.execution.arrow.maxRecordsPerBatch", None
+    if rows:
+        before = spark.conf.get(name)
+        spark.conf.set(name, rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        if rows:
+            spark.conf.set(name, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

@@ -42,6 +42,8 @@ SLICE = 1 << 20
 RUN, SORTED, RANGE = 8 << 20, 4 << 20, 16 << 20
 #: Most ids, and most bytes of spans, that are broadcast to spare texts a shuffle.
 SMALL, SMALL_BYTES = 500_000, 48 << 20
+#: Texts that go to a worker at once.
+AT_ONCE = 1000
 LARGE = (1 << 63) - 1
 _VALUE = mix(np.arange(256, dtype="uint64") * U(0x1000193) + U(77))
 
@@ -405,7 +407,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     ranges = max(1, -(-size // RANGE))
     runs = docs.select(F.col("key").alias("id"), "text").mapInArrow(tidy(_fingerprint_runs(ranges)), "part int, own boolean, docs binary, blob binary")
     shared = runs.repartitionById(ranges, F.col("part")).mapInArrow(tidy(_shared(ranges)), "slot int, blob binary")
-    held = cut(shared.repartitionById(ranges, F.col("slot")).mapInArrow(tidy(_by_document), "id long, least long, prints binary").withColumnRenamed("id", "key"))
+    held = cut(shared.repartitionById(ranges, F.col("slot")).mapInArrow(tidy(_by_document), "id long, least long, prints binary").withColumnRenamed("id", "key"), AT_ONCE)
     few = held.count() <= SMALL  # beyond this size both sides are shuffled
     some = held.select("key", "least")
     sized = docs.join(F.broadcast(some) if few else some, "key").groupBy("key").agg(F.min("least").alias("least"), F.sum(F.octet_length("text")).alias("b"))
@@ -420,7 +422,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     texts = docs.join(at, "key").select("bucket", "least", "key", "id", "tag", F.encode("text", "UTF-8").alias("raw"), F.lit(None).cast("binary").alias("prints"))
     notes = held.drop("least").join(at, "key").select("bucket", "least", "key", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("tag"), F.lit(None).cast("binary").alias("raw"), "prints")
     both = texts.unionByName(notes).repartitionById(ranges, F.col("bucket")).sortWithinPartitions("least", "key", F.col("prints").isNull())
-    settled = cut(both.select("key", "tag", "raw", "prints", "id").mapInArrow(tidy(_sorted_runs(ranges)), OUT))
+    settled = cut(both.select("key", "tag", "raw", "prints", "id").mapInArrow(tidy(_sorted_runs(ranges)), OUT), AT_ONCE)
     drop(held, place)
     more = settled.filter(F.col("part") >= 0).repartitionById(ranges, F.col("part")).mapInArrow(tidy(_merged), OUT)
     return settled.filter(F.col("part") < 0).unionByName(more).groupBy("key", "tag").agg(F.collect_list("blob").alias("spans"))
@@ -430,7 +432,7 @@ def cleaned(docs: DataFrame, keep: list[str]) -> DataFrame:
     """keep columns, `kept` (the bytes left), n_bytes, n_removed and n_spans of each document. docs: doc_id and text."""
     id_ = F.col("doc_id").cast("long")
     named = docs.withColumn("_key", F.xxhash64(F.lit(1), id_, "text")).withColumn("_tag", F.xxhash64("text"))
-    spans = cut(repeats(named.select(F.col("_key").alias("key"), id_.alias("id"), F.col("_tag").alias("tag"), "text")))
+    spans = cut(repeats(named.select(F.col("_key").alias("key"), id_.alias("id"), F.col("_tag").alias("tag"), "text")), AT_ONCE)
     some = spans.select(F.col("key").alias("_key"), F.col("tag").alias("_tag"), "spans")
     size = spans.agg(F.sum(F.aggregate("spans", F.lit(64), lambda a, x: a + F.octet_length(x))).alias("b")).first()["b"] or 0
     joined = named.join(F.broadcast(some) if size <= SMALL_BYTES else some, ["_key", "_tag"], "left")  # broadcast only after this check
