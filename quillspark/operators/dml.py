@@ -16,6 +16,15 @@ def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(rows.select(*keys), keys, "left_anti").select(*table.columns).unionByName(rows.select(*table.columns))
 
 
+def upsert_where(table: DataFrame, rows: DataFrame, keys: list[str], changes: dict[str, Column], where: Column) -> DataFrame:
+    """New keys are added; of a key that is there, `changes` are set where `where` holds. Both read the old values by name and the new ones as `new.<column>`; rows has a key once."""
+    new = rows.select(*keys, F.struct(*[F.col(c) for c in rows.columns]).alias("new"))
+    both = table.join(new, keys, "left")
+    hit = F.col("new").isNotNull() & F.coalesce(where, F.lit(False))
+    kept = both.select(*[F.when(hit, changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in table.columns])
+    return kept.unionByName(rows.join(table.select(*keys), keys, "left_anti").select(*table.columns))
+
+
 def insert_all_or_none(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Adds the batch, or fails as a whole on a key that repeats in it or exists."""
     twice = rows.groupBy(*keys).count().filter("count > 1").limit(1).count()

@@ -21,6 +21,11 @@ def confusion(cases: DataFrame, by: list[str]) -> DataFrame:
     return cases.groupBy(*by).agg(*out) if by else cases.agg(*out)
 
 
+def route_prefixes(routes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, prefix, n): how many decisions each step has made, by the part of the route before the last underscore."""
+    return routes.groupBy(*by, F.regexp_replace("route", "_[^_]*$", "").alias("prefix")).agg(F.count("*").alias("n"))
+
+
 def variants(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row of differences between two variants of one case set. Both: id, expected, predicted."""
     j = a.select("id", "expected", F.col("predicted").alias("pa")).join(b.select("id", F.col("predicted").alias("pb")), "id")

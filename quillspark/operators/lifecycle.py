@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import URL_NAMESPACE, clean_title, name_uuid, strip
+from ..sources.scratch import drop, stored
 
 #: Events that may wait before writes are refused, seconds that a session and a cached sign-in live.
 BACKLOG, SESSION_TTL, SIGN_IN_TTL = 100_000, 7 * 86_400, 60
@@ -14,6 +15,18 @@ BACKLOG, SESSION_TTL, SIGN_IN_TTL = 100_000, 7 * 86_400, 60
 # ---- sessions
 
 
+def created(sessions: DataFrame, wanted: DataFrame, at: Column, title: str = "New chat") -> DataFrame:
+    """sessions (session_id, user_id, title, created_at, updated_at) with new ones of the wanted ids (session_id, user_id); an id that is there, or has no user, makes none."""
+    fresh = wanted.filter("session_id is not null and user_id is not null").groupBy("session_id").agg(F.min("user_id").alias("user_id"))
+    rows = fresh.join(sessions.select("session_id"), "session_id", "left_anti").withColumns({"title": F.lit(title), "created_at": at, "updated_at": at})
+    return sessions.unionByName(rows.select(*sessions.columns))
+
+
+def owned(sessions: DataFrame, asked: DataFrame) -> DataFrame:
+    """The asked sessions (session_id, user_id) that are their askers' own; others' are not told from missing ones."""
+    return sessions.join(asked.select("session_id", "user_id").distinct(), ["session_id", "user_id"], "left_semi").select(*sessions.columns)
+
+
 def renamed(sessions: DataFrame, changes: DataFrame) -> DataFrame:
     """sessions with the titles that their own users gave them last. changes: session_id, user_id, title, place; others change nothing, of one place the greatest title holds."""
     last = changes.filter("title is not null").groupBy("session_id", "user_id").agg(F.max_by("title", F.struct("place", "title")).alias("_t"))
@@ -154,6 +167,38 @@ def signature_number(parts: list[Column]) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 12), 16, 10).cast("long")
 
 
+#: Names at a root that make it a repository.
+MARKERS = [".git", "pyproject.toml", "setup.py", "CMakeLists.txt", "package.json", "go.mod", "Cargo.toml"]
+
+
+def discovered(files: DataFrame, root: str, explicit: str | None = None) -> DataFrame:
+    """(place, repository): the repositories among files (path, relative to the root, and language, null for what is no code).
+
+    An explicit folder is one repository. A root with a marker, or with code of its own, is one. Otherwise each folder below it that
+    is not hidden and holds code outside hidden folders is one, in order of their names whatever the case; without any the root is one.
+    """
+    spark = files.sparkSession
+    alone = lambda name: spark.createDataFrame([(1, name)], "place int, repository string")
+    if explicit is not None:
+        return alone(explicit)
+    first, deep = F.substring_index("path", "/", 1), F.contains("path", F.lit("/"))
+    if not files.filter(first.isin(MARKERS) | (~deep & F.col("language").isNotNull())).isEmpty():
+        return alone(root)
+    shown = files.filter(deep & F.col("language").isNotNull() & ~F.col("path").rlike(r"(^|/)\."))
+    names = shown.select(first.alias("repository")).distinct()
+    if names.isEmpty():
+        return alone(root)
+    rows = names.withColumn("_k", F.lower("repository")).repartitionByRange("_k", "repository").sortWithinPartitions("_k", "repository")
+    numbered = stored(rows.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("_k", "repository"))))
+    starts, n = [], 0
+    for r in numbered.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect():  # a row for each task
+        starts.append((r["_p"], n))
+        n += r["n"]
+    out = stored(numbered.join(spark.createDataFrame(starts, "_p int, _b long"), "_p").select((F.col("_i") + F.col("_b")).cast("int").alias("place"), "repository"))
+    drop(numbered)
+    return out
+
+
 def repositories(paths: DataFrame, fallback: str) -> DataFrame:
     """(repository, n): repositories below a root by the first part of the relative paths of code files; hidden ones go, files at the root belong to the fallback."""
     first = F.when(F.contains("path", F.lit("/")), F.substring_index("path", "/", 1)).otherwise(F.lit(fallback))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip, token_estimate
+from ..functions.text import strip, token_estimate, trim_text
 
 
 def backfilled(messages: DataFrame, session: str, order: str, seq: str) -> DataFrame:
@@ -26,6 +26,17 @@ def recent(messages: DataFrame, n: int) -> DataFrame:
     return messages.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
+def search_queries(messages: DataFrame, questions: DataFrame, n: int = 2, limit: int = 3000) -> DataFrame:
+    """(conv_id, search_query): the last n messages of the user and the question, a line each, of which the end stays within the limit.
+
+    messages: as clean_history gives them; questions: conv_id, question, one each; a conversation without messages has its question alone.
+    """
+    two = recent(messages.filter("role = 'user'"), n).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "content"))).alias("m"))
+    lines = F.coalesce(F.transform("m", lambda x: x["content"]), F.array().cast("array<string>"))
+    every = F.array_join(F.concat(lines, F.array(strip(F.coalesce("question", F.lit(""))))), "\n")
+    return questions.join(two, "conv_id", "left").select("conv_id", trim_text(every, limit, "tail").alias("search_query"))
+
+
 def formatted(messages: DataFrame) -> DataFrame:
     """(conv_id, history): 'ROLE: content' in order, parted by blank lines."""
     line = F.concat(F.upper("role"), F.lit(": "), F.col("content"))

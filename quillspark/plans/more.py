@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import code, decisions, graph, lifecycle, models, search
+from ..operators import code, decisions, dml, evaluation, graph, lifecycle, models, search, sessions
 from ..operators.collection import VectorCollection
 from ..operators.ingest import KEY, DocumentIndex
 from ..operators.stored import StoredIndex
@@ -171,6 +171,53 @@ def routed_questions(spark: SparkSession, d: str) -> DataFrame:
     return found.select(part(0).alias("conv_id"), part(1).alias("turn"), "route", "use_rag")
 
 
+# ---- sessions, accounts and counts that changes touch
+
+
+@_query(ORACLES["last_user_two"].replace("SELECT conv_id, CASE WHEN length(q) <= 300", "SELECT conv_id, CASE WHEN length(q) <= 3000").replace("right(q, 300)", "right(q, 3000)").replace(
+    "string_agg(content, chr(10) ORDER BY turn)", "string_agg(content, chr(10) ORDER BY turn) || chr(10) || 'and ' || min(conv_id) || ' then?'"))
+def search_queries(spark: SparkSession, d: str) -> DataFrame:
+    """The last two messages of each user who has any, with a question after them."""
+    h = Q._history(spark, d)
+    asked = h.filter("role = 'user'").select("conv_id").distinct().withColumn("question", F.concat(F.lit(" and "), F.col("conv_id").cast("string"), F.lit(" then? ")))
+    return sessions.search_queries(h, asked)
+
+
+@_query(f"SELECT regexp_replace(route, '_[^_]*$', '') AS prefix, count(*) AS n FROM ({ORACLES['keyword_route']}) k GROUP BY 1")
+def route_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.route_prefixes(Q.keyword_route(spark, d), [])
+
+
+@_query("""SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 AND c_mktsegment = 'BUILDING' THEN CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal + 10 END ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 7 <> 0
+    UNION ALL SELECT c_custkey, 'new', c_acctbal + 10, 'ADDED' FROM customer WHERE c_custkey % 7 = 0 AND c_custkey % 3 = 0""")
+def upsert_conditional(spark: SparkSession, d: str) -> DataFrame:
+    """Balances change where the segment allows it; what was below zero becomes zero; unknown customers are added."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    rows = c.filter("c_custkey % 3 = 0").select("c_custkey", F.lit("new").alias("c_name"), (F.col("c_acctbal") + 10).alias("c_acctbal"), F.lit("ADDED").alias("c_mktsegment"))
+    balance = F.when(F.col("c_acctbal") < 0, 0.0).otherwise(F.col("new.c_acctbal"))
+    return dml.upsert_where(c.filter("c_custkey % 7 <> 0"), rows, ["c_custkey"], {"c_acctbal": balance}, F.col("c_mktsegment") == "BUILDING")
+
+
+@_query("""WITH s AS (SELECT o_orderkey AS session_id, o_custkey AS user_id, o_orderpriority AS title, o_orderdate AS created_at, o_orderdate AS updated_at FROM orders WHERE o_orderkey % 3 <> 0
+    UNION ALL SELECT o_orderkey, min(l_suppkey), 'New chat', TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-01' FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 3 = 0 GROUP BY o_orderkey)
+    SELECT session_id, user_id, title, CAST(created_at AS VARCHAR) AS created_at FROM s WHERE (session_id, user_id) IN (SELECT (l_orderkey, l_suppkey) FROM lineitem)""")
+def session_create_get(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers open sessions for their orders where there is none, then ask for all orders of theirs."""
+    o = table(spark, d, "orders").filter("o_orderkey % 3 <> 0")
+    s = o.select(F.col("o_orderkey").alias("session_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("title"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("updated_at"))
+    asked = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_suppkey").alias("user_id"))
+    own = lifecycle.owned(lifecycle.created(s, asked, F.lit("2024-01-01").cast("timestamp_ntz")), asked)
+    return own.select("session_id", "user_id", "title", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+@_query("SELECT CAST(row_number() OVER (ORDER BY lower(r), r) AS INTEGER) AS place, r AS repository FROM (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN upper(source) ELSE source END AS r FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 5 <> 0) x")
+def repositories_below(spark: SparkSession, d: str) -> DataFrame:
+    """Folders below a root that hold code, hidden ones and those of texts aside."""
+    name = F.when(F.col("doc_id") % 2 == 0, F.upper("source")).otherwise(F.col("source"))
+    path = F.concat(name, F.when(F.col("doc_id") % 11 == 0, "/.cache/").otherwise("/src/"), F.col("doc_id").cast("string"))
+    return lifecycle.discovered(table(spark, d, "documents").select(path.alias("path"), F.when(F.col("doc_id") % 5 != 0, "python").alias("language")), "root")
+
+
 # ---- walks
 
 _WALK = 12

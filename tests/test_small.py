@@ -7,7 +7,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import chunking, graph, lifecycle, search
+from quillspark.operators import chunking, graph, lifecycle, search, sessions
 
 
 def one(spark, column):
@@ -68,3 +68,29 @@ def test_vectors_of_points_and_tables(spark):
     assert search.missing_tables(["a", "b"], ["a"]) == ["a"]
     with pytest.raises(LookupError, match="missing: c, d"):
         search.missing_tables(["a"], ["d", "a", "c"])
+
+
+@pytest.mark.parametrize(
+    ("files", "explicit", "want"),
+    [
+        ([("a/x.py", "python")], "mine", ["mine"]),
+        ([("go.mod", None), ("a/x.py", "python")], None, ["root"]),
+        ([(".git/HEAD", None), ("a/x.py", "python")], None, ["root"]),
+        ([("x.cc", "cpp"), ("a/x.py", "python")], None, ["root"]),
+        ([("b/src/x.py", "python"), ("A/x.cc", "cpp"), ("c/.venv/x.py", "python"), (".d/x.py", "python"), ("e/readme.md", None)], None, ["A", "b"]),
+        ([("a/readme.md", None)], None, ["root"]),
+        ([], None, ["root"]),
+    ],
+)
+def test_discovery(spark, files, explicit, want):
+    found = lifecycle.discovered(spark.createDataFrame(files, "path string, language string"), "root", explicit)
+    assert [r["repository"] for r in found.orderBy("place").collect()] == want
+    assert [r["place"] for r in found.orderBy("place").collect()] == list(range(1, len(want) + 1))
+
+
+def test_search_query_keeps_its_end(spark):
+    m = spark.createDataFrame([(1, 0, "user", "x" * 50), (1, 2, "user", "second"), (1, 1, "assistant", "no"), (1, 3, "user", "third")], "conv_id int, turn int, role string, content string")
+    q = spark.createDataFrame([(1, " now? "), (2, "alone"), (3, None)], "conv_id int, question string")
+    got = {r["conv_id"]: r["search_query"] for r in sessions.search_queries(m, q).collect()}
+    assert got == {1: "second\nthird\nnow?", 2: "alone", 3: ""}
+    assert {r["search_query"] for r in sessions.search_queries(m, q.filter("conv_id = 1"), n=3, limit=30).collect()} == {"x" * 12 + "\nsecond\nthird\nnow?"}
