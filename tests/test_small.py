@@ -38,8 +38,12 @@ def test_templates(spark, name, want):
 
 
 def test_dividers():
-    assert chunking.divides("| --- | :---: |") and chunking.divides("---|---:")
-    assert not any(map(chunking.divides, ("| - | - |", "| -- | --- |", "| --- |", "| :: | --- |", "| --- | a |")))
+    """One dash makes a table; only a table with three in each cell is cut by its rows, another one by its words."""
+    cut = lambda line: chunking.divides(line, chunking.DASHES)
+    assert cut("| --- | :---: |") and cut("---|---:")
+    assert not any(map(cut, ("| - | - |", "| -- | --- |", "| --- |", "| :: | --- |", "| --- | a |"))) and chunking.divides("| - | :-: |")
+    chunks = lambda line: chunking.Chunker(chunking.char_tokenizer(), 30, 30, 0, 0).chunks(f"| a | b |\n{line}\n" + "| one | two |\n" * 6)
+    assert all(c["text"].startswith("| a | b |\n| --- | --- |") for c in chunks("| --- | --- |")[:1]) and not chunks("| - | - |")[1]["text"].startswith("| a | b |")
 
 
 def test_the_last_title_holds(spark):
