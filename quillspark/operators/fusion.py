@@ -42,3 +42,24 @@ def reranked(candidates: DataFrame, scorer: Column, k: int, batch: int = 64) ->
     rows = candidates.withColumn("batch", F.floor((F.col("rank") - 1) / batch).cast("int")).withColumn("rerank_score", F.round(scorer, 9))
     w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
     return rows.withColumn("new_rank", F.row_number().over(w)).filter(F.col("new_rank") <= max(1, k))
+
+
+def from_replies(candidates: DataFrame, replies: DataFrame, k: int, batch: int = 64) -> DataFrame:
+    """Candidates as a model's replies order them, with rerank_score and new_rank; the k first of each question.
+
+    candidates: query_id, rank from 1 on without gaps; replies: query_id, batch (which `batch` candidates it is about, from 0 on), results, an
+    array of (index in the batch, relevance_score). A question with one batch keeps the order of its reply; of several, scores decide, ties as
+    they came. An index beyond the question's candidates, or a result without index or score, is an error; what a reply leaves out is left out.
+    """
+    n = Window.partitionBy("query_id")
+    rows = candidates.withColumn("_n", F.count("*").over(n))
+    told = replies.select("query_id", "batch", F.posexplode("results").alias("_pos", "_r")).withColumn("_at", F.col("_r.index") + F.col("batch") * batch)
+    sizes = rows.groupBy("query_id").agg(F.max("_n").alias("_size"))
+    told = told.join(sizes, "query_id", "left")
+    broken = F.col("_r.index").isNull() | F.col("_r.relevance_score").isNull()
+    beyond = (F.col("_at") < 0) | F.col("_size").isNull() | (F.col("_at") >= F.col("_size"))
+    rank = F.when(broken, F.raise_error(F.lit("a result has no index or score"))).when(beyond, F.raise_error(F.lit("a result's index is out of range"))).otherwise(F.col("_at") + 1).cast("int")
+    told = told.select("query_id", rank.alias("rank"), F.col("_r.relevance_score").alias("rerank_score"), F.col("batch").alias("_b"), "_pos")
+    order = Window.partitionBy("query_id").orderBy(F.when(F.col("_n") > batch, -F.col("rerank_score")), "_b", "_pos")
+    found = rows.join(told, ["query_id", "rank"]).withColumn("new_rank", F.row_number().over(order))
+    return found.filter(F.col("new_rank") <= max(1, k)).drop("_n", "_b", "_pos")

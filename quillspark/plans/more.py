@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import code, decisions, dml, evaluation, graph, lifecycle, models, search, sessions
+from ..operators import code, decisions, dml, evaluation, fusion, graph, lifecycle, models, search, sessions
 from ..operators.collection import VectorCollection
 from ..operators.ingest import KEY, DocumentIndex
 from ..operators.stored import StoredIndex
@@ -218,6 +218,20 @@ def repositories_below(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.discovered(table(spark, d, "documents").select(path.alias("path"), F.when(F.col("doc_id") % 5 != 0, "python").alias("language")), "root")
 
 
+@_query("""WITH c AS (SELECT l_orderkey AS query_id, l_partkey AS id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INTEGER) AS rank, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+    s AS (SELECT *, (id * 37 + rank) % 11 / 10.0 AS score FROM c),
+    z AS (SELECT query_id, id, rank, score, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n > 4 THEN -score END, (rank - 1) // 4, -rank) AS new_rank FROM s)
+    SELECT query_id, id, CAST(new_rank AS INTEGER) AS new_rank, CAST(score AS DOUBLE) AS rerank_score FROM z WHERE new_rank <= 3""")
+def rerank_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of orders as candidates, four to a call; each reply names them from the last to the first."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    c = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("id"), F.row_number().over(w).alias("rank"))
+    result = F.struct(((F.col("rank") - 1) % 4).alias("index"), ((F.col("id") * 37 + F.col("rank")) % 11 / 10.0).cast("double").alias("relevance_score"))
+    batch = F.floor((F.col("rank") - 1) / 4).cast("int").alias("batch")
+    replies = c.groupBy("query_id", batch).agg(F.sort_array(F.collect_list(result), asc=False).alias("results"))
+    return fusion.from_replies(c, replies, 3, 4).select("query_id", "id", "new_rank", "rerank_score")
+
+
 # ---- walks
 
 _WALK = 12

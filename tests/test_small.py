@@ -7,7 +7,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import chunking, graph, lifecycle, search, sessions
+from quillspark.operators import chunking, fusion, graph, lifecycle, search, sessions
 
 
 def one(spark, column):
@@ -98,3 +98,15 @@ def test_search_query_keeps_its_end(spark):
     got = {r["conv_id"]: r["search_query"] for r in sessions.search_queries(m, q).collect()}
     assert got == {1: "second\nthird\nnow?", 2: "alone", 3: ""}
     assert {r["search_query"] for r in sessions.search_queries(m, q.filter("conv_id = 1"), n=3, limit=30).collect()} == {"x" * 12 + "\nsecond\nthird\nnow?"}
+
+
+def test_replies_that_are_wrong(spark):
+    c = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "d")], "query_id int, rank int, id string")
+    reply = lambda *rows: spark.createDataFrame(list(rows), "query_id int, batch int, results array<struct<index: int, relevance_score: double>>")
+    got = lambda r, k=9: [x["id"] for x in fusion.from_replies(c, r, k, 2).orderBy("query_id", "new_rank").collect()]
+    good = reply((1, 0, [(1, 0.2), (0, 0.9)]), (1, 1, [(0, 0.9)]), (2, 0, [(0, 0.1)]))
+    assert got(good) == ["a", "c", "b", "d"] and got(good, 0) == ["a", "d"]
+    assert got(reply((1, 0, [(1, 0.2)]))) == ["b"]
+    for bad, why in (((1, 1, [(1, 0.5)]), "out of range"), ((1, 0, [(-1, 0.5)]), "out of range"), ((9, 0, [(0, 0.5)]), "out of range"), ((1, 0, [(None, 0.5)]), "no index"), ((1, 0, [(0, None)]), "no index")):
+        with pytest.raises(Exception, match=why):
+            fusion.from_replies(c, reply(bad), 9, 2).collect()
