@@ -615,3 +615,12 @@ def embedded_texts(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     v = F.col("embedding")
     return models.encoded(docs, "text", _letters, task="retrieval.passage").select("doc_id", F.round(v[0], 6).alias("x"), F.round(v[1], 6).alias("y"))
+
+
+# ---- SQL of queries in other modules
+
+SQL["health_status"] = f"SELECT user_id, CASE WHEN arg_max(degraded, event_id) THEN 'degraded' ELSE 'healthy' END AS status FROM ({ORACLES['health_hysteresis']}) h GROUP BY user_id"
+SQL["request_batches"] = """WITH RECURSIVE e AS (SELECT event_type, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS rn FROM events),
+    x AS (SELECT event_type, rn, least(rn + 16, 1 + max(rn) OVER (PARTITION BY event_type ORDER BY sec RANGE BETWEEN CURRENT ROW AND 3600 FOLLOWING)) AS following FROM e),
+    b AS (SELECT event_type, rn, following FROM x WHERE rn = 1 UNION ALL SELECT x.event_type, x.rn, x.following FROM b JOIN x ON x.event_type = b.event_type AND x.rn = b.following)
+    SELECT event_type, count(*) AS batches, max(following - rn) AS largest, CAST(sum(following - rn) AS BIGINT) AS requests FROM b GROUP BY event_type"""
