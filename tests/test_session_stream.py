@@ -1,12 +1,14 @@
 """The session store as a stream, against the batch operators and its own rules."""
 
 import json
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import sessions
+from quillspark.streaming.health import health_stream
 from quillspark.streaming.sessions import COMMAND, STORED, session_stream
 
 NAMES = [c.split()[0] for c in COMMAND.split(", ")]
@@ -86,3 +88,21 @@ def test_appends_as_the_batch_operator_has_them(few, tmp_path):
     batch = sessions.appended(few.createDataFrame(rows, "session_id long, place long, event_id string, question string, answer string"), few.createDataFrame([], "session_id long, last_seq long"))
     names = [c for c in ("session_id", "seq", "role", "content") if c in batch.columns]
     assert sorted(tuple(r[c] for c in names) for r in got) == sorted(map(tuple, batch.select(*names).collect())) and len(names) == 4
+
+
+def test_health_as_the_batch_operator_has_it(few, tmp_path):
+    r = random.Random(6)
+    probes = [(f"c{c}", i, r.choice([True, True, False, None])) for c in range(4) for i in range(30)] + [("c9", 0, False), ("c9", 1, False), ("c9", 2, True), ("c9", 3, True)]
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    for n in range(3):  # three micro-batches, of ten probes each
+        with open(src / f"{n}.json", "w") as f:
+            f.writelines(json.dumps({"component": c, "place": i, "ok": ok}) + "\n" for c, i, ok in probes if i // 10 == n)
+        rows = health_stream(few.readStream.schema("component string, place long, ok boolean").json(str(src)))
+        q = rows.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(out)
+        assert q.awaitTermination(120)
+    got = few.read.parquet(out)
+    batch = sessions.hysteresis(few.createDataFrame(probes, "component string, place long, ok boolean"), "component", ["place"])
+    names = ["component", "place", "degraded"]
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(map(tuple, batch.select(names).collect()))
+    assert [(x["place"], x["degraded"]) for x in got.filter("component = 'c9' and changed").orderBy("place").collect()] == [(1, True), (3, False)]
