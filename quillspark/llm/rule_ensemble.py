@@ -6,7 +6,8 @@ so that scoring any number of documents needs built-in functions only.
 
 Fitting uses at most `SAMPLE` labelled documents, those of least hashed doc_id. Without labels of both kinds every score
 is 0.5. Null texts count as empty ones and are scored like them. Several labels of one doc_id: the least quality
-holds. Labels of unknown documents and null labels play no part. An empty table gives no rows.
+holds. Labels of unknown documents and null labels play no part. Equal texts get equal scores. Other columns are never read and
+go along whatever their names where documents are filtered. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ estimates how often each rule is right where it votes, and a document is kept by
 good, not by passing every rule. Documents enter the estimate as counts of
 vote patterns, of which there are at most 3 to the number of rules.
 
-Null and empty texts have no words and fail the base rules. Equal rows are counted singly. An empty table gives no rows.
+Null and empty texts have no words and fail the base rules. Equal rows are counted singly and fare alike; a posterior of just the
+threshold keeps. Only doc_id and text are read, so other columns, whatever their names, play no part. An empty table gives no rows.
 Only DataFrame operations touch documents.
 """
 
