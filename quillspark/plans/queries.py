@@ -76,10 +76,11 @@ def vector_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rescore_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted vectors bring their order along, so that pairs (questions times vectors) are joined with nothing and not shuffled."""
     rows = _vectors(spark, d)
     want = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("vec_id")).agg(F.min("o_orderkey").alias("ord"))
-    scored = vectors.nearest(rows.join(want.select("vec_id"), "vec_id", "left_semi").select("vec_id", "v"), _asked(rows))
-    return scored.join(want, "vec_id").select("query_id", "ord", "vec_id", "score")
+    known = rows.join(want, "vec_id").select(F.struct("ord", "vec_id").alias("vec_id"), "v")
+    return vectors.nearest(known, _asked(rows)).select("query_id", "vec_id.ord", "vec_id.vec_id", "score")
 
 
 def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

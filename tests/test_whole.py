@@ -78,3 +78,18 @@ def test_anchor_route_takes_whole_labels(spark, tmp_path):
     got = {r["vec_id"]: (r["rag_score"], r["direct_score"], r["route"]) for r in registry.QUERIES["anchor_route"](spark, str(tmp_path)).collect()}
     assert {k: v[2] for k, v in got.items()} == {k: v[2] for k, v in want.items()}
     assert all(got[k][:2] == pytest.approx(want[k][:2], abs=2e-6) for k in want)
+
+
+def test_rescored_pairs_are_not_joined(spark, tmp_path):
+    """Orders join vectors, not pairs; a customer whose orders have no key, a vector without customer, a null vector and a customer without vector."""
+    given = [(i, [1.0, i / 100]) for i in range(203)] + [(300, None)]
+    spark.createDataFrame(given, "vec_id long, embedding array<double>").selectExpr("*", "0 AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    orders = [(7, 1), (3, 1), (None, 2), (9, 100), (5, 300), (6, 999)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    unit = lambda i: [x / math.hypot(1, i / 100) for x in (1.0, i / 100)]
+    want = {(q, k, v): sum(x * y for x, y in zip(unit(q), unit(v), strict=True)) for q in (0, 100, 200) for v, k in ((1, 3), (2, None), (100, 9))}
+    out = registry.QUERIES["rescore_by_id"](spark, str(tmp_path))
+    got = {(r["query_id"], r["ord"], r["vec_id"]): r["score"] for r in out.collect()}
+    assert out.columns == ["query_id", "ord", "vec_id", "score"] and got == pytest.approx(want, abs=2e-6)
+    above = out._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    assert "Join" not in above
