@@ -44,19 +44,36 @@ def chain(edges: DataFrame, roots: DataFrame, depth: int) -> tuple[DataFrame, Da
     return seen, walked
 
 
+def pairs(edges: DataFrame) -> DataFrame:
+    """(low, high, ways): nodes that an edge joins, once for each two of them; ways: 1 if low calls high, 2 if high calls low, 3 for both. What has ways stays as it is."""
+    if "ways" in edges.columns:
+        return edges
+    up = F.col("caller").isNull() | (F.col("caller") <= F.col("callee"))
+    ends = F.when(up, F.col("caller")).otherwise(F.col("callee")), F.when(up, F.col("callee")).otherwise(F.col("caller"))
+    way = F.when(up, 1).otherwise(2).cast("tinyint")
+    return edges.select(ends[0].alias("low"), ends[1].alias("high"), way.alias("way")).groupBy("low", "high").agg(F.bit_or("way").alias("ways"))
+
+
+def _either_way(p: DataFrame) -> DataFrame:
+    """(id, neighbour), distinct as pairs are."""
+    end = lambda a, b: F.struct(F.col(a).alias("id"), F.col(b).alias("neighbour"))
+    both = F.when(F.col("low") == F.col("high"), F.array(end("low", "high"))).otherwise(F.array(end("low", "high"), end("high", "low")))
+    return p.select(F.inline(both))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
-    e = edges.select("caller", "callee").distinct()
-    return e.select(F.col("caller").alias("id")).unionAll(e.select("callee")).groupBy("id").agg(F.count("*").alias("degree"))
+    """(id, degree): distinct edges from and to each node. edges: (caller, callee), or their pairs."""
+    p = pairs(edges).select(F.explode(F.array("low", "high")).alias("id"), F.bit_count("ways").alias("n"))
+    return p.groupBy("id").agg(F.sum("n").alias("degree"))
 
 
 def ranked_neighbours(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, limit: int = 4) -> DataFrame:
-    """(id, neighbour, rank): neighbours either way, those in a seed's path first, then by falling degree and label."""
-    e = edges.select("caller", "callee").distinct()
-    both = e.select(F.col("caller").alias("id"), F.col("callee").alias("neighbour")).unionAll(e.select("callee", "caller")).distinct()
+    """(id, neighbour, rank): neighbours either way, those in a seed's path first, then by falling degree and label. edges: (caller, callee), or their pairs."""
+    both = _either_way(pairs(edges))
     paths = nodes.join(seeds.select("id"), "id", "left_semi").select("path").distinct().withColumn("same", F.lit(0))
     about = nodes.select(F.col("id").alias("neighbour"), "label", "path").join(paths, "path", "left").join(degrees(edges).withColumnRenamed("id", "neighbour"), "neighbour", "left")
     w = Window.partitionBy("id").orderBy(F.coalesce("same", F.lit(1)), F.desc("degree"), "label")
-    return both.join(about, "neighbour").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("id", "neighbour", "rank")
+    return both.join(about.drop("path"), "neighbour").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("id", "neighbour", "rank")
 
 
 def relevant(edges: DataFrame, nodes: DataFrame, seeds: list[str], most: int = 28, each: int = 4) -> tuple[list[str], DataFrame]:
@@ -83,8 +100,7 @@ def relevant(edges: DataFrame, nodes: DataFrame, seeds: list[str], most: int = 2
 
 def _best_neighbours(edges: DataFrame, nodes: DataFrame, each: int) -> tuple[DataFrame, DataFrame]:
     """(id, neighbour, degree, label, path): of each node the `each` neighbours first in rank, and the same of each path. No node gives more, however many neighbours it has."""
-    e = edges.select("caller", "callee").distinct()
-    both = e.select(F.col("caller").alias("id"), F.col("callee").alias("neighbour")).unionAll(e.select("callee", "caller")).distinct()
+    both = _either_way(pairs(edges))
     about = nodes.select(F.col("id").alias("neighbour"), "label", "path").join(degrees(edges).withColumnRenamed("id", "neighbour"), "neighbour", "left")
     rows = both.join(about, "neighbour")
     order = [F.desc("degree"), F.col("label"), F.col("neighbour")]
@@ -97,7 +113,7 @@ def walks(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, most: int = 28,
 
     seeds: set_id, place, id, from place 0 on; repeats count once, beyond the budget they are left out. From each node of a level its first
     neighbours either way follow in order (those in a seed's path first, then by falling degree, label and id), as far as the budget goes.
-    nodes: id, label, path. A step takes at most most * each rows of a set.
+    nodes: id, label, path; edges: (caller, callee), or their pairs. A step takes at most most * each rows of a set.
     """
     first = seeds.groupBy("set_id", "id").agg(F.min("place").alias("place"))
     by_place = Window.partitionBy("set_id").orderBy("place")

@@ -9,7 +9,7 @@ from ..functions import misc as M
 from ..functions import text as T
 from ..operators import accounts, chunking, code, dml, evaluation, fusion, graph, lexical, postings, routing, sessions, vectors, versions
 from ..sources.files import table
-from ..sources.scratch import drop, spread, stored
+from ..sources.scratch import dealt, drop, spread, stored
 from ..streaming.archive import windowed_counts
 
 ASKED = 10
@@ -393,10 +393,10 @@ def code_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers of one order as a call graph: each line item calls the next of its order."""
+    """Suppliers of one order as a call graph: each line item calls the next of its order. Many orders are dealt finer, as a task sorts whole lines."""
     l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")  # noqa: E741
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")
-    return l.select(F.col("l_suppkey").alias("caller"), F.lead("l_suppkey").over(w).alias("callee"), "l_linenumber").filter("callee is not null")
+    return dealt(l, l.count(), "l_orderkey").select(F.col("l_suppkey").alias("caller"), F.lead("l_suppkey").over(w).alias("callee"), "l_linenumber").filter("callee is not null")
 
 
 def call_chain(spark: SparkSession, d: str) -> DataFrame:
@@ -409,7 +409,11 @@ def callers(spark: SparkSession, d: str) -> DataFrame:
 
 def neighbours(spark: SparkSession, d: str) -> DataFrame:
     nodes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"), F.col("s_nationkey").cast("string").alias("path"))
-    return graph.ranked_neighbours(_edges(spark, d), nodes, spark.createDataFrame([(1,), (5,)], "id long"))
+    rows = table(spark, d, "lineitem").count()
+    pairs = stored(graph.pairs(_edges(spark, d)), rows=rows)
+    out = stored(graph.ranked_neighbours(pairs, nodes, spark.createDataFrame([(1,), (5,)], "id long")), rows=rows)
+    drop(pairs)
+    return out
 
 
 def edge_lines(spark: SparkSession, d: str) -> DataFrame:

@@ -5,9 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that are to meet in a task, and bytes up to which files and partitions of a finer job are joined.
+ROWS, BYTES = 1 << 20, "8m"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where it is unset and the master local."""
@@ -29,10 +34,37 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def stored(df: DataFrame, name: str = "scratch") -> DataFrame:
-    """df written as Parquet to the shared folder and read again: computed once, and safe from lost executors."""
+def pieces(spark: SparkSession, rows: int) -> int:
+    """Partitions that keep about ROWS of so many rows in a task; the session's, where these are more."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS))
+
+
+def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """df of so many rows dealt by columns to pieces; as it is where the session's partitions are enough."""
+    n = pieces(df.sparkSession, rows)
+    return df.repartition(n, *by) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+@contextmanager
+def finer(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run meanwhile over so many rows are dealt so that a task's memory does not grow with them."""
+    key, n = "spark.sql.shuffle.partitions", pieces(spark, rows)
+    more = {key: str(n), "spark.sql.adaptive.advisoryPartitionSizeInBytes": BYTES, "spark.sql.files.maxPartitionBytes": BYTES}
+    before = {k: spark.conf.get(k) for k in more} if n > int(spark.conf.get(key)) else {}
+    try:
+        for k in before:
+            spark.conf.set(k, more[k])
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def stored(df: DataFrame, name: str = "scratch", rows: int = 0) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: computed once, and safe from lost executors. rows: that it comes from, where these are many."""
     path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    with finer(df.sparkSession, rows):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

@@ -5,7 +5,9 @@ import math
 
 import pytest
 
-from quillspark.plans import registry
+from quillspark.operators import graph
+from quillspark.plans import queries, registry
+from quillspark.sources import scratch
 
 #: Suppliers of each order's lines: far apart, backward, in a cycle, one that calls itself.
 ORDERS = [[1, 50], [50, 90, 7], [7, 1], [5, 5], [90, 5], [60, 9], [1, 50], [33, 32]]
@@ -93,3 +95,26 @@ def test_rescored_pairs_are_not_joined(spark, tmp_path):
     assert out.columns == ["query_id", "ord", "vec_id", "score"] and got == pytest.approx(want, abs=2e-6)
     above = out._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
     assert "Join" not in above
+
+
+def test_many_edges_are_dealt_finer(spark, calls, monkeypatch):
+    """As if four lines were many: more partitions than the session's for lines and scratch tables, the same rows, the session's settings afterwards."""
+    names = ["spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    few, before = {n: sorted(map(tuple, registry.QUERIES[n](spark, calls).collect())) for n in ("neighbours", "graph_walks", "edge_lines")}, [spark.conf.get(n) for n in names]
+    used = []
+    monkeypatch.setattr(scratch, "ROWS", 2)
+    monkeypatch.setattr(graph, "pairs", lambda e, f=graph.pairs: used.append(queries._edges(spark, calls).rdd.getNumPartitions()) or f(e))
+    assert {n: sorted(map(tuple, registry.QUERIES[n](spark, calls).collect())) for n in few} == few
+    assert set(used) == {9} and [spark.conf.get(n) for n in names] == before
+    with scratch.finer(spark, 17):
+        assert spark.conf.get(names[0]) == "9"
+
+
+def test_pairs_and_degrees(spark):
+    """Calls both ways, repeated, to itself and from or to nothing."""
+    given = [(1, 2), (2, 1), (1, 2), (3, 1), (4, 4), (None, 2), (2, None), (5, 6)]
+    edges = spark.createDataFrame(given, "caller long, callee long")
+    want = collections.Counter(x for e in set(given) for x in e)
+    assert {r["id"]: r["degree"] for r in graph.degrees(edges).collect()} == want
+    rows = [tuple(r) for r in graph._either_way(graph.pairs(edges)).collect()]
+    assert set(rows) == {e for a, b in given for e in ((a, b), (b, a))} and len(rows) == len(set(rows))
