@@ -257,9 +257,10 @@ def graph_walks(spark: SparkSession, d: str) -> DataFrame:
     """A walk of at most 12 nodes around each supplier, all of them at once."""
     s = table(spark, d, "supplier")
     nodes = s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"), F.col("s_nationkey").cast("string").alias("path"))
-    edges = stored(Q._edges(spark, d))
-    out = stored(graph.walks(edges, nodes, s.select(F.col("s_suppkey").alias("set_id"), F.lit(0).alias("place"), F.col("s_suppkey").alias("id")), _WALK))
-    drop(edges)
+    rows = table(spark, d, "lineitem").count()
+    pairs = stored(graph.pairs(Q._edges(spark, d)), rows=rows)
+    out = stored(graph.walks(pairs, nodes, s.select(F.col("s_suppkey").alias("set_id"), F.lit(0).alias("place"), F.col("s_suppkey").alias("id")), _WALK), rows=rows)
+    drop(pairs)
     return out
 
 
