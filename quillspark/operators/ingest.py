@@ -28,6 +28,8 @@ KEY = "source_doc_id"
 COMPARED = ["key", "version_id", "etag", "size", "content_hash"]
 #: Dead documents up to which they are broadcast.
 FEW = 200_000
+#: Changed documents up to which their keys are broadcast to the texts.
+CHANGED = 1 << 20
 Step = Callable[[DataFrame], DataFrame]
 
 
@@ -173,7 +175,9 @@ class DocumentIndex:
         """Writes the new segment, the documents and what is dead; gives the chunks in the segment."""
         root = f"{self.store.root}/{version}"
         new = changes.filter("status in ('added', 'modified')")
-        parts = [self.encode(self.chunk(texts(new.drop("status", "_segment", "_n"))))]
+        asked = new.drop("status", "_segment", "_n")
+        few = made["differences"]["added"] + made["differences"]["modified"] <= CHANGED  # then texts are looked up where they lie; else they are shuffled
+        parts = [self.encode(self.chunk(texts(F.broadcast(asked) if few else asked)))]
         if sparse:  # what lives in segments that are mostly dead is taken over with its vectors
             moved = self.chunks(active).filter(F.col("segment").isin(sparse)).join(changes.filter("status = 'unchanged'").select(KEY), KEY, "left_semi")
             parts.append(moved.drop("segment"))

@@ -96,7 +96,8 @@ def ingest_steps(spark: SparkSession, d: str) -> DataFrame:
         now = docs.filter(there).select(F.col("doc_id").alias(KEY), F.expr(text).alias("text"))
         digest = F.sha2("text", 256)
         records = now.select(KEY, F.concat(F.lit("docs/"), KEY).alias("key"), digest.alias("version_id"), digest.alias("etag"), F.octet_length("text").alias("size"), digest.alias("content_hash"))
-        r = index.ingest(records, lambda new, now=now: now.join(new.select(KEY), KEY, "left_semi"))
+        known = now.filter(F.col(KEY).isNotNull())  # at first all are new, so that none need be looked up
+        r = index.ingest(records, (lambda new, known=known: known) if i == 1 else lambda new, now=now: now.join(new.select(KEY), KEY, "left_semi"))
         rows.append((i, r.added, r.modified, r.deleted, r.unchanged, r.copied_chunks, r.embedded_chunks, r.total_chunks, r.skipped, cache.size("checksum"), len(index.store.versions())))
     delete(spark, root)
     return spark.createDataFrame(rows, "step int, added long, modified long, deleted long, unchanged long, copied_chunks long, embedded_chunks long, total_chunks long, skipped boolean, vectors long, versions int")

@@ -189,3 +189,25 @@ def test_routes_encode_anchors_and_questions_once(spark, tmp_path):
         got = {r["i"]: r["route"] for r in decisions.decided(asked, "i", anchors, cache, load, "m", []).collect()}
         assert got == {1: "embedding_rag", 2: "embedding_direct", 3: "llm_rag", 4: "llm_direct", 5: "fallback_rag"}
         assert len(calls.read_text()) == 5  # two anchors, three distinct texts
+
+
+def test_texts_of_changed_documents_are_not_shuffled(spark, tmp_path):
+    """Keys of a few changed documents go to the texts, whatever the session's threshold."""
+    index, _ = made(spark, str(tmp_path), tmp_path / "calls")
+    one = {f"{i}.md": ("v1", f"# H\n\ntext {i}") for i in range(6)}
+    index.ingest(records(spark, one), TEXT)
+    now = records(spark, one | {"0.md": ("v2", "# H\n\nother"), "9.md": ("v1", "# H\n\nnew")})
+    plans, name = [], "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+
+    def texts(new):
+        found = TEXT(now).join(new.select("source_doc_id"), "source_doc_id", "left_semi")
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    spark.conf.set(name, -1)
+    try:
+        assert counts(index.ingest(now, texts)) == (1, 1, 0, 5, 5, 2, 7)
+    finally:
+        spark.conf.set(name, before)
+    assert len(plans) == 1 and "BroadcastHashJoin" in plans[0]
