@@ -16,12 +16,18 @@ def suffixes(name: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(F.array(name), ends("::", "::"), ends(".", r"\."), F.array(tail_name(name)))))
 
 
+#: Wanted names up to which they are broadcast.
+FEW = 200_000
+
+
 def matching(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(wanted, id): exact ids alone where there are any, else nodes whose label ends in the name. An equi-join over name ends."""
-    exact = wanted.join(nodes.select(F.col("id").alias("wanted"), "id"), "wanted")
+    """(wanted, id): exact ids alone where there are any, else nodes whose label ends in the name. An equi-join over name ends; few names go to the nodes, as a name that many nodes bear would be one task's."""
+    few = wanted.count() <= FEW
+    sent = lambda names: F.broadcast(names) if few else names
+    exact = nodes.select(F.col("id").alias("wanted"), "id").join(sent(wanted), "wanted")
     ends = nodes.select("id", F.explode(F.array_distinct(F.concat(suffixes(F.col("label")), F.array(F.col("name"))))).alias("wanted"))
-    others = wanted.join(exact.select("wanted"), "wanted", "left_anti").join(ends, "wanted").distinct()
-    return exact.unionByName(others)
+    others = ends.join(sent(wanted.join(exact.select("wanted"), "wanted", "left_anti")), "wanted").select("wanted", "id").distinct()
+    return exact.select("wanted", "id").unionByName(others)
 
 
 def callers(edges: DataFrame, targets: DataFrame) -> DataFrame:

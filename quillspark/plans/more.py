@@ -14,7 +14,7 @@ from ..operators.ingest import KEY, DocumentIndex
 from ..operators.stored import StoredIndex
 from ..operators.vector_cache import VectorCache
 from ..sources.files import table
-from ..sources.scratch import delete, drop, fresh_dir, stored
+from ..sources.scratch import delete, drop, fresh_dir, spread, stored
 from ..sources.snapshots import Snapshots
 from . import queries as Q
 from .oracles import _CODE, _EDGES, _FS, _HOME, _LISTS, _PEN, _STRIP, _V, ORACLES, _hits
@@ -358,7 +358,7 @@ def string_literals(spark: SparkSession, d: str) -> DataFrame:
 @_query("SELECT DISTINCT w.wanted, 'part:' || p.p_partkey AS id FROM part p JOIN (SELECT DISTINCT string_split(p_name, ' ')[-1] AS wanted FROM part) w ON string_split(p.p_name, ' ')[-1] = w.wanted")
 def graph_matches(spark: SparkSession, d: str) -> DataFrame:
     """Nodes whose label ends in a wanted name: parts by the last words of all names."""
-    p = table(spark, d, "part")
+    p = spread(table(spark, d, "part"))
     label = F.replace("p_name", F.lit(" "), F.lit("."))
     nodes = p.select(lifecycle.node_id(F.lit("part"), F.col("p_partkey").cast("string")).alias("id"), label.alias("label"), F.concat(F.lit("#"), F.col("p_partkey").cast("string")).alias("name"))
     return graph.matching(nodes, p.select(F.element_at(F.split("p_name", " "), -1).alias("wanted")).distinct())

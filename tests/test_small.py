@@ -110,3 +110,20 @@ def test_replies_that_are_wrong(spark):
     for bad, why in (((1, 1, [(1, 0.5)]), "out of range"), ((1, 0, [(-1, 0.5)]), "out of range"), ((9, 0, [(0, 0.5)]), "out of range"), ((1, 0, [(None, 0.5)]), "no index"), ((1, 0, [(0, None)]), "no index")):
         with pytest.raises(Exception, match=why):
             fusion.from_replies(c, reply(bad), 9, 2).collect()
+
+
+def test_few_wanted_names_go_to_the_nodes(spark):
+    """Nodes that bear one name are not gathered by it; exact ids come first, repeated nodes count once."""
+    rows = [(f"p:{i}", f"a.b{i % 2}.x", f"#{i}") for i in range(6)] * 2 + [("x", "q", "#x2"), ("p:9", "z::y", "#9")]
+    nodes = spark.createDataFrame(rows, "id string, label string, name string")
+    wanted = spark.createDataFrame([("b0.x",), ("p:1",), ("y",), ("#3",), ("none",)], "wanted string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = graph.matching(nodes, wanted)
+        got, plan = sorted(set(map(tuple, out.collect()))), out._jdf.queryExecution().executedPlan().toString()
+        assert out.filter("wanted = 'b0.x'").count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == [("#3", "p:3"), ("b0.x", "p:0"), ("b0.x", "p:2"), ("b0.x", "p:4"), ("p:1", "p:1"), ("y", "p:9")]
+    assert not any("SortMergeJoin" in line and "Inner" in line for line in plan.splitlines())
