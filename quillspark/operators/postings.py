@@ -27,6 +27,8 @@ WIDE, NARROW = 1024, 128
 TOGETHER = 200_000
 #: Windows of a question that are scored before bounds are compared.
 FIRST = 2
+#: Windows up to which they are broadcast.
+WINDOWS = 1 << 20
 DIGITS, SLACK = 9, 1e-6
 
 
@@ -163,7 +165,8 @@ def scored(made: DataFrame, asked: Terms, name: str, kinds: tuple[str, str], mea
     rows = asked_blocks(made, asked).select("window", "token", "keys", "tf", "dl", F.lit(None).cast("array<int>").alias("qs"))
     if pairs is not None:
         lists = pairs.groupBy("window").agg(F.collect_list("q").alias("qs"))  # at most the questions of one lot
-        rows = rows.join(lists.select("window"), "window", "left_semi").unionByName(lists, allowMissingColumns=True)
+        some = pairs.select("window").distinct()  # one number for each window of documents: these go to the blocks, which are not shuffled to be left out
+        rows = rows.join(F.broadcast(some) if some.count() <= WINDOWS else some, "window", "left_semi").unionByName(lists, allowMissingColumns=True)
     ids = pa.array(asked.ids, {"int": pa.int32(), "bigint": pa.int64()}.get(kinds[0]))
     by_token = asked.by_token
     restricted = pairs is not None

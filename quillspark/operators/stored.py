@@ -59,7 +59,9 @@ class StoredIndex:
                 continue
             docs, mean = postings.statistics(made)
             bucket = self._bucket(F.col("token"))
-            blocks = postings.bounded(made.filter("token is not null"), mean).withColumn("bucket", bucket).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "token", "window")
+            # What follows from a block's lists, and what is the same in all blocks, is added after the shuffle.
+            dealt = made.filter("token is not null").select("window", "token", "keys", "tf", "dl", bucket.alias("bucket")).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "token", "window")
+            blocks = postings.bounded(dealt, mean).select("window", F.lit(True).alias("wanted"), "token", F.size("keys").cast("long").alias("n"), F.lit(0).cast("long").alias("total"), "keys", "tf", "dl", "most", "bucket")
             tables = {
                 "blocks": blocks,
                 "terms": postings.frequencies(made).withColumn("bucket", bucket).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "token"),

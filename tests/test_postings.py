@@ -60,3 +60,22 @@ def test_blocks_made_for_one_search(spark, monkeypatch):
     assert rows(found) == rows(lexical.top(want.join(docs.filter("ok").select("doc_id"), "doc_id", "left_semi"), "q", "score", "doc_id", 9))
     empty = postings.blocks(docs.limit(0), "doc_id", only=terms)
     assert postings.statistics(empty) == (0, 1.0) and postings.best(empty, terms, "q", 3, 0, 1.0, postings.frequencies(empty)).count() == 0
+
+
+def test_blocks_are_not_shuffled_to_be_left_out(spark):
+    """Windows that are to be scored go to the blocks, whatever the session's threshold."""
+    docs = spark.createDataFrame([(i, f"alpha w{i % 3}") for i in range(40)], "doc_id long, text string").coalesce(1)
+    asked = lexical.asked_tokens(spark.createDataFrame([(1, "alpha w1")], "item_id long, text string"), "item_id")
+    made = postings.blocks(docs, "doc_id", size=8).cache()
+    n, mean = postings.statistics(made)
+    lot = next(postings.terms(asked, "item_id", postings.frequencies(made), n))
+    pairs = spark.createDataFrame([(0, 0), (2, 0)], "window long, q int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = postings.scored(made, lot, "item_id", ("bigint", "bigint"), mean, 100, pairs)
+        plan, keys = out._jdf.queryExecution().executedPlan().toString(), {r["key"] for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        made.unpersist()
+    assert keys == {*range(8), *range(16, 24)} and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
