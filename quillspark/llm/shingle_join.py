@@ -3,12 +3,15 @@
 A document's set are its distinct word n-grams (64-bit hashes; texts of fewer words have their whole sequence as one).
 Documents of equal sets form one class. Classes of small sets enumerate the subsets of fixed sizes that a partner must share
 with them; classes of large sets are found in inverted lists, scanned for the rarest n-grams of each set (as many as a
-partner cannot all miss). The boundary between small and large is where the estimated cost is least. Lists that are long
-are dealt into pairs of blocks. Members of a list are first compared with one head of it, drawn anew for each list, and what
-these links join is not compared again; the rest is compared in pairs by size and by a parity bitmap (which bounds the
-difference of two sets from below). Sets too large for one bitmap are cut into slices by hash. The similarity of two sets is
-no greater than that of their most similar slice, so such sets are listed slice by slice, with the rarest n-grams, the size
-and the bitmap of each slice, and a pair need pass in one slice only. All bitmaps together, then the whole sets verify a pair.
+partner cannot all miss). The boundary between small and large is where the estimated cost is least. An entry knows how many
+members of its set stand from it on, in the order of rank; of a pair's common n-grams the first has enough on both sides, so a
+list keeps only entries that have such a partner in it. Lists that are long are dealt into pairs of blocks. Members of a short
+list are compared in pairs at once; members of a long one are first compared with one head of it, drawn anew for each list, and
+what these links join is not compared again. Pairs are compared by size and by a parity bitmap (which bounds the difference of
+two sets from below), in lists folded to as few bits as still tell unlike sets apart. Sets too large for one bitmap are cut into
+slices by hash. The similarity of two sets is no greater than that of their most similar slice, so such sets are listed slice by
+slice, with the rarest n-grams, the size and the bitmap of each slice, and a pair need pass in one slice only. All bitmaps
+together, then the whole sets verify a pair.
 
 N-grams are 64-bit hashes throughout: of sets with s n-grams in all, some two different ones agree with a probability of
 about s * s / 2**65, and that would shift a similarity by one n-gram.
@@ -39,6 +42,8 @@ BITS = 1024
 SLICED = 1024
 #: Members of a block of a long list.
 BLOCK = 2048
+#: The longest lists whose entries without a partner are left out before they get bitmaps, and that are compared at once.
+SHORT = 256
 SLICE = 1 << 20
 #: Most rows (of four numbers) that are broadcast.
 SMALL = 200_000
@@ -132,6 +137,13 @@ class Threshold:
         """In how many members sets of n and m that link differ at most."""
         return n + m - 2 * self.overlap(n, m)
 
+    def width(self) -> int:
+        """Bits, BITS at most, by which unlike sets of any size below SLICED differ in more than sets that link, by two standard deviations."""
+        bits = 64
+        while bits < BITS and bits / 2 - self.differ(SLICED - 1, SLICED - 1) < bits**0.5:
+            bits *= 2
+        return bits
+
     def prefix(self, n):
         return n - self.least(n) + 1
 
@@ -176,6 +188,11 @@ def _folded(bits: np.ndarray, r: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bits.reshape(-1, r * BITS // 8), axis=0)
 
 
+def _brief(bits: np.ndarray, width: int) -> np.ndarray:
+    """Each slice's bitmap of BITS folded to width bits: as if its members had been hashed to fewer."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, BITS // width, width // 8), axis=1).reshape(-1)
+
+
 def common_grams(docs: DataFrame, width: int) -> np.ndarray:
     """Hashes of n-grams that make up a millionth or more of all documents' sets (so a million at most), sorted.
 
@@ -213,9 +230,11 @@ def common_grams(docs: DataFrame, width: int) -> np.ndarray:
 def sketches(docs: DataFrame, width: int, t: Threshold, common: np.ndarray) -> DataFrame:
     """doc_id, hash of the text, row, set size n, 128-bit signature of the set, its members if light, postings and bitmaps. docs: doc_id, text, row.
 
-    keys and slots are the list entries by which the set is scanned: key of the list, place of the slice in bits and sizes, which
-    hold the bitmaps and sizes of the set's own slices and then, where smaller partners have fewer, of fewer slices.
+    keys, slots and rest are the list entries by which the set is scanned: key of the list, place of the slice in bits and sizes, which
+    hold the bitmaps and sizes of the set's own slices and then, where smaller partners have fewer, of fewer slices, and how many
+    members the slice has from this one on. brief holds the bitmaps folded for comparisons in lists.
     """
+    fold = t.width()
 
     def ranked(s: np.ndarray) -> np.ndarray:
         if not len(common) or not len(s):
@@ -223,22 +242,23 @@ def sketches(docs: DataFrame, width: int, t: Threshold, common: np.ndarray) -> D
         often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
         return np.concatenate([s[~often], s[often]])
 
-    def entries(s: np.ndarray, r: int, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys and slots of each slice's first n-grams in the order of rank, and the sizes of the slices."""
+    def entries(s: np.ndarray, r: int, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, slots and rests of each slice's first n-grams in the order of rank, and the sizes of the slices."""
         if r == 1:
             first = ranked(s)[: t.prefix(len(s))]
-            return first, np.full(len(first), at), np.array([len(s)])
+            return first, np.full(len(first), at), len(s) - np.arange(len(first)), np.array([len(s)])
         own = ((s >> U(40)) & U(r - 1)).astype("int64")
         order = np.argsort(own, kind="stable")
-        keys, slots = [], []
+        keys, slots, rest = [], [], []
         for part in np.split(s[order], np.flatnonzero(np.diff(own[order])) + 1):
             keys.append(mix(ranked(part)[: t.prefix(len(part))] + U(r)))
             slots.append(np.full(len(keys[-1]), at + int((part[0] >> U(40)) & U(r - 1))))
-        return np.concatenate(keys), np.concatenate(slots), np.bincount(own, minlength=r)
+            rest.append(len(part) - np.arange(len(keys[-1])))
+        return np.concatenate(keys), np.concatenate(slots), np.concatenate(rest), np.bincount(own, minlength=r)
 
-    def sketch(s: np.ndarray) -> tuple[list[np.ndarray], bytes]:
+    def sketch(s: np.ndarray) -> tuple[list[np.ndarray], bytes, bytes]:
         if not len(s):
-            return [s, np.empty(0, "int64"), np.empty(0, "int64")], b""
+            return [s, *[np.empty(0, "int64")] * 3], b"", b""
         r, low = slices(len(s)), slices(t.least(len(s)))
         bits = [parity(s, r)]
         found, at = [entries(s, r, 0)], r
@@ -247,7 +267,8 @@ def sketches(docs: DataFrame, width: int, t: Threshold, common: np.ndarray) -> D
             bits.append(_folded(bits[0], r))
             found.append(entries(s, r, at))
             at += r
-        return [np.concatenate(x) for x in zip(*found, strict=True)], np.concatenate(bits).tobytes()
+        whole = np.concatenate(bits)
+        return [np.concatenate(x) for x in zip(*found, strict=True)], whole.tobytes(), _brief(whole, fold).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -258,10 +279,10 @@ def sketches(docs: DataFrame, width: int, t: Threshold, common: np.ndarray) -> D
                 two = np.array([mix(s).sum(dtype="uint64") for s in sets], "uint64")
                 rows = [sketch(s) for s in sets]
                 small = [s if len(s) <= LIGHT else s[:0] for s in sets]
-                columns = [b.column("doc_id"), b.column("hash"), b.column("row"), pa.array(n), pa.array(one.view("int64")), pa.array(two.view("int64")), _lists(small), *[_lists([r[0][k] for r in rows]) for k in range(3)], pa.array([r[1] for r in rows], "binary")]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "row", "n", "s1", "s2", "small", "keys", "slots", "sizes", "bits"])
+                columns = [b.column("doc_id"), b.column("hash"), b.column("row"), pa.array(n), pa.array(one.view("int64")), pa.array(two.view("int64")), _lists(small), *[_lists([r[0][k] for r in rows]) for k in range(4)], *[pa.array([r[k] for r in rows], "binary") for k in (1, 2)]]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "row", "n", "s1", "s2", "small", "keys", "slots", "rest", "sizes", "bits", "brief"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text", "row").mapInArrow(tidy(run), "doc_id long, hash long, row long, n long, s1 long, s2 long, small array<long>, keys array<long>, slots array<long>, sizes array<long>, bits binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text", "row").mapInArrow(tidy(run), "doc_id long, hash long, row long, n long, s1 long, s2 long, small array<long>, keys array<long>, slots array<long>, rest array<long>, sizes array<long>, bits binary, brief binary")
 
 
 def boundary(sizes: dict[int, int], t: Threshold, list_length: float) -> int:
@@ -275,11 +296,11 @@ def boundary(sizes: dict[int, int], t: Threshold, list_length: float) -> int:
 
 
 def _subset_keys(rows: DataFrame, t: Threshold) -> DataFrame:
-    """(key, node) for each subset of the fixed sizes of each light set."""
+    """(key, node, n) for each subset of the fixed sizes of each light set of n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, nodes = [np.empty(0, "uint64")], [np.empty(0, "int64")]
+            keys, nodes, sizes = [np.empty(0, "uint64")], [np.empty(0, "int64")], [np.empty(0, "int64")]
             for node, members in zip(b.column("node").to_pylist(), b.column("small").to_pylist(), strict=True):
                 s = mix(np.array(members, "int64").view("uint64"))
                 n, total = len(s), s.sum(dtype="uint64")
@@ -289,19 +310,85 @@ def _subset_keys(rows: DataFrame, t: Threshold) -> DataFrame:
                         less = s[np.array(gone)].sum(axis=1, dtype="uint64") if n > c else np.zeros(1, "uint64")
                         keys.append(np.unique(mix(total - less + U(c))))
                         nodes.append(np.full(len(keys[-1]), node))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view("int64")), pa.array(np.concatenate(nodes))], names=["key", "node"])
+                        sizes.append(np.full(len(keys[-1]), n))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view("int64")), *[pa.array(np.concatenate(x)) for x in (nodes, sizes)]], names=["key", "node", "n"])
+
+    return rows.select("node", "small").mapInArrow(tidy(run), "key long, node long, n long")
 
-    return rows.select("node", "small").mapInArrow(tidy(run), "key long, node long")
+
+def _short() -> int:
+    """The longest lists that are judged and compared as wholes; they are of one block."""
+    return min(SHORT, BLOCK)
+
+
+def _paired(entries: DataFrame, t: Threshold, rooted: bool = False) -> DataFrame:
+    """The list entries (key, node, slot, n, rest, c, root) without those that no other of their list may link with, and c as what is left.
+
+    c: entries of the list. A list is judged where its c entries follow one another, as they do after a join that sorts by key;
+    lists of more than SHORT entries, and those that Spark has split, stay as they are. rooted: only an entry of another root may be a partner.
+    """
+    names, most = ["key", "node", "slot", "n", "rest", "c", "root"], _short()
+
+    def kept(b: pa.RecordBatch) -> pa.RecordBatch:
+        key, n, rest, c, root = (b.column(x).to_numpy() for x in ("key", "n", "rest", "c", "root"))
+        cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        sizes, starts = np.diff(cuts), cuts[:-1]
+        whole = (sizes == c[starts])
+        keep, left = np.ones(len(key), bool), c.copy()
+        for k in np.unique(sizes[whole]).tolist():
+            lists, lot = starts[whole & (sizes == k)], max(1, (1 << 20) // (k * k))
+            for a in range(0, len(lists), lot):
+                at = lists[a : a + lot, None] + np.arange(k)
+                fits = np.minimum(rest[at][:, :, None], rest[at][:, None]) >= t.overlap(n[at][:, :, None], n[at][:, None])
+                fits &= (root[at][:, :, None] != root[at][:, None]) if rooted else ~np.eye(k, dtype=bool)
+                keep[at] = found = fits.any(axis=2)
+                left[at] = found.sum(axis=1)[:, None]
+        return pa.RecordBatch.from_arrays([pa.array(left) if x == "c" else b.column(x) for x in names], names=names).filter(pa.array(keep))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last batch's last list so far
+
+        def close() -> Iterator[pa.RecordBatch]:
+            b = pa.Table.from_batches(held).combine_chunks().to_batches()
+            held.clear()
+            yield from map(kept, b)
+
+        for batch in batches:
+            long = pc.greater(batch.column("c"), most)
+            if pc.any(long).as_py():
+                yield pa.RecordBatch.from_arrays(batch.columns, names=names).filter(long)
+            new = batch.filter(pc.invert(long))
+            if not new.num_rows:
+                continue
+            key = new.column("key").to_numpy()
+            other = np.flatnonzero(key != key[-1])
+            start = int(other[-1]) + 1 if len(other) else 0
+            if start:
+                held.append(new.slice(0, start))
+                yield from close()
+            elif held and held[-1].column("key")[-1].as_py() != key[0]:
+                yield from close()
+            held.append(new.slice(start))
+        if held:
+            yield from close()
+
+    return entries.select(*names).mapInArrow(tidy(run), "key long, node long, slot int, n long, rest long, c long, root long")
 
 
 def _compare(members: DataFrame, t: Threshold, heads: bool) -> DataFrame:
-    """Pairs (a, b) of members (key, i, j, node, n, bits, root) of one list block pair that may link. heads: only pairs with the list's head."""
+    """Pairs (a, b) of members (key, i, j, side, node, n, rest, bits, root) of one list block pair that may link.
+
+    heads: of long lists only pairs with the list's head; of those of SHORT entries at most all pairs are compared, and each member's
+    first one that may link is taken. The entries that are left to compare follow as rows (a, null) with key, slot, n, rest and c;
+    members have slot and c then.
+    """
+    left, most = ["key", "slot", "n", "rest", "c"], _short()
 
-    def pairs(node, n, bits, side, root) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(node, n, rest, bits, side, root) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         rows = np.zeros(1, "int64") if heads else np.arange(len(node))
         for at in range(0, len(rows), 256):
             r = rows[at : at + 256]
-            fits = (np.minimum(n[r][:, None], n) >= t.least(np.maximum(n[r][:, None], n))) & (r[:, None] < np.arange(len(node)))
+            fits = (np.minimum(rest[r][:, None], rest) >= t.overlap(n[r][:, None], n)) & (r[:, None] < np.arange(len(node)))
             if not heads:
                 fits &= (root[r][:, None] != root) & ((side[r][:, None] != side) | (side[r][:, None] == -1))
             x, y = np.nonzero(fits)
@@ -319,25 +406,56 @@ def _compare(members: DataFrame, t: Threshold, heads: bool) -> DataFrame:
             order = np.lexsort((y, x))
             x, y = x[order], y[order]
             new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])][: len(x)]
-            return pa.RecordBatch.from_arrays([pa.array(x[new]), pa.array(y[new])], names=["a", "b"])
+            none = [pa.nulls(int(new.sum()), "int32" if c == "slot" else "int64") for c in left if heads]
+            return pa.RecordBatch.from_arrays([pa.array(x[new]), pa.array(y[new]), *none], names=["a", "b", *left[: len(none)]])
+
+        def short(lists, k, node, n, rest, bits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The ends of the taken pairs of whole lists of k entries that begin at these places, and which entries have other pairs that may link."""
+            at = lists[:, None] + np.arange(k)
+            x, y = at[:, :, None], at[:, None]
+            ok = (np.minimum(rest[x], rest[y]) >= t.overlap(n[x], n[y])) & np.tri(k, k, -1, dtype=bool)
+            u, i, j = np.nonzero(ok)
+            ok[u, i, j] = np.bitwise_count(bits[at[u, i]] ^ bits[at[u, j]]).sum(axis=1, dtype="int64") <= t.differ(n[at[u, i]], n[at[u, j]])
+            u, i = np.nonzero(ok.any(axis=2))
+            j = ok[u, i].argmax(axis=1)
+            ok[u, i, j] = False
+            return node[at[u, i]], node[at[u, j]], ok.any(axis=2) | ok.any(axis=1)
 
         def close() -> Iterator[pa.RecordBatch]:
             g = pa.Table.from_batches(held).combine_chunks()
             held.clear()
             key = [g.column(c).to_numpy() for c in ("key", "i", "j")]
-            node, n, side, root = (g.column(c).to_numpy() for c in ("node", "n", "side", "root"))
+            node, n, rest, side, root = (g.column(c).to_numpy() for c in ("node", "n", "rest", "side", "root"))
             bits = np.frombuffer(b"".join(g.column("bits").to_pylist()), "uint64").reshape(len(node), -1)
             cuts = np.flatnonzero(np.r_[True, (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1]), True])
-            sizes = np.diff(cuts)
-            x = cuts[:-1][sizes == 2]  # most lists: all at once
+            starts, sizes = cuts[:-1], np.diff(cuts)
+            if heads:
+                a, b = [], []
+                c = g.column("c").to_numpy().copy()
+                keep, whole = np.ones(len(node), bool), c[starts] <= most
+                for k in np.unique(sizes[whole]).tolist():
+                    lists, lot = starts[whole & (sizes == k)], max(1, (1 << 16) // (k * k))
+                    for at in range(0, len(lists), lot):
+                        p, q, more = short(lists[at : at + lot], k, node, n, rest, bits)
+                        a.append(p)
+                        b.append(q)
+                        places = lists[at : at + lot, None] + np.arange(k)
+                        keep[places], c[places] = more, more.sum(axis=1)[:, None]
+                if a:
+                    yield batch(a, b)
+                if keep.any():
+                    columns = [g.column("node"), pa.nulls(len(node), "int64"), *[pa.array(c) if x == "c" else g.column(x) for x in left]]
+                    yield from pa.table(columns, names=["a", "b", *left]).filter(pa.array(keep)).combine_chunks().to_batches()
+                starts, sizes = starts[~whole], sizes[~whole]
+            x = starts[sizes == 2]  # most lists: all at once
             y = x + 1
-            ok = (np.minimum(n[x], n[y]) >= t.least(np.maximum(n[x], n[y]))) & (np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype="int64") <= t.differ(n[x], n[y]))
+            ok = (np.minimum(rest[x], rest[y]) >= t.overlap(n[x], n[y])) & (np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype="int64") <= t.differ(n[x], n[y]))
             if not heads:
                 ok &= (root[x] != root[y]) & ((side[x] != side[y]) | (side[x] == -1))
             a, b = [node[x[ok]]], [node[y[ok]]]
             size = int(ok.sum())
-            for s, e in zip(cuts[:-1][sizes > 2].tolist(), cuts[1:][sizes > 2].tolist(), strict=True):
-                for p, q in pairs(node[s:e], n[s:e], bits[s:e], side[s:e], root[s:e]):
+            for s, e in zip(starts[sizes > 2].tolist(), (starts + sizes)[sizes > 2].tolist(), strict=True):
+                for p, q in pairs(node[s:e], n[s:e], rest[s:e], bits[s:e], side[s:e], root[s:e]):
                     a.append(p)
                     b.append(q)
                     size += len(p)
@@ -363,6 +481,8 @@ def _compare(members: DataFrame, t: Threshold, heads: bool) -> DataFrame:
         if held:
             yield from close()
 
+    if heads:
+        return members.mapInArrow(tidy(run), "a long, b long, key long, slot int, n long, rest long, c long")
     return members.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
@@ -419,34 +539,35 @@ def _placed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     posted = rows.select(F.explode("keys").alias("key")).agg(F.count("*").alias("n"), F.approx_count_distinct("key").alias("d")).first()
     light = boundary({r["n"]: r["count"] for r in some}, t, posted["n"] / max(posted["d"], 1))
 
-    scanned = reps.filter(F.col("n") >= t.least(light + 1)).select("node", F.explode(F.arrays_zip("keys", "slots")).alias("e"))
-    lists = scanned.select(F.col("e.keys").alias("key"), "node", F.col("e.slots").cast("int").alias("slot"))
-    posts = lists.unionByName(_subset_keys(reps.filter(F.col("n") <= light), t).withColumn("slot", F.lit(0)))
+    scanned = reps.filter(F.col("n") >= t.least(light + 1)).select("node", "sizes", F.explode(F.arrays_zip("keys", "slots", "rest")).alias("e"))
+    lists = scanned.select(F.col("e.keys").alias("key"), "node", F.col("e.slots").cast("int").alias("slot"), F.element_at("sizes", F.col("e.slots").cast("int") + 1).alias("n"), F.col("e.rest").alias("rest"))
+    posts = lists.unionByName(_subset_keys(reps.filter(F.col("n") <= light), t).withColumns({"slot": F.lit(0), "rest": F.col("n")}))
     shared = posts.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    live = cut(posts.join(shared, "key"))
-    size, blocks = BITS // 8, F.ceil(F.col("c") / BLOCK).cast("int")
+    live = cut(_paired(posts.join(shared, "key").withColumn("root", F.lit(0).cast("long")), t))
+    size, blocks = t.width() // 8, F.ceil(F.col("c") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
 
     def drawn(entries: DataFrame) -> DataFrame:
-        """List entries with the size and the bitmap of their slice, the number of blocks and their own."""
-        whole = entries.join(rows.select(F.col("row").alias("node"), "sizes", "bits"), "node")
-        slot = whole.withColumn("n", F.element_at("sizes", F.col("slot") + 1)).withColumn("bits", F.substring("bits", F.col("slot") * size + 1, F.lit(size)))
-        return slot.withColumn("k", blocks).withColumn("m", mine)
+        """List entries with the folded bitmap of their slice, the number of blocks and their own."""
+        whole = entries.join(rows.select(F.col("row").alias("node"), "brief"), "node")
+        return whole.withColumn("bits", F.substring("brief", F.col("slot") * size + 1, F.lit(size))).withColumn("k", blocks).withColumn("m", mine)
 
     parts = partitions(spark)
-    draw = F.xxhash64("key", "node")
-    whole = drawn(live).select("key", F.col("m").alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("side"), "node", "n", "bits", F.lit(0).cast("long").alias("root"))
-    tried = cut(_compare(whole.repartition(parts, "key", "i").sortWithinPartitions("key", "i", draw), t, heads=True))
+    draw = F.when(F.col("c") <= _short(), F.col("node")).otherwise(F.xxhash64("key", "node"))
+    whole = drawn(live).select("key", "slot", "c", F.col("m").alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("side"), "node", "n", "rest", "bits", "root")
+    first = cut(_compare(whole.repartition(parts, "key", "i").sortWithinPartitions("key", "i", draw), t, heads=True))
+    tried = cut(first.filter("b IS NOT NULL").select("a", "b").distinct())
     near = cut(_close(tried, rows, t))
     links = cut(_verified(near, _set_rows(docs, rows, near, width), t))
     joined = components(links)
 
-    # What the links have joined is not compared again. Within one block all pairs count (side -1), between two blocks only those across.
-    rooted = live.join(joined.withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
+    # What the links have joined is not compared again, nor what no bitmap in its list is near to. Within one block all pairs count (side -1), between two blocks only those across.
+    rooted = first.filter("b IS NULL").drop("b").withColumnRenamed("a", "node").join(joined.withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
     mixed = cut(rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key"))
-    dealt = drawn(rooted.join(mixed, "key")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    apart = cut(_paired(rooted.join(mixed, "key"), t, rooted=True))
+    dealt = drawn(apart).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     side = F.when(F.col("o") == F.col("m"), F.lit(-1)).otherwise(F.col("m"))
-    rest = dealt.select("key", F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j"), side.alias("side"), "node", "n", "bits", "root")
+    rest = dealt.select("key", F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j"), side.alias("side"), "node", "n", "rest", "bits", "root")
     others = _compare(rest.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "node"), t, heads=False)
     untried = cut(others.join(tried, ["a", "b"], "left_anti"))
     others = cut(_close(untried, rows, t))
@@ -455,7 +576,7 @@ def _placed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
     placed = rows.select("doc_id", "n", "row", "s1", "s2").join(classes, ["s1", "s2"], "left").join(roots, "node", "left").select("doc_id", "n", "row", F.coalesce("root", "node", -1 - F.col("row")).alias("root"))
     placed = cut(placed)
-    drop(live, mixed, tried, untried, near, others, links, more, rows, classes, joined, roots)
+    drop(live, first, mixed, apart, tried, untried, near, others, links, more, rows, classes, joined, roots)
     return placed
 
 
